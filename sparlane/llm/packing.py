@@ -16,7 +16,7 @@ from .tokens import default_path, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task packs: the open bins of a shard are its only waste.
-SHARD = 100_000
+SHARD = 8192
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -119,9 +119,10 @@ def pack(df: DataFrame, capacity: int = 2048, shard: int = SHARD) -> DataFrame:
     names = df.columns
 
     def run(batches):
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        rows = pa.Table.from_batches(held)
         rows = rows.sort_by([("_shard", "ascending"), ("_turn", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending")])
         key, length = rows["_shard"].to_numpy(), rows["length"].to_numpy()
         for k in np.unique(key):
