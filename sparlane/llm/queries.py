@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .counts import token_counts
+from .language import identify
 from .packing import pack_documents
+from .quality import quality
 from .repair import token_file
 
 
@@ -19,6 +21,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(_table(spark, sf_dir, "documents"))
 
 
+def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -27,7 +33,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_token_output, op8_sum_of_squares_packing, op9_token_counts)
+    f.__name__: f for f in (op5_token_output, op6_factorisation_machine, op8_sum_of_squares_packing, op9_token_counts, op10_language_id)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +95,24 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = now
     return cur.groupBy("a").agg(F.min("b").alias("component")).union(cur.groupBy("b").agg(F.min("b").alias("component"))).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
+
+
+def _blobs(kind):
+    def run(rows):
+        total: dict = {}
+        for r in rows:
+            x = np.frombuffer(r[1], kind)
+            total[r[0]] = total[r[0]] + x if r[0] in total else x
+        yield total
+
+    return run
+
+
+def _merge(a: dict, b: dict) -> dict:
+    return a | b | {k: a[k] + b[k] for k in a.keys() & b.keys()}
+
+
+def tree_total(df: DataFrame, kind) -> dict:
+    """Sums arrays of one length by key over (key, blob) rows, in a tree of partitions; only the total reaches the driver."""
+    rdd = df.rdd.mapPartitions(_blobs(kind))
+    return rdd.treeReduce(_merge, depth=2 if rdd.getNumPartitions() < 1000 else 3)
