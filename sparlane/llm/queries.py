@@ -12,12 +12,17 @@ from .language import identify
 from .packing import pack_documents
 from .quality import quality
 from .repair import token_file
+from .vectors import near_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +48,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_suffix_array_decontamination, op5_token_output, op6_factorisation_machine, op8_sum_of_squares_packing, op9_token_counts, op10_language_id)
+    f.__name__: f for f in (op2_cross_polytope, op3_suffix_array_decontamination, op5_token_output, op6_factorisation_machine, op8_sum_of_squares_packing, op9_token_counts, op10_language_id)
 }
 ORACLE_SQL: dict[str, str] = {}
