@@ -14,7 +14,7 @@ from .shared import mapped
 
 _BLANK = np.zeros(256, bool)
 _BLANK[32] = True
-STORE = 1_500_000
+STORE = 800_000
 #: Score of an unknown character below the least piece score, as unigram tokenizers have it.
 PENALTY = 10.0
 

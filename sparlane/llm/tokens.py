@@ -23,7 +23,7 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _SIGN[33:48] = _SIGN[58:65] = _SIGN[91:97] = _SIGN[123:127] = True
 _ODD = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]|\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 #: Pieces that a worker keeps; when they are full it begins anew.
-STORE = 1_500_000
+STORE = 800_000
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
