@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .counts import token_counts
 from .decontaminate import report
 from .language import identify
+from .near import near_documents
 from .packing import pack_documents
 from .quality import quality
 from .repair import token_file
@@ -35,6 +36,10 @@ def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(_table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_cross_polytope, op3_suffix_array_decontamination, op5_token_output, op6_factorisation_machine, op8_sum_of_squares_packing, op9_token_counts, op10_language_id)
+    f.__name__: f for f in (op2_cross_polytope, op3_suffix_array_decontamination, op5_token_output, op6_factorisation_machine, op7_order_minhash, op8_sum_of_squares_packing, op9_token_counts, op10_language_id)
 }
 ORACLE_SQL: dict[str, str] = {}
