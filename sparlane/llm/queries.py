@@ -13,6 +13,7 @@ from .near import near_documents
 from .packing import pack_documents
 from .quality import quality
 from .repair import token_file
+from .repeats import digest
 from .vectors import near_vectors
 
 
@@ -28,6 +29,10 @@ def op3_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_cross_polytope, op3_suffix_array_decontamination, op5_token_output, op6_factorisation_machine, op7_order_minhash, op8_sum_of_squares_packing, op9_token_counts, op10_language_id)
+    f.__name__: f for f in (op2_cross_polytope, op3_suffix_array_decontamination, op4_deep_shallow_dedup, op5_token_output, op6_factorisation_machine, op7_order_minhash, op8_sum_of_squares_packing, op9_token_counts, op10_language_id)
 }
 ORACLE_SQL: dict[str, str] = {}
