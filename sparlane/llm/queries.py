@@ -12,6 +12,7 @@ from .language import identify
 from .near import near_documents
 from .packing import pack_documents
 from .quality import quality
+from .recurrent import language_model
 from .repair import token_file
 from .repeats import digest
 from .vectors import near_vectors
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_recurrent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model(_table(spark, sf_dir, "documents"))
+
+
 def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +63,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_cross_polytope, op3_suffix_array_decontamination, op4_deep_shallow_dedup, op5_token_output, op6_factorisation_machine, op7_order_minhash, op8_sum_of_squares_packing, op9_token_counts, op10_language_id)
+    f.__name__: f for f in (op1_recurrent_scoring, op2_cross_polytope, op3_suffix_array_decontamination, op4_deep_shallow_dedup, op5_token_output, op6_factorisation_machine, op7_order_minhash, op8_sum_of_squares_packing, op9_token_counts, op10_language_id)
 }
 ORACLE_SQL: dict[str, str] = {}
