@@ -176,3 +176,22 @@ def identify(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", "lang")
     model = learn(rows.where(~held_out(3, 1)))
     return detect(rows.withColumn("held_out", held_out(3, 1)), model, ("doc_id", "held_out"))
+
+
+def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of `docs` (all columns) with a language: a letter in the text, and a language that holds `least` of it or more.
+
+    The model is that of `identify`. A null or empty text goes.
+    """
+    model = learn(docs.where(~held_out(3, 1)).select("text", "lang"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for b in slices(batches, "text"):
+            data, off = text_bytes(b.column(b.schema.get_field_index("text")))
+            pi = infer(m, data, off)
+            top = pi.max(1) if m.names else np.ones(off.size - 1)
+            yield b.filter(pa.array(has_letter(data, off) & ((top >= least) | (top == 0))))
+
+    return mapped(docs, run, docs.schema)

@@ -286,7 +286,10 @@ def near_documents(docs: DataFrame, cut: float = 0.8) -> DataFrame:
 
 def one_of_each(docs: DataFrame, cut: float = 0.8) -> DataFrame:
     """The rows of `docs` (all columns) that `near_documents` keeps; of identical (doc_id, text) rows one stays."""
-    stay = near_documents(docs, cut).where("kept").select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_r")).distinct()
-    keyed = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    kept = keyed.join(stay, (F.col("_k") == F.col("_r")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
-    return kept.dropDuplicates(["_k", "doc_id", "text"]).select(*docs.columns)
+    near = written(near_documents(docs, cut), "near")
+    stay = near.where("kept").select(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).distinct()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"))
+    kept = keyed.join(stay, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("d")), "left_semi")
+    if near.groupBy("doc_id", "row_key").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["id", "key"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -212,7 +212,10 @@ def _read(blobs: list) -> list[np.ndarray]:
 def _with_texts(docs: DataFrame, answers: DataFrame, groups: int) -> DataFrame:
     """Answers and then documents of each group, in the order of groups."""
     a = answers.selectExpr("grp", "0 AS kind", "blob", "CAST(NULL AS long) AS doc", "CAST(NULL AS int) AS tag", "CAST(NULL AS long) AS doc_id", "CAST(NULL AS string) AS text")
-    d = docs.selectExpr("grp", "1 AS kind", "CAST(NULL AS binary) AS blob", "doc", "tag", "doc_id", "text")
+    own = ["rest"] if "rest" in docs.columns else []
+    d = docs.selectExpr("grp", "1 AS kind", "CAST(NULL AS binary) AS blob", "doc", "tag", "doc_id", "text", *own)
+    if own:
+        a = a.withColumn("rest", F.lit(None).cast(docs.schema["rest"].dataType))
     return a.union(d).repartition(groups, "grp").sortWithinPartitions("grp", "kind")
 
 
@@ -407,17 +410,19 @@ def _runs(n: int, place: np.ndarray, mask: np.ndarray, length: int, gram: int) -
     return at[::2], at[1::2]
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans, kept_text, kept_sha256 of every row of (doc_id, text).
 
     `spans` are the maximal runs [from, to) of bytes covered by a `length`-byte string that also starts in a document with a
     smaller doc_id; strings overlap, never cross documents, and are judged on the input. `kept_sha256` is of the bytes
     outside the spans. `kept_text` is the text without them, where a character that a span cuts stays whole. A null text is
-    empty; a null doc_id counts as greater than all others; rows with one doc_id remove nothing from each other.
+    empty; a null doc_id counts as greater than all others; rows with one doc_id remove nothing from each other. `carry` adds
+    the other columns as the struct `rest`.
     """
     big = (1 << 63) - 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select(F.coalesce("doc_id", F.lit(big)).alias("doc"), (F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0xFFFF))).cast("int").alias("tag"), "doc_id", "text")
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")).alias("rest")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
+    rows = rows.select(F.coalesce("doc_id", F.lit(big)).alias("doc"), (F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0xFFFF))).cast("int").alias("tag"), "doc_id", "text", *["rest"] * carry)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = groups = max(1, -(-size // BUCKET_BYTES))
 
@@ -456,11 +461,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                         cut[b] = True
                 kept.append(body[cut].tobytes().decode())
             yield pa.RecordBatch.from_arrays(
-                [part.column(part.schema.get_field_index("doc_id")), pa.array(np.diff(off)), pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))), pa.array(kept, pa.string()), pa.array(sha, pa.string()), tag],
-                names=["doc_id", "n_bytes", "spans", "kept_text", "kept_sha256", "tag"],
+                [part.column(part.schema.get_field_index("doc_id")), pa.array(np.diff(off)), pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))), pa.array(kept, pa.string()), pa.array(sha, pa.string()), *[part.column(part.schema.get_field_index("rest"))] * carry],
+                names=["doc_id", "n_bytes", "spans", "kept_text", "kept_sha256", *["rest"] * carry],
             )
 
-    return mapped(_with_texts(grouped, met.union(found), groups), run, "doc_id long, n_bytes long, spans array<struct<from:int,to:int>>, kept_text string, kept_sha256 string, tag int")
+    schema = "doc_id long, n_bytes long, spans array<struct<from:int,to:int>>, kept_text string, kept_sha256 string"
+    if carry:
+        schema += f", rest {rows.schema['rest'].dataType.simpleString()}"
+    return mapped(_with_texts(grouped, met.union(found), groups), run, schema)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """`docs` with each text less its repeats, in all its columns; n_chars, if there, becomes the new length. A null text becomes empty."""
+    r = repeats(docs, length, carry=True)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return r.select(*[(new[c] if c in new else F.col("rest").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
