@@ -1,4 +1,4 @@
-"""All queries of the engine and the SQL that gives the same rows."""
+"""All queries of the engine and the SQL that gives the same rows. The codes name rows of the operator inventory."""
 
 from __future__ import annotations
 
@@ -8,3 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL for its rows if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import analysis, exploring, preparing  # noqa: E402, F401
