@@ -6,6 +6,7 @@ test window, as no other suffix can be found; every test suffix is looked up in
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -137,13 +138,18 @@ class Searcher:
 _searchers: dict[tuple, Searcher] = {}
 
 
-def _searcher(shared, window: int) -> Searcher:
-    """The index of a block; a worker keeps the last one."""
-    key = (id(shared), window)
-    if key not in _searchers:
+def _searcher(block, window: int) -> Searcher:
+    """The index of a (name, broadcast) block; a worker keeps the last one, by the name that the driver gave it."""
+    name, shared = block
+    if (name, window) not in _searchers:
         _searchers.clear()
-        _searchers[key] = Searcher(shared.value, window)
-    return _searchers[key]
+        _searchers[name, window] = Searcher(shared.value, window)
+    return _searchers[name, window]
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    sc = docs.sparkSession.sparkContext
+    return [(uuid.uuid4().hex, sc.broadcast(t)) for t in _tests(benchmark, window, block_bytes)]
 
 
 def _tests(benchmark: DataFrame, window: int, block_bytes: int) -> list[Tests]:
@@ -166,7 +172,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     texts are left out; a null item_id counts as the empty string; repeated rows keep their own result rows. Each slice of documents
     meets the benchmark in blocks of `block_bytes` text, of which a worker holds one index at a time.
     """
-    blocks = [docs.sparkSession.sparkContext.broadcast(t) for t in _tests(benchmark, window, block_bytes)]
+    blocks = _blocks(docs, benchmark, window, block_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<from:int,to:int>>"
     return mapped(rows, _hit_rows(blocks, window), schema)
@@ -213,7 +219,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     Each shard gives its own longest match; the longest of all stays, then the least doc_id and place. Only matches of a
     whole window count. Rows are at most the suffixes of the benchmark.
     """
-    blocks = [docs.sparkSession.sparkContext.broadcast(t) for t in _tests(benchmark, window, block_bytes)]
+    blocks = _blocks(docs, benchmark, window, block_bytes)
 
     def run(batches):
         for b in slices(batches, "text"):
@@ -238,7 +244,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """The rows of `docs` (all columns) that no test window occurs in; rows with a null doc_id or text stay on the same terms."""
     names = docs.columns
     schema = docs.schema
-    blocks = [docs.sparkSession.sparkContext.broadcast(t) for t in _tests(benchmark, window, BLOCK_BYTES)]
+    blocks = _blocks(docs, benchmark, window, BLOCK_BYTES)
 
     def run(batches):
         for b in slices(batches, "text"):
