@@ -120,6 +120,7 @@ def fit(rows: list, label: np.ndarray, steps: int = 1200, batch: int = 128, rate
     rng = np.random.default_rng(seed)
     m = Machine(np.zeros((N_STATS, BINS - 1), np.float32), 0.0, np.zeros(N_FEATURES, np.float32), rng.normal(0, 0.02, (N_FEATURES, RANK)).astype(np.float32))
     if not rows:
+        m.factor[:] = 0
         return m
     stats = np.stack([r[2] for r in rows])
     m.edges = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T.astype(np.float32)

@@ -91,4 +91,4 @@ def _merge(a: dict, b: dict) -> dict:
 def tree_total(df: DataFrame, kind) -> dict:
     """Sums arrays of one length by key over (key, blob) rows, in a tree of partitions; only the total reaches the driver."""
     rdd = df.rdd.mapPartitions(_blobs(kind))
-    return rdd.treeReduce(_merge, depth=2 if rdd.getNumPartitions() < 1000 else 3)
+    return rdd.treeAggregate({}, _merge, _merge, depth=2 if rdd.getNumPartitions() < 1000 else 3)
