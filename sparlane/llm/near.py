@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import gc
 import math
 
 import numpy as np
@@ -15,6 +16,8 @@ from .shared import components, discard, mapped, written
 
 #: Words of a k-mer, sketches, k-mers of a sketch, bins of the screening signature, rows of a bucket compared at once.
 K, SKETCHES, TAKEN, BINS, BLOCK = 5, 16, 3, 64, 1024
+#: Rows of a bucket from which on the last round tests pairs inside the task.
+LARGE = 48
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _COEF = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -140,11 +143,57 @@ def _screen(sig, n, ia, ib, cut):
     return ia[ok], ib[ok], same[ok]
 
 
+def _first_met(buckets: np.ndarray, ia: np.ndarray, ib: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the bucket at hand is the first that both texts are in."""
+    same = buckets[ia] == buckets[ib]
+    return buckets[ia, same.argmax(1)] == key
+
+
+def _closest(ia, ib, same, first_row, k) -> tuple[np.ndarray, np.ndarray]:
+    """Of screened pairs, for each row one partner: `first_row` if it is among them, else the closest."""
+    x, y = np.concatenate([ia, ib]), np.concatenate([ib, ia])
+    s = np.concatenate([same, same]).astype(np.int64)
+    if first_row is not None:
+        s = np.where(y == first_row[x], BINS + 1, s)
+    order = np.lexsort((k[y], -s, x))
+    x, y = x[order], y[order]
+    one = np.concatenate([[True], x[1:] != x[:-1]]) if x.size else np.zeros(0, bool)
+    return x[one], y[one]
+
+
+def _stragglers(label, comp, ia, ib, cut) -> list[tuple[int, int]]:
+    """Links among screened pairs of a large bucket, tested here: for each row outside the most common component, one link to each component that it links to."""
+    names, number = np.unique(comp, return_inverse=True)
+    main = names[np.bincount(number).argmax()]
+    swap = comp[ia] == main
+    x, y = np.where(swap, ib, ia), np.where(swap, ia, ib)
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    edge = np.concatenate([np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), [x.size]]) if x.size else [0]
+    out = []
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        i, them = int(x[lo]), y[lo:hi]
+        own = np.sort(label[i])
+        size = np.array([label[j].size for j in them])
+        every = np.concatenate([label[j] for j in them])
+        at = np.minimum(np.searchsorted(own, every), own.size - 1)
+        common = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(size) - size)
+        able = np.flatnonzero(common >= cut / (1 + cut) * (own.size + size) - 1e-9)
+        done: set[int] = set()
+        for j in able[np.argsort(-common[able] / (own.size + size[able]), kind="stable")].tolist():
+            c = int(comp[them[j]])
+            if c not in done and similarity(label[i], label[them[j]], cut) > 0:
+                done.add(c)
+                out.append((i, int(them[j])))
+    return out
+
+
 def _pairs(groups: DataFrame, cut: float, level: int) -> DataFrame:
-    """(a, b) of bucket rows (key, bi, bj, block, k, n, sig, comp) in different components.
+    """(a, b) of bucket rows (key, bi, bj, block, k, n, sig, comp, buckets, labels) in different components.
 
     Level 0: each row with the least k of its bucket, or if that fails the screen with its closest row. Level 1: each row
-    with its closest row in another component. Level 2: all that remain.
+    with its closest row in another component. Level 2: all pairs that remain, each in the first bucket that both texts are
+    in; in large buckets they are tested at once by `labels`, and only links leave the task.
     """
 
     def flush(rows: pa.Table):
@@ -154,24 +203,25 @@ def _pairs(groups: DataFrame, cut: float, level: int) -> DataFrame:
         size = np.diff(np.append(first, key.size))
         k, n, comp, block = (rows[c].to_numpy() for c in ("k", "n", "comp", "block"))
         sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, BINS)
+        if level == 2:
+            buckets = np.array(rows["buckets"].to_pylist(), np.int64)
+            raw = rows["labels"].to_pylist()
+        lead = np.repeat(first, size) if level == 0 else None
         out_a, out_b = [], []
 
-        def take(ia, ib):
+        def screened(ia, ib):
             ok = (comp[ia] != comp[ib]) & ((bi[ia] == bj[ia]) | (block[ia] != block[ib]))
-            ia, ib, same = _screen(sig, n, ia[ok], ib[ok], cut)
-            if level < 2 and ia.size:
-                x, y, s = np.concatenate([ia, ib]), np.concatenate([ib, ia]), np.concatenate([same, same]).astype(np.int64)
-                if level == 0:
-                    lead = np.repeat(first, size)
-                    s = np.where(y == lead[x], 1000, s)
-                order = np.lexsort((k[y], -s, x))
-                x, y = x[order], y[order]
-                one = np.concatenate([[True], x[1:] != x[:-1]])
-                ia, ib = x[one], y[one]
+            ia, ib = ia[ok], ib[ok]
+            if level == 2 and ia.size:
+                ok = _first_met(buckets, ia, ib, key[ia])
+                ia, ib = ia[ok], ib[ok]
+            return _screen(sig, n, ia, ib, cut)
+
+        def emit(ia, ib):
             out_a.append(k[ia])
             out_b.append(k[ib])
 
-        small = np.flatnonzero(size <= 48)
+        small = np.flatnonzero(size <= LARGE)
         lot = np.cumsum(size[small] ** 2) // 200_000
         for c in np.unique(lot):
             g = small[lot == c]
@@ -180,20 +230,25 @@ def _pairs(groups: DataFrame, cut: float, level: int) -> DataFrame:
             w = np.arange(sq.size) - np.repeat(np.cumsum(m * m) - m * m, m * m)
             ia, ib = first[g][sq] + w // m[sq], first[g][sq] + w % m[sq]
             ok = ia < ib
-            take(ia[ok], ib[ok])
-        for g in np.flatnonzero(size > 48).tolist():
+            ia, ib, same = screened(ia[ok], ib[ok])
+            emit(*(_closest(ia, ib, same, lead, k) if level < 2 else (ia, ib)))
+        for g in np.flatnonzero(size > LARGE).tolist():
             lo, m = int(first[g]), int(size[g])
+            if (comp[lo : lo + m] == comp[lo]).all():
+                continue
             got: list = []
-            # rows of the upper triangle, some at a time; for levels 0 and 1 the closest is chosen over all of them
             step = max(1, 200_000 // m)
-            for r in range(0, m, step):
+            for r in range(0, m, step):  # rows of the upper triangle, some at a time
                 ia, ib = np.divmod(np.arange(r * m, min(m, r + step) * m), m)
                 ok = ia < ib
-                ia, ib = ia[ok] + lo, ib[ok] + lo
-                ok = (comp[ia] != comp[ib]) & ((bi[ia] == bj[ia]) | (block[ia] != block[ib]))
-                got.append(_screen(sig, n, ia[ok], ib[ok], cut)[:2])
-            ia, ib = (np.concatenate([x[i] for x in got]) for i in (0, 1))
-            take(ia, ib)
+                got.append(screened(ia[ok] + lo, ib[ok] + lo))
+            ia, ib, same = (np.concatenate(x) for x in zip(*got, strict=True))
+            if level < 2:
+                emit(*_closest(ia, ib, same, lead, k))
+            elif ia.size:
+                label = [np.frombuffer(raw[i], np.uint32) for i in range(lo, lo + m)]
+                links = np.array(_stragglers(label, comp[lo : lo + m], ia - lo, ib - lo, cut), np.int64).reshape(-1, 2) + lo
+                emit(links[:, 0], links[:, 1])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
         pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
@@ -220,6 +275,18 @@ def _pairs(groups: DataFrame, cut: float, level: int) -> DataFrame:
     return mapped(groups.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "k"), run, "a long, b long").distinct()
 
 
+def _labels(texts: DataFrame) -> DataFrame:
+    """(k, labels): the upper halves of the labelled k-mers of each text, in text order."""
+
+    def run(batches):
+        for b in slices(batches, "text"):
+            lab, off, _, _ = kmers(*text_bytes(b.column(1)))
+            half = (lab >> np.uint64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([half[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["k", "labels"])
+
+    return mapped(texts.select("k", "text"), run, "k long, labels binary")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, cut: float) -> DataFrame:
     """(a, b, similarity) of the pairs that reach `cut`."""
 
@@ -251,7 +318,8 @@ def near_documents(docs: DataFrame, cut: float = 0.8) -> DataFrame:
 
     Candidates are texts that agree in one of `SKETCHES` sketches: the `TAKEN` k-mers that come first in a random order, in
     text order. Copies are one candidate. In a bucket only pairs of different components are verified, in three rounds, the last
-    with all that are left; so no link is lost, and a group that holds together costs about one pair for each text.
+    with all that are left, in large buckets inside the task; so no link is lost, and what leaves the buckets is about one pair
+    for each text and bucket in a group.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", _row_key().alias("row_key"), "text")
@@ -263,18 +331,35 @@ def near_documents(docs: DataFrame, cut: float = 0.8) -> DataFrame:
     members = entries.join(shared, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     members = written(members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "k", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")), "members")
     inside = members.select("k").distinct()
-    own = written(reps.join(inside, "k").select("k", "n", "sig", "rep.doc_id", "rep.row_key"), "candidates")
+    own = written(reps.join(inside, "k").select("k", "n", "sig", "buckets", "rep.doc_id", "rep.row_key"), "candidates")
     texts = written(rows.join(own.select("k", F.col("doc_id").alias("d"), F.col("row_key").alias("r")), (F.col("row_key") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("k", "text").dropDuplicates(["k"]), "texts")
     comp = own.select("k", F.col("k").alias("comp"))
     links = None
     for level in range(3):
-        groups = members.join(own.select("k", "n", "sig"), "k").join(comp, "k").select("key", "bi", "bj", "block", "k", "n", "sig", "comp")
-        pairs = written(_pairs(groups, cut, level), "pairs")
+        placed = members.join(comp, "k")
+        if level:
+            placed = written(placed, "placed")
+            keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+            placed = placed.join(keys.select("key", "rows"), "key")
+        else:
+            placed = placed.withColumn("rows", F.lit(0).cast("long"))
+        none = F.lit(None)
+        if level == 2:
+            big = placed.where(F.col("rows") > LARGE).select("k").distinct()
+            labels = written(_labels(texts.join(big, "k")), "labels")
+            use = placed.join(own.select("k", "n", "sig", "buckets"), "k")
+            few, many = use.where(F.col("rows") <= LARGE).withColumn("labels", none.cast("binary")), use.where(F.col("rows") > LARGE).join(labels, "k")
+            groups = few.unionByName(many)
+        else:
+            groups = placed.join(own.select("k", "n", "sig"), "k").withColumn("buckets", none.cast("array<long>")).withColumn("labels", none.cast("binary"))
+        pairs = written(_pairs(groups.select("key", "bi", "bj", "block", "k", "n", "sig", "comp", "buckets", "labels"), cut, level), "pairs")
         found = written(_verify(pairs, texts, cut).select("a", "b"), "links")
         discard(pairs)
         links = found if links is None else links.union(found)
         nodes = components(links)
         comp = own.select("k").join(nodes.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("comp"))
+        gc.collect()
+        docs.sparkSession._jvm.System.gc()  # shuffle files of finished rounds go when their handles do
     out = done.join(nodes.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))
     heads = out.where("n_words > 0").groupBy("component").agg(best.alias("head"))

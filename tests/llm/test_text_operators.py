@@ -250,3 +250,17 @@ def test_hash_table():
     data = np.frombuffer(b"abc" * 50 + b"x" + b"abc" * 50, np.uint8)
     a = hash_runs(data, np.array([0, 151]), np.array([150, 301]))
     assert a[0] == a[1]
+
+
+def test_near_documents_in_a_large_group(spark):
+    """Copies with many edits: most pairs lie near the limit, and buckets are large enough to be tested inside a task."""
+    rng = np.random.default_rng(8)
+    base = [f"word{i}" for i in range(160)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for j in rng.choice(160, int(rng.integers(1, 7)), replace=False):
+            w[j] = f"new{i}x{j}"
+        rows.append((i, " ".join(w)))
+    got = near.near_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert order(map(tuple, got.select("doc_id", "class_id").collect())) == classes(rows)
