@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracle
 from .counts import token_counts
 from .decontaminate import report
 from .language import identify
@@ -65,4 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_recurrent_scoring, op2_cross_polytope, op3_suffix_array_decontamination, op4_deep_shallow_dedup, op5_token_output, op6_factorisation_machine, op7_order_minhash, op8_sum_of_squares_packing, op9_token_counts, op10_language_id)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_cross_polytope": oracle.NEAR_VECTORS,
+    "op3_suffix_array_decontamination": oracle.DECONTAMINATION,
+}
