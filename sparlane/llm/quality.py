@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import WORD_BYTES, slices, text_bytes, words
+from .blocks import WORD_BYTES, hash_runs, slices, text_bytes, words
 from .language import held_out
 from .shared import mapped
 
@@ -49,8 +49,6 @@ def statistics(data: np.ndarray, off: np.ndarray, word_hash: np.ndarray, word_of
     edge[:-1][1:] |= data[:-1] == 10
     st = np.flatnonzero(edge[:-1])
     line_len = np.diff(np.append(st, data.size))
-    from .blocks import hash_runs
-
     lh = hash_runs(data, st, np.append(st[1:], data.size))
     ld = np.searchsorted(off, st, side="right") - 1
     lo = np.lexsort((lh, ld))
