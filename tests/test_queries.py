@@ -9,8 +9,6 @@ import pytest
 
 from sparlane.plans import registry
 
-TRAINING = set()
-
 
 @pytest.fixture(scope="module")
 def duck(sf_dir):
