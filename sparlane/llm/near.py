@@ -356,7 +356,7 @@ def near_documents(docs: DataFrame, cut: float = 0.8) -> DataFrame:
         found = written(_verify(pairs, texts, cut).select("a", "b"), "links")
         discard(pairs)
         links = found if links is None else links.union(found)
-        nodes = components(links)
+        nodes = components(links, 2 if level < 2 else None)  # before the last round, less than whole components only means more tests
         comp = own.select("k").join(nodes.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("comp"))
         gc.collect()
         docs.sparkSession._jvm.System.gc()  # shuffle files of finished rounds go when their handles do

@@ -49,27 +49,30 @@ def discard(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(a, b) long pairs -> (node, component): the least node that the links reach, for nodes with a link.
 
     Alternates large-star and small-star steps; each round is written to the shared folder. Stops when the
-    edge set no longer changes. Self-loops and repeated pairs are allowed; nulls are not.
+    edge set no longer changes, or after `rounds`: then a component is some node that the links reach, so nodes of one
+    component are linked, but linked nodes may still be in several. Self-loops and repeated pairs are allowed; nulls are not.
     """
     cur = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    while True:
+    state, done = None, 0
+    while rounds is None or done < rounds:
+        done += 1
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e"))
         nxt = written(small.select("e.*").where("x <> y").distinct().toDF("a", "b"), "edges")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(cur)
         cur = nxt
-        if now == state:
-            break
-        state = now
+        if rounds is None:
+            now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == state:
+                break
+            state = now
     return cur.groupBy("a").agg(F.min("b").alias("component")).union(cur.groupBy("b").agg(F.min("b").alias("component"))).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
 
 
