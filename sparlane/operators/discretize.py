@@ -30,7 +30,7 @@ def uniform(df: DataFrame, column: str, bins: int = 10) -> Column:
     lo, hi, k = _summary(df, column, bins)
     if lo is None or lo == hi:
         return F.when(q(column).isNotNull(), 0)
-    return F.least(F.floor((q(column) - F.lit(lo)) / F.lit(hi - lo) * F.lit(k)), F.lit(k - 1)).cast("int")
+    return F.when(q(column).isNotNull(), F.least(F.floor((q(column) - F.lit(lo)) / F.lit(hi - lo) * F.lit(k)), F.lit(k - 1))).cast("int")
 
 
 def _by_edges(column: str, inner: list[float], right: bool = False) -> Column:
