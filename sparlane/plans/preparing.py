@@ -119,10 +119,10 @@ def first_rows(spark, d):
     return prep.first_rows(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100)
 
 
-@query(f"SELECT s_suppkey, s_acctbal FROM supplier ORDER BY {_MD5.format('s_suppkey')}, s_suppkey LIMIT 20")
+@query(f"SELECT c_custkey, c_acctbal FROM customer ORDER BY {_MD5.format('c_custkey')}, c_custkey LIMIT 20")
 def random_rows(spark, d):
     """A sample without replacement by the hash of ids."""
-    return prep.sample(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey", 20)
+    return prep.sample(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey", 20)
 
 
 @query()
