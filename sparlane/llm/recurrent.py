@@ -22,8 +22,8 @@ from .shared import mapped, tree_total, written
 
 #: Own outputs, units, words of a class, most words whose counts every task holds.
 HEAD, UNITS, CLASS, COMMON = 2048, 16, 45, 1 << 19
-#: Texts side by side in training and in scoring, steps of a window, of which every EVERY-th learns, averaging rounds, step size.
-LANES, WIDE, WINDOW, EVERY, ROUNDS, RATE = 192, 768, 24, 4, 2, 0.012
+#: Texts side by side in training and in scoring, steps of a window, averaging rounds, step size.
+LANES, WIDE, WINDOW, ROUNDS, RATE = 192, 768, 24, 2, 0.012
 #: Tokens that a task takes at a time.
 PART = 800_000
 END = np.uint64(0x656E64)
@@ -289,17 +289,15 @@ class Learner:
         net = self.net
         t, x, _, new, active = _lanes(target, off, LANES, net.k)
         h = np.zeros((t.shape[1], UNITS), np.float32)
-        for k, (lo, hi, n) in enumerate(_windows(active, WINDOW)):
-            teach = k % EVERY == EVERY - 1 or k == 0
-            s, state, kept = net.steps(x[lo:hi, :n], new[lo:hi, :n], h[:n], teach)
-            if teach:
-                goal = t[lo:hi, :n].ravel()
-                use = np.flatnonzero(goal >= 0)
-                _, g, d = net.outputs(s.reshape(-1, UNITS)[use], goal[use], True)
-                ds = np.zeros((goal.size, UNITS), np.float32)
-                ds[use] = d
-                net.back(x[lo:hi, :n], new[lo:hi, :n], kept, ds.reshape(s.shape), g)
-                self.step(g, max(1, use.size))
+        for lo, hi, n in _windows(active, WINDOW):
+            s, state, kept = net.steps(x[lo:hi, :n], new[lo:hi, :n], h[:n], True)
+            goal = t[lo:hi, :n].ravel()
+            use = np.flatnonzero(goal >= 0)
+            _, g, d = net.outputs(s.reshape(-1, UNITS)[use], goal[use], True)
+            ds = np.zeros((goal.size, UNITS), np.float32)
+            ds[use] = d
+            net.back(x[lo:hi, :n], new[lo:hi, :n], kept, ds.reshape(s.shape), g)
+            self.step(g, max(1, use.size))
             h = state
         self.seen += target.size
 

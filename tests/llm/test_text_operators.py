@@ -240,6 +240,19 @@ def test_network_gradient_and_sum():
         assert g[name][at] == pytest.approx((up - down) / (2 * e), rel=0.08, abs=0.02)
 
 
+def test_every_window_teaches():
+    v = recurrent.Vocabulary(np.arange(1, 61, dtype=np.uint64), np.arange(60, 0, -1), np.arange(1, 61, dtype=np.uint64), np.arange(60, 0, -1), 3000, 90)
+    steps = 6 * recurrent.WINDOW
+    for w in range(6):
+        learner = recurrent.Learner(recurrent.Network(v), recurrent.RATE)
+        before = learner.net.p["emb"].copy()
+        target = np.full(steps, 3)
+        target[w * recurrent.WINDOW + 5] = 50  # stands in one window alone, and is the input of its next step
+        learner.learn(target, np.array([0, steps]))
+        assert learner.n == 6
+        assert (learner.net.p["emb"][50] != before[50]).any()
+
+
 def test_hash_table():
     t, rng = Table(2), np.random.default_rng(0)
     keys = np.unique(rng.integers(1, 1 << 62, 5000, dtype=np.uint64))
