@@ -103,13 +103,15 @@ def box_join(points: DataFrame, boxes: DataFrame, axes: Sequence[str], how: str
 def ball_check(data: DataFrame, configs: DataFrame, axes: Sequence[Axis], config_id: str, objective: Column, threshold: float, ints: Sequence[str] = ()) -> DataFrame:
     """(config, inside, passed, failed): rows within each configuration's ball and how many reach the threshold.
 
-    On integer axes the ball is half-open, on others closed. A configuration without rows is left out.
+    On integer axes the ball is half-open, on others closed. A configuration without rows is left out. Rows at one point are
+    counted before the join.
     """
     names = [a.column for a in axes]
     boxes = with_boxes(configs, axes).select(q(config_id).alias("_config"), *[q(f"{s}_{c}") for c in names for s in ("lo", "hi")])
     points = data.select(*map(q, names), objective.cast("double").alias("_value"))
+    points = points.groupBy(*map(q, names)).agg(F.count("*").alias("_inside"), F.count_if(F.col("_value") >= threshold).alias("_passed"), F.count_if(F.col("_value") < threshold).alias("_failed"))
     j = box_join(points, boxes, names, half_open=ints)
-    return j.groupBy(F.col("b._config").alias("config")).agg(F.count("*").alias("inside"), F.count_if(F.col("p._value") >= threshold).alias("passed"), F.count_if(F.col("p._value") < threshold).alias("failed"))
+    return j.groupBy(F.col("b._config").alias("config")).agg(*[F.sum(f"p._{c}").alias(c) for c in ("inside", "passed", "failed")])
 
 
 def _local_skyline(columns: Sequence[str]):

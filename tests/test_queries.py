@@ -39,6 +39,20 @@ def test_query(spark, sf_dir, duck, name):
         assert x == pytest.approx(y, rel=1e-6, abs=2e-6) if all(isinstance(v, float) for v in (*x, *y)) else x == y
 
 
+def test_ball_check_takes_every_part(spark, tmp_path):
+    parts = [(k, k % 50 + 1, 900.0 + k % 100) for k in range(0, 2000, 7)]
+    items = [(i % 50 + 1, (i % 9) / 100, 20000.0 + 50 * i) for i in range(400)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(items, "l_quantity int, l_tax double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for k, size, price in parts:
+        hit = [v for q, t, v in items if size - 3 <= q < size + 3 and price / 20000 - 0.01 <= t <= price / 20000 + 0.01]
+        if hit:
+            want[k] = (len(hit), sum(v >= 30000 for v in hit), sum(v < 30000 for v in hit))
+    got = {r["config"]: (r["inside"], r["passed"], r["failed"]) for r in registry.QUERIES["ball_check"](spark, str(tmp_path)).collect()}
+    assert got == want and max(want) > 200
+
+
 def test_entry(spark):
     import __spark_entry__
 
