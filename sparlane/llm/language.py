@@ -106,20 +106,16 @@ def infer(model: Languages, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     limit = COST * np.log1p(n)
     allowed = np.ones((ids.size, len(model.names)), np.float32)
     pi, best = _em(p, count, first, width, allowed, STEPS)
-    single = np.add.reduceat(count[:, None] * np.log(np.maximum(p, 1e-30)), first, 0)
-    lead = single.argmax(1)
-    alone = single[np.arange(ids.size), lead]
-    lone = best - alone < limit * (len(model.names) - 1)
-    final = np.where(lone[:, None], np.eye(len(model.names))[lead], pi)
-    todo = np.flatnonzero(~lone)
+    final = pi.astype(np.float64)
+    todo = np.arange(ids.size)
     while todo.size and len(model.names) > 1:
         use = allowed[todo].astype(bool)
         least = np.where(use, pi[todo], np.inf).argmin(1)
         less = allowed[todo].copy()
         less[np.arange(todo.size), least] = 0
-        rows = np.concatenate([np.arange(first[i], first[i] + width[i]) for i in todo])
         w = width[todo]
         f = np.cumsum(w) - w
+        rows = np.arange(int(w.sum())) + np.repeat(first[todo] - f, w)
         sub, like = _em(p[rows], count[rows], f, w, less, STEPS)
         drop = (best[todo] - like < limit[todo]) & (less.sum(1) >= 1)
         final[todo] = np.where(drop[:, None], sub, final[todo])

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparlane.llm import decontaminate, language, near, quality, recurrent, repeats
-from sparlane.llm.blocks import Table, hash_runs
+from sparlane.llm.blocks import Table, hash_runs, text_bytes
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -175,6 +175,45 @@ def test_language(edge, nothing, documents):
     assert kept.columns == edge.columns and {3, 4, 5, 8}.isdisjoint({r[0] for r in kept.select("doc_id").collect()})
 
 
+def backward(model, text):
+    """The languages that stay when the least goes while that costs under 2 log(1 + n)."""
+    data, off = text_bytes(pa.array([text]))
+    lp = model.logs[language.grams(data, off)[0]].astype(float)
+    p = np.exp(lp - lp.max(1, keepdims=True))
+
+    def em(use):
+        pi = np.full(len(use), 1 / len(use))
+        for _ in range(language.STEPS):
+            r = p[:, use] * pi
+            pi = (r / r.sum(1, keepdims=True)).mean(0)
+        return pi, float(np.log(p[:, use] @ pi).sum())
+
+    use = list(range(len(model.names)))
+    pi, like = em(use)
+    while len(use) > 1:
+        less = [u for k, u in enumerate(use) if k != pi.argmin()]
+        sub, low = em(less)
+        if like - low >= 2 * math.log1p(len(lp)):
+            break
+        use, pi, like = less, sub, low
+    return use, pi
+
+
+def test_minor_second_languages(documents):
+    rng = np.random.default_rng(0)
+    model = language.learn(documents.select("text", "lang"))
+    by = {x: " ".join(r["text"] for r in documents.where(F.col("lang") == x).limit(3).collect()).split() for x in ("en", "de")}
+    texts = [" ".join(by["en"][a : a + n] + by["de"][a : a + k]) for n in (20, 60, 150) for k in range(1, 12) for a in rng.integers(0, 60, 2)]
+    got = language.infer(model, *text_bytes(pa.array(texts)))
+    size = []
+    for text, row in zip(texts, got, strict=True):
+        use, pi = backward(model, text)
+        assert np.flatnonzero(row > 0).tolist() == use
+        assert row[use] == pytest.approx(pi, abs=1e-3)
+        size.append(len(use))
+    assert min(size) == 1 and max(size) > 1
+
+
 def test_quality(spark, edge, nothing, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = quality.quality(docs, labels).join(labels, "doc_id").toPandas()
