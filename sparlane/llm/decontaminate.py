@@ -107,32 +107,80 @@ class Searcher:
         at = np.repeat(lo[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return start[at], np.repeat(found, n)
 
-    def longest(self, ids, ends, start, key) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every test suffix with a match of its window's length or more: its number, the place and length of its longest match in the shard."""
+    def longest(self, ids, woff, start, key, rank) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every test suffix whose window is matched: its number, the place and length of its longest match in the shard.
+
+        Of equally long matches the one in the document of the least `rank`, then the first, is given. The suffixes that begin
+        like a window, of texts and tests alike, are ordered as far as a test reaches; the longest match of a test suffix is
+        then next to it.
+        """
         t, w = self.t, self.window
         none = np.zeros(0, np.int64)
-        if not start.size:
+        use = np.flatnonzero(t.length > 0)
+        rows, short = t.ids[use[:, None] + np.arange(w)], np.arange(w) >= t.length[use][:, None]
+        low = np.searchsorted(key, _keys(np.where(short, 0, rows)), "left") if start.size and use.size else none
+        high = np.searchsorted(key, _keys(np.where(short, 0xFFFFFFFF, rows)), "right") if start.size and use.size else none
+        use, low, high = (x[np.flatnonzero(high > low)] for x in (use, low, high))
+        if not use.size:
             return none, none, none
-        n = t.left.size
-        rows = np.where(np.arange(w) < t.left[:, None], t.ids[np.arange(n)[:, None] + np.arange(w)], 0)
-        spot = np.searchsorted(key, _keys(rows))
-        best, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for near in (spot - 1, spot):
-            inside = np.flatnonzero((near >= 0) & (near < start.size))
-            p, size = start[near[inside]], np.zeros(inside.size, np.int64)
-            todo = np.arange(inside.size)
-            while todo.size:
-                a, b, s = inside[todo], p[todo], size[todo]
-                go = (s < t.left[a]) & (b + s < ends[b])
-                a, b, s, todo = a[go], b[go], s[go], todo[go]
-                same = t.ids[a + s] == ids[b + s]
-                size[todo[same]] += 1
-                todo = todo[same]
-            more = size > best[inside]
-            best[inside[more]], place[inside[more]] = size[more], p[more]
-        need = np.where(t.left >= w, w, np.where(t.length > 0, t.length, w))
-        use = np.flatnonzero(best >= need)
-        return use, place[use], best[use]
+        inside = np.cumsum(np.bincount(low, minlength=start.size + 1) - np.bincount(high, minlength=start.size + 1))[:-1] > 0
+        spots = start[inside]
+        # one row of words, a 0 after each text and after each item's part
+        end, which = np.unique(use + t.left[use], return_inverse=True)
+        begin = use[np.searchsorted(which, np.arange(end.size))]
+        doc = np.searchsorted(woff, spots, side="right") - 1
+        size = int(woff[-1])
+        base = size + woff.size - 1
+        shift = base + np.cumsum(end - begin + 1) - (end + 1)
+        seq = np.zeros(int(base + (end - begin + 1).sum()) + 1, np.int64)
+        seq[np.arange(size) + np.repeat(np.arange(woff.size - 1), np.diff(woff))] = ids[:size]
+        part = np.arange(int((end - begin).sum())) + np.repeat(end - np.cumsum(end - begin), end - begin)
+        seq[part + np.repeat(shift, end - begin)] = t.ids[part]
+        at = np.concatenate([spots + doc, use + shift[which]])
+        reach = int(t.left[use].max())
+        order = np.argsort(_doubled(seq, reach)[at], kind="stable")
+        at, test = at[order], order >= spots.size
+        # common words of each suffix with the one before, as far as a test reaches
+        common, todo = np.zeros(at.size, np.int64), np.arange(1, at.size)
+        for s in range(reach):
+            x = seq[at[todo] + s]
+            todo = todo[(x > 0) & (x == seq[at[todo - 1] + s])]
+            if not todo.size:
+                break
+            common[todo] += 1
+        best = np.maximum(_since(common, ~test, reach), _since(np.append(common[1:], 0)[::-1], ~test[::-1], reach)[::-1])
+        turn = np.lexsort((spots - woff[doc], rank[doc]))
+        tie = np.full(at.size, spots.size)
+        tie[np.argsort(order)[turn]] = np.arange(spots.size)
+        place, length = np.zeros(use.size, np.int64), np.zeros(use.size, np.int64)
+        length[order[test] - spots.size] = best[test]
+        for n in np.unique(best[test]).tolist():
+            group = np.cumsum(common < n)
+            edge = np.flatnonzero(np.diff(group, prepend=-1))
+            least = np.minimum.reduceat(tie, edge)[np.searchsorted(group[edge], group)]
+            mine = test & (best == n)
+            place[order[mine] - spots.size] = spots[turn[least[mine]]]
+        return use, place, length
+
+
+def _doubled(seq: np.ndarray, reach: int) -> np.ndarray:
+    """Ranks of the suffixes of `seq` by `reach` words or more, by prefix doubling; none has more words than lie up to its next 0."""
+    ends = np.flatnonzero(seq == 0)
+    reach = min(reach, int(np.diff(ends, prepend=-1).max()))
+    rank, k = seq, 1
+    while k < reach:
+        ahead = np.zeros(seq.size, np.int64)
+        ahead[:-k] = rank[k:]
+        rank = np.unique(rank * (int(rank.max()) + 1) + ahead, return_inverse=True)[1].ravel()
+        k *= 2
+    return rank
+
+
+def _since(common: np.ndarray, mark: np.ndarray, most: int) -> np.ndarray:
+    """At each place the least of `common` since the last mark, that of the mark left out; 0 before the first mark."""
+    part = np.cumsum(mark)
+    x = np.where(mark, most, common)
+    return np.where(part > 0, np.minimum.accumulate(x - part * (most + 1)) + part * (most + 1), 0)
 
 
 _searchers: dict[tuple, Searcher] = {}
@@ -216,8 +264,8 @@ def _hit_rows(blocks, window: int):
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """item_id, item_word, doc_id, doc_word, length: for every test suffix, the longest verbatim match in any document.
 
-    Each shard gives its own longest match; the longest of all stays, then the least doc_id and place. Only matches of a
-    whole window count. Rows are at most the suffixes of the benchmark.
+    Each shard gives its own longest match; the longest of all stays, then the least doc_id (null last) and place. Only
+    matches of a whole window count. Rows are at most the suffixes of the benchmark.
     """
     blocks = _blocks(docs, benchmark, window, block_bytes)
 
@@ -225,10 +273,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
         for b in slices(batches, "text"):
             data, off = text_bytes(b.column(1))
             _, _, h, woff = words(data, off, WORD_BYTES)
+            doc_id = b.column(0)
+            rank = np.unique(doc_id.fill_null(0).to_numpy(), return_inverse=True)[1].ravel()
+            rank[doc_id.is_null().to_numpy(zero_copy_only=False)] = rank.size
             for k, shared in enumerate(blocks):
                 s = _searcher(shared, window)
-                ids, ends, start, key = s.shard(h, woff)
-                suffix, place, length = s.longest(ids, ends, start, key)
+                ids, _, start, key = s.shard(h, woff)
+                suffix, place, length = s.longest(ids, woff, start, key, rank)
                 doc = np.searchsorted(woff, place, side="right") - 1
                 begin = np.flatnonzero(np.concatenate([[True], s.t.left[1:] >= s.t.left[:-1]])) if s.t.left.size else suffix
                 own = suffix - begin[np.searchsorted(begin, suffix, side="right") - 1] if suffix.size else suffix

@@ -70,6 +70,43 @@ def test_decontamination(spark, edge, nothing, documents, sf_dir):
         assert texts[r.doc_id][r.doc_word : r.doc_word + r.length] == item[r.item_id][r.item_word : r.item_word + r.length]
 
 
+def longest(docs, items, window=10):
+    out = []
+    for name, t in items:
+        w = words(t)
+        for i in range(len(w)):
+            need = window if len(w) - i >= window else len(w) if i == 0 else None
+            best = (0,)
+            for d, text in docs:
+                x = words(text)
+                for k in range(len(x)):
+                    n = 0
+                    while i + n < len(w) and k + n < len(x) and w[i + n] == x[k + n]:
+                        n += 1
+                    best = max(best, (n, d is not None, -(d or 0), -k, d))
+            if need and best[0] >= need:
+                out.append((str(name), i, best[4], -best[3], best[0]))
+    return order(out)
+
+
+def test_longest_matches(spark):
+    """Quotes of many lengths of each item, in all orders, and words that repeat."""
+    rng = np.random.default_rng(4)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 500, 24))) for k in range(3)] + [(3, "la " * 14), (4, "two words"), (5, "x y z x y z x y z x y z x y z")]
+    docs = []
+    for i in range(60):
+        w = items[i % 4][1].split()
+        a = int(rng.integers(0, len(w) - 9))
+        b = int(rng.integers(a + 9, len(w) + 1))
+        docs.append((int(rng.integers(0, 40)) if i % 7 else None, " ".join(["before", "two", *w[a:b], "words" if i % 2 else "la", "two words" if i % 9 == 4 else ""])))
+    docs += [(50, "la " * 30), (51, items[0][1]), (7, items[0][1] + " " + items[1][1]), (52, "x y z " * 9), (None, None), (53, "")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = longest(docs, items)
+    for parts, size in ((1, 32 << 20), (1, 100), (5, 32 << 20)):
+        got = decontaminate.matches(df.coalesce(1).repartition(parts), bench, block_bytes=size)
+        assert order(map(tuple, got.select("item_id", "item_word", "doc_id", "doc_word", "length").collect())) == want
+
+
 def removed(rows, length=50):
     big = 1 << 63
     first = {}
