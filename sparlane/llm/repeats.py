@@ -24,6 +24,8 @@ from .shared import mapped, written
 LENGTH, GRAM = 50, 16
 #: Bytes of text of which one bucket gets the anchors; anchors that a task gathers before it sends them; bytes compared in the shallow sort.
 BUCKET_BYTES, HELD, SHALLOW = 8 << 20, 3_000_000, 16
+#: doc_ids with several texts up to which only their rows get tags of full width; beyond, all rows do.
+SHARED_IDS = 1 << 18
 _ONE, _BASE = np.uint64(0xBF58476D1CE4E5B9), 0x9E3779B97F4A7C15
 
 
@@ -72,6 +74,9 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
 
 
 def _packed(**arrays) -> bytes:
+    """`tag` goes byte by byte, as most tags have two bytes and zeros."""
+    if "tag" in arrays:
+        arrays["tag"] = np.ascontiguousarray(np.ascontiguousarray(arrays["tag"]).view(np.uint8).reshape(-1, 8).T)
     return zlib.compress(b"".join(np.int64(a.nbytes).tobytes() + a.tobytes() for a in arrays.values()), 1)
 
 
@@ -79,7 +84,10 @@ def _opened(blob: bytes, kinds: str) -> list[np.ndarray]:
     raw, at, out = zlib.decompress(blob), 0, []
     for kind in kinds.split():
         size = int(np.frombuffer(raw, np.int64, 1, at)[0])
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at + 8))
+        if kind == "tag":
+            out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at + 8).reshape(8, -1).T).view(np.int64).ravel())
+        else:
+            out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at + 8))
         at += 8 + size
     return out
 
@@ -96,7 +104,7 @@ def _sent(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, h: np.ndarray, ma
 
 def _group(doc: np.ndarray, tag: np.ndarray, groups: int) -> np.ndarray:
     """As `grp` in `repeats`; the tag is a hash, so that any numbering of documents spreads."""
-    return (doc ^ tag.astype(np.int64)) % groups
+    return (doc ^ tag) % groups
 
 
 _WHOLE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -129,7 +137,7 @@ def _find(docs: DataFrame, buckets: int, groups: int, length: int, gram: int) ->
         for b in slices(batches, "text"):
             data, off = text_bytes(b.column(2))
             d, place, h, c = anchors(data, off, length, gram)
-            held.append((b.column(0).to_numpy()[d], b.column(1).to_numpy()[d].astype(np.uint16), place, h, c))
+            held.append((b.column(0).to_numpy()[d], b.column(1).to_numpy()[d], place, h, c))
             n += d.size
             if n >= HELD:
                 yield flush(held)
@@ -174,7 +182,7 @@ def _meet(found: DataFrame, buckets: int, groups: int) -> DataFrame:
                     if kind:
                         rows.append((g, blob))
                         continue
-                    doc, tag, place, short, c = _opened(blob, "i8 u2 i4 u1 u8")
+                    doc, tag, place, short, c = _opened(blob, "i8 tag i4 u1 u8")
                     h = np.zeros((doc.size, 8), np.uint8)
                     h[:, :5] = short.reshape(-1, 5)
                     cols.append((np.cumsum(doc), tag, place, h.view(np.uint64).ravel(), c))
@@ -200,10 +208,10 @@ def _meet(found: DataFrame, buckets: int, groups: int) -> DataFrame:
 def _read(blobs: list) -> list[np.ndarray]:
     cols = []
     for blob in blobs:
-        doc, tag, place, h, mask = _opened(blob, "i8 u2 i4 u8 u8")
+        doc, tag, place, h, mask = _opened(blob, "i8 tag i4 u8 u8")
         cols.append((np.cumsum(doc), tag, place, h, mask))
     if not cols:
-        return [np.zeros(0, k) for k in (np.int64, np.uint16, np.int32, np.uint64, np.uint64)]
+        return [np.zeros(0, k) for k in (np.int64, np.int64, np.int32, np.uint64, np.uint64)]
     out = [np.concatenate(x) for x in zip(*cols, strict=True)]
     order = np.lexsort((out[1], out[0]))
     return [x[order] for x in out]
@@ -211,7 +219,7 @@ def _read(blobs: list) -> list[np.ndarray]:
 
 def _with_texts(docs: DataFrame, answers: DataFrame, groups: int) -> DataFrame:
     """Answers and then documents of each group, in the order of groups."""
-    a = answers.selectExpr("grp", "0 AS kind", "blob", "CAST(NULL AS long) AS doc", "CAST(NULL AS int) AS tag", "CAST(NULL AS long) AS doc_id", "CAST(NULL AS string) AS text")
+    a = answers.selectExpr("grp", "0 AS kind", "blob", "CAST(NULL AS long) AS doc", "CAST(NULL AS long) AS tag", "CAST(NULL AS long) AS doc_id", "CAST(NULL AS string) AS text")
     own = ["rest"] if "rest" in docs.columns else []
     d = docs.selectExpr("grp", "1 AS kind", "CAST(NULL AS binary) AS blob", "doc", "tag", "doc_id", "text", *own)
     if own:
@@ -238,8 +246,8 @@ def _met(batches):
 
 
 def _own(table, doc: int, tag: int) -> slice:
-    lo, hi = np.searchsorted(table[0], [doc, doc + 1]) if doc < (1 << 63) - 1 else (np.searchsorted(table[0], doc), table[0].size)
-    a, b = np.searchsorted(table[1][lo:hi], [tag, tag + 1])
+    lo, hi = (np.searchsorted(table[0], doc, side) for side in ("left", "right"))
+    a, b = (np.searchsorted(table[1][lo:hi], tag, side) for side in ("left", "right"))
     return slice(lo + a, lo + b)
 
 
@@ -261,7 +269,7 @@ def _fetch(docs: DataFrame, answers: DataFrame, buckets: int, groups: int, lengt
                 p = table[2][ask].astype(np.int64)
                 idx = p[:, None] + np.arange(-left, length)
                 inside = (idx >= 0) & (idx < body.size)
-                cols.append((np.full(p.size, d), np.full(p.size, t, np.uint16), p.astype(np.int32), table[3][ask], np.where(inside, body[np.clip(idx, 0, body.size - 1)], 0).astype(np.uint8), np.minimum(p, left).astype(np.uint8), np.minimum(body.size - p, length).astype(np.uint8)))
+                cols.append((np.full(p.size, d), np.full(p.size, t, np.int64), p.astype(np.int32), table[3][ask], np.where(inside, body[np.clip(idx, 0, body.size - 1)], 0).astype(np.uint8), np.minimum(p, left).astype(np.uint8), np.minimum(body.size - p, length).astype(np.uint8)))
             if not cols:
                 continue
             doc, tag, place, h, ctx, before, after = (np.concatenate(x) for x in zip(*cols, strict=True))
@@ -381,7 +389,7 @@ def _sort(fetched: DataFrame, buckets: int, groups: int, length: int, gram: int)
             cols = []
             for p in parts:
                 for blob in p.column(p.schema.get_field_index("blob")).to_pylist():
-                    doc, tag, place, h, ctx, before, after = _opened(blob, "i8 u2 i4 u8 u1 u1 u1")
+                    doc, tag, place, h, ctx, before, after = _opened(blob, "i8 tag i4 u8 u1 u1 u1")
                     cols.append((doc, tag, place, h, ctx.reshape(-1, width), before, after))
             doc, tag, place, h, ctx, before, after = (np.concatenate(x) for x in zip(*cols, strict=True))
             mask = covered(ctx, before, after, doc, length, gram)
@@ -422,11 +430,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: bool
     big = (1 << 63) - 1
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")).alias("rest")] if carry else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
-    rows = rows.select(F.coalesce("doc_id", F.lit(big)).alias("doc"), (F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0xFFFF))).cast("int").alias("tag"), "doc_id", "text", *["rest"] * carry)
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = rows.select(F.coalesce("doc_id", F.lit(big)).alias("doc"), F.xxhash64("doc_id", "text").alias("tag"), "doc_id", "text", *["rest"] * carry)
+    ids = written(rows.groupBy("doc").agg(F.sum(F.octet_length("text")).alias("size"), (F.min("tag") < F.max("tag")).alias("several")), "ids")
+    size, several = ids.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_if("several")).first()
     buckets = groups = max(1, -(-size // BUCKET_BYTES))
 
-    grouped = rows.withColumn("grp", F.pmod(F.col("doc").bitwiseXOR(F.col("tag").cast("long")), F.lit(groups)).cast("int"))
+    # (doc, tag) names a text: where a doc_id has one text only, any tag does, and a short one packs well
+    if several <= SHARED_IDS:
+        rows = rows.join(F.broadcast(ids.where("several").select("doc", "several")), "doc", "left")
+        rows = rows.withColumn("tag", F.when(F.col("several"), F.col("tag")).otherwise(F.col("tag").bitwiseAND(F.lit(0xFFFF)))).drop("several")
+    grouped = rows.withColumn("grp", F.pmod(F.col("doc").bitwiseXOR(F.col("tag")), F.lit(groups)).cast("int"))
     met = written(_meet(_find(rows, buckets, groups, length, gram), buckets, groups), "met")
     gc.collect()
     docs.sparkSession._jvm.System.gc()  # shuffle files of finished steps go when their handles do

@@ -138,6 +138,21 @@ def test_repeats(spark, edge, nothing, documents):
     assert text[2] == "z" * 9 + "è" + "é" or "y" not in text[2]
 
 
+@pytest.mark.parametrize("shared", [0, repeats.SHARED_IDS])
+def test_repeats_of_many_texts_with_one_id(spark, monkeypatch, shared):
+    """Thousands of different texts, of many lengths, without an id or with the same one."""
+    monkeypatch.setattr(repeats, "SHARED_IDS", shared)
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    passages = ["".join(rng.choice(letters, 70)) for _ in range(40)]
+    rows = [(i, p) for i, p in enumerate(passages)]
+    for i in range(4000):
+        a, b = ("".join(rng.choice(letters, int(n))) for n in rng.integers(1, 60, 2))
+        rows.append((None if i % 2 else 500, a + passages[i % 40][: int(rng.integers(40, 71))] + b))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert order(map(tuple, repeats.digest(df).collect())) == removed(rows)
+
+
 @given(st.lists(st.binary(min_size=24, max_size=24), min_size=1, max_size=40))
 @settings(max_examples=60, deadline=None)
 def test_deep_shallow_order(rows):
