@@ -324,6 +324,33 @@ class _Trie:
         return out
 
 
+def multikey_quicksort(chars: np.ndarray) -> np.ndarray:
+    """The stable order of rows of characters; all ranges of a round are split at once.
+
+    A range is split by a pivot at its depth into less, equal and greater; the equal part goes on at the next character.
+    """
+    m, levels = chars.shape
+    order, rng = np.arange(m), np.random.default_rng(0)
+    lo, size, depth = np.zeros(1, np.int64), np.array([m]), np.zeros(1, np.int64)
+    while True:
+        go = (size > 1) & (depth < levels)
+        lo, size, depth = lo[go], size[go], depth[go]
+        if not lo.size:
+            return order
+        start = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat(lo - start, size)
+        row = order[at]
+        c = chars[row, np.repeat(depth, size)]
+        pivot = np.repeat(c[start + rng.integers(0, size)], size)
+        base, parts = lo, []
+        for k, mine in enumerate((c < pivot, c == pivot, c > pivot)):
+            n = np.add.reduceat(mine.astype(np.int64), start)
+            order[(np.cumsum(mine) - 1 + np.repeat(base - (np.cumsum(n) - n), size))[mine]] = row[mine]
+            parts.append((base, n, depth + (k == 1)))
+            base = base + n
+        lo, size, depth = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def deep_shallow(rows: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
     """The order of byte rows of one width.
 
@@ -336,7 +363,7 @@ def deep_shallow(rows: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
     padded[:, :width] = rows
     chars = padded.view(">u8").astype(np.uint64)
     levels = min(chars.shape[1], max(1, shallow // 8))
-    order = np.lexsort(chars[:, :levels].T[::-1])
+    order = multikey_quicksort(chars[:, :levels])
     same = (chars[order[1:], :levels] == chars[order[:-1], :levels]).all(1)
     first = np.flatnonzero(np.concatenate([[True], ~same]))
     size = np.diff(np.append(first, m))

@@ -162,6 +162,13 @@ def test_deep_shallow_order(rows):
     assert got == sorted(rows)
 
 
+def test_multikey_quicksort():
+    rng = np.random.default_rng(1)
+    for m, top in ((0, 2), (1, 2), (2, 1), (500, 3), (3000, 1 << 60), (3000, 1)):
+        x = rng.integers(0, top, (m, 3), dtype=np.uint64)
+        assert (repeats.multikey_quicksort(x) == np.lexsort(x.T[::-1])).all()
+
+
 def classes(rows, cut=0.8):
     texts = [t or "" for _, t in rows]
     from sparlane.llm.blocks import text_bytes
