@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
-from ..operators import boxes, design, explore, models
+from ..operators import boxes, design, explore, models, stable
 from ..sources import spec as sp
 from .registry import query, table
 
@@ -48,7 +48,7 @@ def skyline(spark, d):
     return boxes.skyline(s, ["balance", "n", "qty"])
 
 
-@query("SELECT c.p_partkey AS config, count(*) AS inside, count(*) FILTER (WHERE l_extendedprice >= 30000) AS passed, count(*) FILTER (WHERE l_extendedprice < 30000) AS failed FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS q, p_retailprice / 20000 AS t FROM part WHERE p_partkey <= 200) c JOIN (SELECT CAST(l_quantity AS BIGINT) AS q, l_tax AS t, l_extendedprice FROM lineitem) l ON l.q >= c.q - 3 AND l.q < c.q + 3 AND l.t >= c.t - 0.01 AND l.t <= c.t + 0.01 GROUP BY 1")
+@query("SELECT c.p_partkey AS config, count(*) AS inside, count(*) FILTER (WHERE l_extendedprice >= 30000) AS passed, count(*) FILTER (WHERE l_extendedprice < 30000) AS failed FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS q, p_retailprice / 20000 AS t FROM part) c JOIN (SELECT CAST(l_quantity AS BIGINT) AS q, l_tax AS t, l_extendedprice FROM lineitem) l ON l.q >= c.q - 3 AND l.q < c.q + 3 AND l.t >= c.t - 0.01 AND l.t <= c.t + 0.01 GROUP BY 1")
 def ball_check(spark, d):
     """Rows in each configuration's ball, half-open on integers."""
     conf = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("q"), (F.col("p_retailprice") / 20000).alias("t"))
@@ -265,7 +265,7 @@ def verify_assertion(spark, d):
     return explore.verify(_points(spark), {"x": 4, "y": 0}, _xy(), "z >= 8").select("status")
 
 
-@query("SELECT * FROM (VALUES ('deep', 'stable witness'), ('edge', 'witness, not stable'), ('none', 'not a witness')) AS t(name, status)")
+@query(f"WITH g AS ({_GRID}), w AS (SELECT * FROM (VALUES ('deep', 5, -3), ('edge', 2, 0), ('none', 0, 4)) AS t(name, x, y)) SELECT name, CASE WHEN NOT EXISTS (SELECT 1 FROM g WHERE g.x = w.x AND g.y = w.y AND z >= 4) THEN 'not a witness' WHEN EXISTS (SELECT 1 FROM g WHERE abs(g.x - w.x) <= 1 AND abs(g.y - w.y) <= 1 AND g.x + g.y < 9 AND z < 4) THEN 'witness, not stable' ELSE 'stable witness' END AS status FROM w")
 def certify_witness(spark, d):
     """Three witnesses."""
     p, s = _points(spark), _xy()
@@ -297,3 +297,61 @@ def solve_expressions(spark, d):
     b = explore.decide(ex.parse("x * x < -1"), box)[0]
     lo, hi, _ = explore.maximum(ex.parse("4 - x * x - (y - 1) * (y - 1)"), box, 0.01)
     return spark.createDataFrame([("inside", a, None, None), ("outside", b, None, None), ("maximum", "sat", round(lo, 1), round(hi, 1))], "name string, status string, lower double, upper double")
+
+
+_CELLS = "SELECT 5 * (ceil(l_quantity / 5) - 1) AS qlo, 5 * ceil(l_quantity / 5) AS qhi, 2 * (ceil(l_linenumber / 2.0) - 1) AS nlo, 2 * ceil(l_linenumber / 2.0) AS nhi, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS ret, round(avg(l_tax), 6) AS tax FROM lineitem GROUP BY 1, 2, 3, 4"
+#: A fine grid of configurations for the SQL side: all ends of boxes that matter are integers.
+_FINE = "SELECT qty, line, min(ret) AS least, max(ret) AS most, min(tax) AS least_tax, max(tax) AS most_tax FROM (SELECT i / 2.0 AS qty FROM range(2, 101) AS t(i)), (SELECT n AS line FROM range(1, 8) AS u(n)), c WHERE qty + 3 > qlo AND qty - 3 <= qhi AND line + 1 > nlo AND line - 1 <= nhi GROUP BY 1, 2"
+
+
+def _table_cells(spark, d):
+    """Shares of returned lines and mean taxes by cell of quantity and line number: a model that is constant on boxes."""
+    cell = lambda c, w: F.ceil(F.col(c) / w).cast("double") * w
+    return table(spark, d, "lineitem").groupBy(cell("l_quantity", 5).alias("hi_qty"), cell("l_linenumber", 2).alias("hi_line")).agg(F.round(F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)), 6).alias("ret"), F.round(F.avg("l_tax"), 6).alias("tax")).select((F.col("hi_qty") - 5).alias("lo_qty"), "hi_qty", (F.col("hi_line") - 2).alias("lo_line"), "hi_line", "ret", "tax")
+
+
+def _cell_spec(**more):
+    variables = [{"label": "qty", "interface": "knob", "type": "real", "range": [1, 50], "rad-abs": 3}, {"label": "line", "interface": "knob", "type": "int", "range": [1, 7], "rad-abs": 1}, {"label": "ret", "interface": "output", "type": "real"}, {"label": "tax", "interface": "output", "type": "real"}]
+    return sp.from_dict({"version": "1.2", "variables": variables} | more)
+
+
+@query(f"WITH c AS ({_CELLS}), g AS ({_FINE}) SELECT max(least) AS least FROM g WHERE most_tax <= 0.0425")
+def optimize_cells(spark, d):
+    """The greatest stable minimum over all real configurations, with a condition on another output."""
+    return stable.optimize(spark, _cell_spec(), _table_cells(spark, d), "ret", "tax <= 0.0425").agg(F.max("least").alias("least"))
+
+
+_LEVELS = [0.2, 0.3, 0.32, 0.33, 0.335, 0.34, 0.4]
+
+
+@query(f"WITH c AS ({_CELLS}), g AS ({_FINE}), t AS (SELECT unnest({_LEVELS}) AS lim) SELECT 'ret >= ' || CAST(CAST(lim AS DOUBLE) AS VARCHAR) AS name, CASE WHEN EXISTS (SELECT 1 FROM g WHERE least >= lim) THEN 'PASS' ELSE 'FAIL' END AS status FROM t")
+def query_cells(spark, d):
+    """Whether any real configuration is stable, by threshold."""
+    return stable.query(spark, _cell_spec(), _table_cells(spark, d), {f"ret >= {t}": f"ret >= {t}" for t in _LEVELS}).select("name", "status")
+
+
+@query(f"WITH c AS ({_CELLS}), w AS (SELECT * FROM (VALUES ('low', 3.0, 2), ('mid', 25.5, 4), ('high', 48.0, 6)) AS t(configuration, qty, line)), a AS (SELECT * FROM (VALUES ('few', 0.0, 0.335), ('any', 0.0, 1.0), ('some', 0.32, 1.0)) AS t(assertion, lo, hi)) SELECT configuration, assertion, CASE WHEN EXISTS (SELECT 1 FROM c WHERE qty + 3 > qlo AND qty - 3 <= qhi AND line + 1 > nlo AND line - 1 <= nhi AND NOT (ret >= lo AND ret <= hi)) THEN 'FAIL' ELSE 'PASS' END AS status FROM w, a")
+def verify_cells(spark, d):
+    """Assertions over the whole boxes of configurations."""
+    at = {"low": {"qty": 3, "line": 2}, "mid": {"qty": 25.5, "line": 4}, "high": {"qty": 48, "line": 6}}
+    return stable.verify(spark, _cell_spec(), _table_cells(spark, d), at, {"few": "ret >= 0 and ret <= 0.335", "any": "ret >= 0 and ret <= 1", "some": "ret >= 0.32"}).select("configuration", "assertion", "status")
+
+
+@query(f"WITH c AS ({_CELLS}), w AS (SELECT * FROM (VALUES ('low', 3.0, 2), ('mid', 25.5, 4), ('high', 48.0, 6), ('edge', 10.0, 1)) AS t(name, qty, line)) SELECT name, CASE WHEN EXISTS (SELECT 1 FROM c WHERE qty > qlo AND qty <= qhi AND line > nlo AND line <= nhi AND NOT ret >= 0.33) THEN 'not a witness' WHEN EXISTS (SELECT 1 FROM c WHERE qty + 3 > qlo AND qty - 3 <= qhi AND line + 1 > nlo AND line - 1 <= nhi AND NOT ret >= 0.33) THEN 'witness, not stable' ELSE 'stable witness' END AS status FROM w")
+def certify_cells(spark, d):
+    """Given points."""
+    at = {"low": {"qty": 3, "line": 2}, "mid": {"qty": 25.5, "line": 4}, "high": {"qty": 48, "line": 6}, "edge": {"qty": 10, "line": 1}}
+    return stable.certify(spark, _cell_spec(), _table_cells(spark, d), at, "ret >= 0.33")
+
+
+@query(f"WITH c AS ({_CELLS}), g AS ({_FINE}) SELECT 'synthesis' AS name, CASE WHEN EXISTS (SELECT 1 FROM g WHERE least >= 0.3 AND most <= 0.38 AND most_tax <= 0.0425) THEN 'PASS' ELSE 'FAIL' END AS status")
+def synthesize_cells(spark, d):
+    """Beta and the assertions together."""
+    s = _cell_spec(beta="ret >= 0.3", assertions={"top": "ret <= 0.38", "tax": "tax <= 0.0425"})
+    return stable.synthesize(spark, s, _table_cells(spark, d)).select("name", "status")
+
+
+@query(f"WITH RECURSIVE c AS ({_CELLS}), g AS ({_FINE}), s AS (SELECT 0 AS step, NULL::DOUBLE AS threshold, NULL::VARCHAR AS status, (SELECT min(ret) FROM c) AS lower, (SELECT max(ret) FROM c) AS upper, (SELECT max(least) FROM g) AS best, (SELECT (max(ret) - min(ret)) * 0.05 FROM c) AS wide UNION ALL SELECT step + 1, (lower + upper) / 2, CASE WHEN best >= (lower + upper) / 2 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN best >= (lower + upper) / 2 THEN (lower + upper) / 2 ELSE lower END, CASE WHEN best >= (lower + upper) / 2 THEN upper ELSE (lower + upper) / 2 END, best, wide FROM s WHERE upper - lower > wide) SELECT step - 1 AS step, status, round(lower, 6) AS lower, round(upper, 6) AS upper FROM s WHERE step > 0")
+def bisect_cells(spark, d):
+    """The course of a threshold search."""
+    return stable.bisect(spark, _cell_spec(), _table_cells(spark, d), "ret").select("step", "status", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
