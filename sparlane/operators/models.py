@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
@@ -15,6 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
+from ..shipping import ship
+from ..sources.files import load_json, save_json
+from .network import Network, train_network
 from .prep import q
 
 
@@ -27,8 +33,6 @@ def _stages(kind: str, features: Sequence[str], response: str, weight: str | Non
     made = {
         "dt": lambda: DecisionTreeRegressor(featuresCol="_features", seed=17, **columns, **options),
         "rf": lambda: RandomForestRegressor(featuresCol="_features", seed=17, **columns, **options),
-        # all features at each split and no bootstrap: as near to extremely random trees as the library comes
-        "et": lambda: RandomForestRegressor(featuresCol="_features", seed=17, bootstrap=False, subsamplingRate=0.8, **columns, **{k: v for k, v in options.items()}),
         "gbr": lambda: GBTRegressor(featuresCol="_features", seed=17, **columns, **options),
         "linear": lambda: LinearRegression(featuresCol="_features", **columns, **options),
     }
@@ -54,40 +58,122 @@ class Fitted:
         return out
 
     def save(self, path: str) -> None:
+        """The models, in a folder each, and what is needed to load them."""
         for i, r in enumerate(self.responses):
-            self.models[r].write().overwrite().save(f"{path}/{i}")
+            m = self.models[r]
+            if isinstance(m, PipelineModel):
+                m.write().overwrite().save(f"{path}/{i}")
+        os.makedirs(path, exist_ok=True)
+        save_json(f"{path}/model.json", {"kind": self.kind, "features": self.features, "responses": self.responses, "states": {r: m.state() for r, m in self.models.items() if not isinstance(m, PipelineModel)}})
+
+    save_all = save
+
+    @classmethod
+    def load(cls, path: str, *_) -> Fitted:
+        side = load_json(f"{path}/model.json")
+        kinds = {"nn": Network, "knn": Neighbours, "et": RandomTrees}
+        made = {r: kinds[side["kind"]].from_state(side["states"][r]) if r in side["states"] else PipelineModel.load(f"{path}/{i}") for i, r in enumerate(side["responses"])}
+        return cls(side["kind"], side["features"], side["responses"], made)
 
     @classmethod
-    def load(cls, path: str, kind: str, features: Sequence[str], responses: Sequence[str]) -> Fitted:
-        return cls(kind, list(features), list(responses), {r: PipelineModel.load(f"{path}/{i}") for i, r in enumerate(responses)})
+    def load_all(cls, spark, path: str) -> tuple[Fitted, bool]:
+        """The model, and whether level maps were saved beside it."""
+        return cls.load(path), os.path.exists(f"{path}/levels.json")
 
 
 def train(df: DataFrame, features: Sequence[str], responses: Sequence[str], kind: str = "dt", weight: str | None = None, **options) -> Fitted:
     """One model for each response. Rows with a null feature or response are left out of training."""
     use = df.dropna("any", subset=[*features, *responses])
-    if kind == "nn":
-        from .network import train_network
+    make = {
+        "nn": lambda r: train_network(use, features, r, f"{r}_nn", **options),
+        "knn": lambda r: neighbours(use, features, r, f"{r}_knn", **options),
+        "et": lambda r: random_trees(use, features, r, f"{r}_et", weight, **options),
+    }.get(kind, lambda r: Pipeline(stages=_stages(kind, features, r, weight, options)).fit(use))
+    return Fitted(kind, list(features), list(responses), {r: make(r) for r in responses})
+
+
+class Neighbours:
+    """Mean response of the k nearest kept training points (Euclid); of points at one distance those that come first."""
+
+    def __init__(self, features: Sequence[str], out: str, points: np.ndarray, values: np.ndarray, k: int):
+        self.features, self.out, self.points, self.values, self.k = list(features), out, points, values, k
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        ship(df.sparkSession)
+        shared = df.sparkSession.sparkContext.broadcast((self.points, self.values, self.k))
+
+        @F.pandas_udf("double")
+        def f(*cols: pd.Series) -> pd.Series:
+            points, values, k = shared.value
+            x, out = np.stack([c.to_numpy(float) for c in cols], 1), []
+            step = max(1, 4_000_000 // max(1, len(points)))
+            for lo in range(0, len(x), step):
+                d = ((x[lo : lo + step, None, :] - points[None]) ** 2).sum(2)
+                out.append(values[np.argsort(d, axis=1, kind="stable")[:, :k]].mean(1))
+            return pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+        return df.withColumn(self.out, f(*[q(c).cast("double") for c in self.features]))
+
+    def state(self) -> dict:
+        return {"features": self.features, "out": self.out, "points": self.points.tolist(), "values": self.values.tolist(), "k": self.k}
+
+    @classmethod
+    def from_state(cls, s: dict) -> Neighbours:
+        return cls(s["features"], s["out"], np.array(s["points"]), np.array(s["values"]), s["k"])
+
+
+def neighbours(df: DataFrame, features: Sequence[str], response: str, out: str, k: int = 5, most: int = 20_000) -> Neighbours:
+    """k-nearest-neighbour regression. Of more than `most` training rows those with the least hashes are kept: a sample of a stated size."""
+    turn = F.xxhash64(*map(q, features), q(response))
+    rows = np.array([tuple(map(float, r)) for r in df.orderBy(turn, *map(q, [*features, response])).limit(most).select(*map(q, [*features, response])).collect()], float).reshape(-1, len(features) + 1)
+    if not len(rows):
+        raise ValueError("no training rows")
+    return Neighbours(features, out, rows[:, :-1], rows[:, -1], min(k, len(rows)))
 
-        return Fitted(kind, list(features), list(responses), {r: train_network(use, features, r, f"{r}_nn", **options) for r in responses})
-    if kind == "knn":
-        return Fitted(kind, list(features), list(responses), {r: _nearest_mean(use, features, r, **options) for r in responses})
-    return Fitted(kind, list(features), list(responses), {r: Pipeline(stages=_stages(kind, features, r, weight, options)).fit(use) for r in responses})
 
+class RandomTrees:
+    """Extremely random trees as nested (feature, cut, left, right); a leaf is (value, count). The prediction is the trees' mean, a plain expression."""
 
-def _nearest_mean(train_df: DataFrame, features: Sequence[str], response: str, cells: int = 4):
-    """Mean response of the training rows in the same cell of a coarse grid, else of all: a bounded stand-in for nearest neighbours."""
-    ends = train_df.agg(*[e for f in features for e in (F.min(q(f)), F.max(q(f)))]).first()
-    key = []
-    for i, f in enumerate(features):
-        lo, hi = float(ends[2 * i]), float(ends[2 * i + 1])
-        key.append(F.least(F.greatest(F.floor((q(f) - F.lit(lo)) / F.lit((hi - lo) or 1.0) * cells), F.lit(0)), F.lit(cells - 1)).cast("int"))
-    table = train_df.groupBy(F.array(*key).alias("_cell")).agg(F.avg(q(response)).alias("_p"))
-    mean = train_df.agg(F.avg(q(response))).first()[0]
+    def __init__(self, features: Sequence[str], out: str, trees: list):
+        self.features, self.out, self.trees = list(features), out, trees
 
-    def predict(df: DataFrame) -> DataFrame:
-        return df.withColumn("_cell", F.array(*key)).join(table, "_cell", "left").withColumn(f"{response}_knn", F.coalesce("_p", F.lit(mean))).drop("_cell", "_p")
+    def __call__(self, df: DataFrame) -> DataFrame:
+        def column(node) -> Column:
+            return F.lit(float(node[0])) if len(node) == 2 else F.when(q(node[0]) <= F.lit(node[1]), column(node[2])).otherwise(column(node[3]))
 
-    return predict
+        return df.withColumn(self.out, sum((column(t) for t in self.trees[1:]), column(self.trees[0])) / F.lit(float(len(self.trees))))
+
+    def state(self) -> dict:
+        return {"features": self.features, "out": self.out, "trees": self.trees}
+
+    @classmethod
+    def from_state(cls, s: dict) -> RandomTrees:
+        return cls(s["features"], s["out"], s["trees"])
+
+
+def random_trees(df: DataFrame, features: Sequence[str], response: str, out: str, weight: str | None = None, numTrees: int = 10, cuts: int = 24, seed: int = 17, **options) -> RandomTrees:  # noqa: N803
+    """Trees whose thresholds are drawn at random: each tree sees a feature only as its place among `cuts` uniform draws in the feature's range.
+
+    All rows and features take part in each tree (no bootstrap).
+    """
+    ends = df.agg(*[e for f in features for e in (F.min(q(f)), F.max(q(f)))]).first()
+    rng, trees = np.random.default_rng(seed), []
+    use = df.select(*[q(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], q(response).cast("double").alias("y"), *([q(weight).alias("w")] if weight else [])).cache()
+    for t in range(numTrees):
+        drawn = [sorted(rng.uniform(float(ends[2 * i]), float(ends[2 * i + 1]), cuts).tolist()) for i in range(len(features))]
+        places = [sum(((F.col(f"x{i}") > F.lit(c)).cast("int") for c in drawn[i][1:]), (F.col(f"x{i}") > F.lit(drawn[i][0])).cast("int")).alias(f"p{i}") for i in range(len(features))]
+        stages = [VectorAssembler(inputCols=[f"p{i}" for i in range(len(features))], outputCol="_features"), DecisionTreeRegressor(featuresCol="_features", labelCol="y", seed=seed + t, maxBins=max(32, cuts + 2), **({"weightCol": "w"} if weight else {}), **options)]
+        root = Pipeline(stages=stages).fit(use.select(*places, "y", *(["w"] if weight else []))).stages[-1]._call_java("rootNode")
+
+        def grown(node, drawn=drawn):
+            if node.getClass().getSimpleName() == "LeafNode":
+                return [node.prediction(), float(node.impurityStats().count())]
+            s = node.split()
+            return [features[s.featureIndex()], drawn[s.featureIndex()][int(s.threshold())], grown(node.leftChild()), grown(node.rightChild())]
+
+        trees.append(grown(root))
+    use.unpersist()
+    return RandomTrees(features, out, trees)
 
 
 def tune(df: DataFrame, features: Sequence[str], response: str, kind: str, grid: Mapping[str, Sequence], folds: int = 3) -> tuple[Fitted, list[float]]:
@@ -151,6 +237,17 @@ def refine(spark, spec, center: Mapping[str, float], model: Fitted, system: Mapp
 
 def tree_nodes(model: PipelineModel) -> list[dict]:
     """Leaves of a fitted tree or forest: tree, weight, value, and the half-open range (lo, hi] of each feature that its path bounds."""
+    if isinstance(model, RandomTrees):
+        out, todo = [], [(t, tree, {}) for t, tree in enumerate(model.trees)]
+        while todo:
+            t, node, box = todo.pop()
+            if len(node) == 2:
+                out.append({"tree": t, "weight": 1.0 / len(model.trees), "value": node[0], "count": node[1], "box": box})
+                continue
+            f, cut = node[:2]
+            lo, hi = box.get(f, (float("-inf"), float("inf")))
+            todo += [(t, node[2], box | {f: (lo, min(hi, cut))}), (t, node[3], box | {f: (max(lo, cut), hi)})]
+        return out
     stage, names = model.stages[-1], model.stages[0].getInputCols()
     trees = list(stage.trees) if hasattr(stage, "trees") else [stage]
     weights = list(stage.treeWeights) if hasattr(stage, "treeWeights") else [1.0]

@@ -13,6 +13,7 @@ only: what is found is right, but where nothing is found with such a text the st
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Mapping, Sequence
 from fractions import Fraction
 from functools import reduce
@@ -49,14 +50,29 @@ def model_cells(spark: SparkSession, model: Fitted, most: int = 200_000) -> Data
     return out
 
 
+def _turn(x: float) -> int:
+    """The place of a double in the order of all doubles."""
+    n = struct.unpack("<q", struct.pack("<d", x))[0]
+    return n if n >= 0 else -(n & (1 << 63) - 1)
+
+
+def _double(n: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", n))[0] if n >= 0 else -struct.unpack("<d", struct.pack("<q", -n))[0]
+
+
 def _last(ok, start: float) -> float:
-    """The greatest double that passes a test that holds up to some place near `start`."""
-    p = start
-    while not ok(p):
-        p = math.nextafter(p, -math.inf)
-    while ok(math.nextafter(p, math.inf)):
-        p = math.nextafter(p, math.inf)
-    return p
+    """The greatest double that passes a test that holds up to some place, sought from `start` in doubling steps and then by halving."""
+    lo = hi = _turn(start)
+    step = 1
+    while not ok(_double(lo)):
+        lo, step = lo - step, step * 2
+    step = 1
+    while ok(_double(hi)):
+        hi, step = hi + step, step * 2
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if ok(_double(mid)) else (lo, mid)
+    return _double(lo)
 
 
 def thresholds(v: sp.Variable, edges: Sequence[float]) -> list[float]:

@@ -161,7 +161,7 @@ def model_random_forest(spark, d):
 
 @query()
 def model_extra_trees(spark, d):
-    """Q-3: a forest on all features without bootstrap."""
+    """Q-3: trees with thresholds drawn at random."""
     return _model_report(spark, d, "et", numTrees=10, maxDepth=4)
 
 
