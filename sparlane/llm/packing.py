@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import zlib
 
 import numpy as np
@@ -16,7 +15,7 @@ from .tokens import default_path, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task packs: the open bins of a shard are its only waste.
-SHARD = 8192
+SHARD = 32_768
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -83,57 +82,94 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def tighten(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Open again the bins that stayed part-filled and refill them by best fit from the longest length down, if that saves bins."""
+def settle(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Give up part-filled bins, from the emptiest up, whose pieces all find a place in other open bins by the same rule; bins and offsets.
+
+    A bin whose pieces do not all find one stays as it is, so this moves only the pieces of bins that it saves.
+    """
     if not lengths.size:
-        return bins, offsets
-    fill = np.bincount(bins, weights=lengths).astype(np.int64)
-    mine = np.flatnonzero(fill[bins] < capacity)
-    loose = np.unique(bins[mine])
-    mine = mine[np.argsort(-lengths[mine], kind="stable")]
-    gaps: list[tuple[int, int]] = []
-    to, at, made = np.empty(mine.size, np.int64), np.empty(mine.size, np.int64), 0
-    for i, s in enumerate(lengths[mine].tolist()):
-        k = bisect.bisect_left(gaps, (s, -1))
-        if k < len(gaps):
-            g, b = gaps.pop(k)
-        else:
-            g, b, made = capacity, made, made + 1
-        to[i], at[i] = b, capacity - g
-        if g > s:
-            bisect.insort(gaps, (g - s, b))
-    if made >= loose.size:
-        return bins, offsets
-    bins, offsets = bins.copy(), offsets.copy()
-    bins[mine], offsets[mine] = loose[to], at
+        return bins, bins
+    bins = bins.copy()
+    gap = capacity - np.bincount(bins, weights=lengths).astype(np.int64)
+    open_bins = np.flatnonzero(gap > 0)
+    count = np.bincount(gap[open_bins], minlength=capacity + 1)
+    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for b in open_bins.tolist():
+        stacks[gap[b]].append(b)
+    by_bin = np.argsort(bins, kind="stable")
+    edge = np.searchsorted(bins[by_bin], np.arange(gap.size + 1))
+    for b in open_bins[np.argsort(-gap[open_bins], kind="stable")].tolist():
+        own = by_bin[edge[b] : edge[b + 1]]
+        if (bins[own] != b).any() or gap[b] != capacity - lengths[own].sum():
+            continue  # it took pieces of a bin that was given up
+        count[gap[b]] -= 1
+        stacks[gap[b]].remove(b)
+        moves: list[tuple[int, int, int]] = []
+        for i in own[np.argsort(-lengths[own], kind="stable")].tolist():
+            s = int(lengths[i])
+            change = 2 * (count[: capacity - s] - count[s:capacity])
+            change[0] -= 1
+            change[count[s:capacity] == 0] = 1 << 40
+            g = s + int(change.argmin())
+            if not count[g]:
+                break
+            to = stacks[g].pop()
+            count[g] -= 1
+            if g > s:
+                stacks[g - s].append(to)
+                count[g - s] += 1
+            moves.append((i, to, g))
+        if len(moves) == own.size:
+            for i, to, g in moves:
+                bins[i], gap[to] = to, g - lengths[i]
+            gap[b] = 0
+            continue
+        for i, to, g in reversed(moves):
+            left = g - int(lengths[i])
+            if left:
+                stacks[left].remove(to)
+                count[left] -= 1
+            stacks[g].append(to)
+            count[g] += 1
+        count[gap[b]] += 1
+        stacks[gap[b]].append(b)
+    order = np.argsort(bins, kind="stable")
+    size, own = lengths[order], bins[order]
+    before = np.cumsum(size) - size
+    offsets = np.empty_like(before)
+    offsets[order] = before - before[np.searchsorted(own, own)]
     return bins, offsets
 
 
 def pack(df: DataFrame, capacity: int = 2048, shard: int = SHARD) -> DataFrame:
-    """Adds sequence_id and offset to rows that have a `length` of 1 to `capacity`.
+    """Adds sequence_id and offset to rows that have doc_id, piece and a `length` of 1 to `capacity`; other columns are kept as they are.
 
-    Rows are dealt by a hash of doc_id and piece to shards of about `shard` rows. A task places its rows in
-    the order of that hash, then refills what stayed part-filled (`tighten`). Sequences never mix shards, so the number of part-filled ones follows the number of shards.
+    Rows are dealt evenly to shards of about `shard` rows, whatever their keys: null and repeated doc_ids, pieces or whole rows are
+    rows like all others. A task places its rows from the longest down (ties by doc_id, nulls last, and piece) by the sum-of-squares rule (`place`),
+    then gives up what few sequences it can (`settle`). Sequences never mix shards, so the number of part-filled ones follows the
+    number of shards. `df` must give the same rows in the same partitions when it is computed again, as a written table does.
     """
     n = max(1, -(-df.count() // shard))
-    names = df.columns
+    names, mark = df.columns, "_shard"
+    while mark in names:
+        mark += "_"
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        rows = rows.sort_by([("_shard", "ascending"), ("_turn", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending")])
-        key, length = rows["_shard"].to_numpy(), rows["length"].to_numpy()
+        rows = rows.sort_by([(mark, "ascending"), ("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        key, length = rows[mark].to_numpy(), rows["length"].to_numpy()
         for k in np.unique(key):
             lo, hi = np.searchsorted(key, [k, k + 1])
-            bins, offsets = tighten(length[lo:hi], *place(length[lo:hi], capacity), capacity)
+            bins, offsets = settle(length[lo:hi], place(length[lo:hi], capacity)[0], capacity)
             out = rows.slice(lo, hi - lo).select(names).append_column("sequence_id", pa.array((int(k) << 32) + bins)).append_column("offset", pa.array(offsets))
             yield from out.to_batches()
 
-    keyed = df.withColumn("_turn", F.xxhash64("doc_id", "piece")).withColumn("_shard", F.pmod(F.hash("doc_id", "piece"), F.lit(n)).cast("int"))
+    keyed = df.withColumn(mark, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", sequence_id long, offset long"
-    return mapped(keyed.repartition(n, "_shard"), run, schema)
+    return mapped(keyed.repartition(n, mark), run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
