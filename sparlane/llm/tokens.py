@@ -40,17 +40,36 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 and self.tok.encode("a\n b\nc", add_special_tokens=False).ids == [x for t in ("a", "\n", " b", "\n", "c") for x in self.tok.encode(t, add_special_tokens=False).ids] else None
         self.clear()
 
     def clear(self) -> None:
         self.table, self.n, self.used = Table(18), 0, 0
         self.start, self.length, self.arena = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 19, np.uint32)
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in turn, and how many each has. Pieces with one blank at most, before all else, go to the library in lines."""
+        n = np.zeros(len(texts), np.int64)
+        plain = np.array([self.line is not None and t.isprintable() and " " not in t[1:] for t in texts], bool)
+        rest, lines = np.flatnonzero(~plain), np.flatnonzero(plain)
+        apart = [e.ids for e in self.tok.encode_batch_fast([texts[i] for i in rest.tolist()], add_special_tokens=False)] if rest.size else []
+        n[rest] = [len(x) for x in apart]
+        got = np.zeros(0, np.uint32)
+        if lines.size:
+            got = np.array(self.tok.encode_batch_fast(["\n".join([texts[i] for i in lines.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(got == self.line), got.size)
+            n[lines] = np.diff(ends, prepend=-1) - 1
+            got = got[got != self.line]
+        out = np.empty(int(n.sum()), np.uint32)
+        at = np.cumsum(n) - n
+        out[ragged(at[lines], n[lines])] = got
+        out[ragged(at[rest], n[rest])] = [x for e in apart for x in e]
+        return out, n
+
     def _keep(self, texts: list[str], keys: np.ndarray) -> None:
         for i in range(0, len(texts), 5000):
-            ids = [e.ids for e in self.tok.encode_batch_fast(texts[i : i + 5000], add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for e in ids for x in e), np.uint32, int(n.sum()))
+            flat, n = self._ids(texts[i : i + 5000])
             while self.used + flat.size > self.arena.size:
                 self.arena = np.concatenate([self.arena, np.zeros_like(self.arena)])
             while self.n + n.size > self.start.size:

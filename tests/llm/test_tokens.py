@@ -29,6 +29,14 @@ def test_pieces_give_the_library_ids(texts):
         assert ids[off[i] : off[i + 1]].tolist() == plain(enc, t)
 
 
+def test_whole_tables_give_the_library_ids(enc, documents):
+    texts = [r["text"] for r in documents.select("text").collect()]
+    fresh = tokens.Encoder(tokens.default_path())
+    ids, off = fresh.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[off[i] : off[i + 1]].tolist() == plain(enc, t)
+
+
 def test_token_file(spark, edge, nothing, enc):
     assert repair.token_file(nothing).count() == 0
     got = repair.token_file(edge, shard_bytes=100_000).collect()
@@ -47,12 +55,65 @@ def test_token_file(spark, edge, nothing, enc):
 def test_grammar_round_trip(docs):
     ids, ends = np.array([x for d in docs for x in d], np.uint32), np.cumsum([0, *map(len, docs)])
     seq, left, right, places = repair.grammar(ids, ends, 100, least=2)
+    for lo, hi in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
+        assert lo <= hi
     assert repair.expand(seq, left, right, 100).tolist() == ids.tolist()
     s = repair.Shard(repair.dump(ids, ends, np.arange(len(docs)), np.zeros(len(docs)), 100))
     for i, d in enumerate(docs):
         assert s.document(i).tolist() == d and s.ids(i, 1, 4).tolist() == d[1:4]
 
 
+def pair_counts(seq, places):
+    """Places of each pair inside documents that do not overlap, from the left."""
+    count, last = {}, {}
+    for lo, hi in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
+        for i in range(lo, hi - 1):
+            pair = int(seq[i]), int(seq[i + 1])
+            if last.get(pair) != i - 1 or pair[0] != pair[1]:
+                count[pair] = count.get(pair, 0) + 1
+                last[pair] = i
+            else:
+                last[pair] = None
+    return count
+
+
+@given(st.lists(st.lists(st.integers(0, 5), min_size=1, max_size=60), min_size=1, max_size=8), st.integers(2, 5))
+@settings(max_examples=80, deadline=None)
+def test_grammar_goes_on_until_no_pair_pays(docs, least):
+    ids, ends = np.array([x for d in docs for x in d], np.uint32), np.cumsum([0, *map(len, docs)])
+    seq, left, right, places = repair.grammar(ids, ends, 100, least=least)
+    assert max(pair_counts(seq, places).values(), default=0) < least
+    uses = np.bincount(np.concatenate([seq, left, right]), minlength=100 + left.size)[100:]
+    assert (uses > 0).all()
+
+
+@given(st.lists(st.integers(0, 90_000), min_size=1, max_size=70), st.integers(0, 70), st.integers(0, 70))
+@settings(max_examples=60, deadline=None)
+def test_wide_symbols(values, lo, hi):
+    x = np.array(values, np.uint32)
+    row = repair._Row(repair._packed(x, 17), 0, x.size, 17)
+    assert row[lo:hi].tolist() == values[lo:hi] and row.end == 2 * x.size + -(-x.size // 8)
+
+
+def test_shards_are_smaller_than_plain_ids(spark, documents, tmp_path, enc):
+    repair.write_tokens(documents, f"file://{tmp_path}/ids", shard_bytes=300_000)
+    rows = spark.read.parquet(f"file://{tmp_path}/ids").selectExpr("part", "n_tokens", "length(payload) AS size").collect()
+    assert len(rows) > 1 and sum(r["size"] for r in rows) < 0.9 * 2 * sum(r["n_tokens"] for r in rows)
+
+
+def test_token_file_of_null_and_repeated_ids(spark, enc):
+    """Thousands of texts without an id, or with the same one, are dealt to several partitions and keep their order."""
+    rows = [(None if i % 3 else 5, f"text {i * 7919 % 2000} of many") for i in range(2000)] + [(-1, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, repair.token_file(df, shard_bytes=4000, part_bytes=8000).collect()), key=lambda r: r[1])
+    at, want = 0, []
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = [*plain(enc, t), 2]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want
+
+
 def test_packing(edge, nothing, enc):
     assert packing.pack_documents(nothing).count() == 0
     got = packing.pack_documents(edge, with_ids=True).toPandas()
@@ -68,15 +129,63 @@ def test_packing(edge, nothing, enc):
     assert got.sequence_id.nunique() <= 1.1 * -(-got.length.sum() // 2048) + 1
 
 
+def squares(lengths, capacity):
+    """Places by evaluating the sum of squares of each choice; the gap taken for each length."""
+    gaps, out = [], []
+    for s in lengths:
+        best = None
+        for g in sorted({x for x in gaps if x >= s}) + [capacity]:
+            new = list(gaps)
+            if g < capacity:
+                new.remove(g)
+            if 0 < g - s < capacity:
+                new.append(g - s)
+            cost = sum(new.count(x) ** 2 for x in set(new))
+            if best is None or cost < best[0]:
+                best = cost, g, new
+        gaps = best[2]
+        out.append(best[1])
+    return out
+
+
+@given(st.lists(st.integers(1, 24), min_size=1, max_size=60))
+@settings(max_examples=80, deadline=None)
+def test_placement_follows_the_rule(lengths):
+    b, o = packing.place(np.array(lengths), 24)
+    assert (24 - o).tolist() == squares(lengths, 24)
+
+
 @given(st.lists(st.integers(1, 32), min_size=1, max_size=80))
 @settings(max_examples=80, deadline=None)
 def test_placement_is_valid(lengths):
-    n = np.array(lengths)
-    b, o = packing.tighten(n, *packing.place(n, 32), 32)
+    n = np.sort(np.array(lengths))[::-1]
+    first = packing.place(n, 32)[0]
+    b, o = packing.settle(n, first, 32)
     for k in set(b.tolist()):
         i = np.flatnonzero(b == k)
         i = i[np.argsort(o[i])]
         assert o[i].tolist() == [0, *np.cumsum(n[i])[:-1]] and n[i].sum() <= 32
+    assert len(set(b.tolist())) <= len(set(first.tolist()))
+    assert len(set(first[b != first].tolist())) == len(set(first.tolist())) - len(set(b.tolist()))  # only saved bins lose pieces
+
+
+def test_packing_is_close_to_the_bound():
+    n = np.random.default_rng(2).gamma(1.5, 400, 9000).astype(int) % 2048 + 1
+    n = np.sort(n)[::-1].copy()
+    first = packing.place(n, 2048)[0]
+    b, _ = packing.settle(n, first, 2048)
+    assert np.unique(b).size <= 1.003 * -(-n.sum() // 2048)
+    assert (b != first).mean() < 0.02
+
+
+def test_packing_of_null_and_repeated_keys(spark):
+    """Thousands of pieces without an id, or with the same one, are dealt to all shards."""
+    rows = [(None if i % 2 else 7, 0, 0, 1 + i % 90, 5, "x") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, _shard string")
+    got = packing.pack(df.repartition(3), capacity=100, shard=500).toPandas()
+    assert len(got) == 4000 and got.length.sum() == sum(r[3] for r in rows) and set(got._shard) == {"x"}
+    assert (got.sequence_id // 2**32).value_counts().between(300, 700).all()
+    assert got.groupby("sequence_id").length.sum().max() <= 100
 
 
 def test_counts_are_the_unigram_library(edge, nothing, documents):
