@@ -2,253 +2,323 @@
 
 from __future__ import annotations
 
-import bisect
-import gc
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import WORD_BYTES, mix, slices, text_bytes, words
+from .blocks import WORD_BYTES, mix, ragged, slices, text_bytes, words
 from .shared import components, discard, mapped, written
 
-#: Words of a k-mer, sketches, k-mers of a sketch, bins of the screening signature, rows of a bucket compared at once.
-K, SKETCHES, TAKEN, BINS, BLOCK = 5, 16, 3, 64, 1024
-#: Rows of a bucket from which on the last round tests pairs inside the task.
-LARGE = 48
+#: Words of a k-mer, sketches, k-mers of a sketch, bins of the word histogram, rows of a bucket compared at once.
+K, SKETCHES, TAKEN, BINS, BLOCK = 5, 32, 2, 64, 4096
+#: A changed word touches a large share of the five-word k-mers of a short text: texts under SHORT[1] words are sketched by
+#: two-word k-mers, texts of SHORT[0] words or more by five-word ones. SHORT[0] / SHORT[1] is `cut` or less, so no pair is torn.
+SHORT, SHORT_K, SHORT_SKETCHES = (64, 80), 2, 16
+#: Rows of a bucket from which on the last round tests pairs inside the task, and up to which all its rows meet in one block.
+LARGE, SMALL = 48, 256
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _COEF = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def kmers(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrence-labelled k-mer hashes of the texts in text order, offsets of the texts into them, word counts, and a hash of each text's words.
+def labelled(key: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Another hash of each key and how often it stood in its text before."""
+    doc = np.repeat(np.arange(off.size - 1), np.diff(off))
+    own = key + mix(doc.astype(np.uint64), 2)
+    order = np.argsort(own, kind="stable")
+    k = own[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if k.size else np.zeros(0, np.int64)
+    occ = np.empty(k.size, np.uint64)
+    occ[order] = (np.arange(k.size) - np.repeat(first, np.diff(np.append(first, k.size)))).astype(np.uint64)
+    return mix(key + occ * _COEF[1], 4)
+
 
-    A text of one to four words is one k-mer. The label is how often the k-mer stood in the text before.
-    """
-    _, _, h, woff = words(data, off, WORD_BYTES)
+def kmers(h: np.ndarray, woff: np.ndarray, size: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrence-labelled hashes of the `size` words in a row of each text, in text order, and their offsets; a shorter text is one k-mer."""
     n = np.diff(woff)
     end = np.repeat(woff[1:], n)
     at = np.arange(h.size)
     s = np.zeros(h.size, np.uint64)
-    for j in range(K):
+    for j in range(size):
         part = h[j:] * _COEF[j]
         s[: part.size] += np.where(at[j:] < end[: part.size], part, np.uint64(0))
-    ok = (at + K <= end) | (at == np.repeat(woff[:-1], n))
-    s, doc = mix(s[ok], 1), np.repeat(np.arange(n.size), n)[ok]
-    koff = np.searchsorted(doc, np.arange(n.size + 1))
-    key = s + mix(doc.astype(np.uint64), 2)
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]]) if k.size else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    occ = np.empty(k.size, np.uint64)
-    occ[order] = (np.arange(k.size) - np.repeat(first, np.diff(np.append(first, k.size)))).astype(np.uint64)
-    turn = (at - np.repeat(woff[:-1], n)).astype(np.uint64)
+    ok = (at + size <= end) | (at == np.repeat(woff[:-1], n))
+    koff = np.concatenate([[0], np.cumsum(ok)])[woff]
+    return labelled(mix(s[ok], 1), koff), koff
+
+
+def text_key(h: np.ndarray, woff: np.ndarray) -> np.ndarray:
+    """A hash of all words of each text in turn."""
+    n = np.diff(woff)
+    turn = (np.arange(h.size) - np.repeat(woff[:-1], n)).astype(np.uint64)
     whole = np.zeros(n.size, np.uint64)
     if h.size:
         some = np.flatnonzero(n)
         whole[some] = np.add.reduceat(h * (mix(turn, 9) | np.uint64(1)), woff[:-1][some])
-    return mix(s + occ * _COEF[1], 4), koff, n, mix(whole + n.astype(np.uint64), 8)
+    return mix(whole + n.astype(np.uint64), 8)
+
+
+def histogram(h: np.ndarray, woff: np.ndarray) -> np.ndarray:
+    """texts x BINS: words by hash, 255 at most."""
+    doc = np.repeat(np.arange(woff.size - 1), np.diff(woff))
+    cell = doc * BINS + (mix(h, 6) >> np.uint64(58)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=(woff.size - 1) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
 
 
-def sketch(lab: np.ndarray, koff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """texts x SKETCHES bucket keys, and texts x BINS signature bytes (0: no k-mer in the bin)."""
+def sketch(lab: np.ndarray, koff: np.ndarray, sketches: int, seed: int = 0) -> np.ndarray:
+    """texts x sketches keys: the `TAKEN` k-mers that come first in a random order, in text order."""
     n = np.diff(koff)
     some = np.flatnonzero(n)
-    doc = np.repeat(np.arange(n.size), n)
-    sig = np.zeros((n.size, BINS), np.uint8)
-    order = np.argsort((doc.astype(np.uint64) << np.uint64(40)) | (lab >> np.uint64(24)), kind="stable")
-    cell = doc[order] * BINS + (lab[order] >> np.uint64(58)).astype(np.int64)
-    if cell.size:
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        sig.reshape(-1)[cell[first]] = (lab[order][first] & np.uint64(0xFFFFFF)) % np.uint64(255) + np.uint64(1)
-    buckets = np.zeros((n.size, SKETCHES), np.uint64)
+    doc = np.repeat(np.arange(some.size), n[some])
+    out = np.zeros((n.size, sketches), np.uint64)
+    if not some.size:
+        return out
     start, width = koff[:-1][some], n[some]
-    for t in range(SKETCHES):
-        m = mix(lab, 100 + t)
+    ext = np.append(lab, np.uint64(0))
+    for t in range(sketches):
+        m = mix(lab, 100 + seed + t)
         m[m == _MAX] -= np.uint64(1)
         places = np.full((some.size, TAKEN), lab.size, np.int64)
         for j in range(TAKEN):
-            if not some.size:
-                break
-            low = np.minimum.reduceat(m, start)
-            hit = np.flatnonzero((m == np.repeat(low, width)) & (m != _MAX))
-            owner = np.searchsorted(some, doc[hit])
-            places[owner, j] = hit
+            hit = np.flatnonzero((m == np.repeat(np.minimum.reduceat(m, start), width)) & (m != _MAX))
+            places[doc[hit], j] = hit
             m[hit] = _MAX
         places.sort(1)
-        ext = np.append(lab, np.uint64(0))
-        code = np.full(some.size, t + 1, np.uint64)
+        code = np.full(some.size, seed + t + 1, np.uint64)
         for j in range(TAKEN):
             code = mix(code + ext[places[:, j]], 5)
-        buckets[some, t] = code
-    return buckets, sig
+        out[some, t] = code
+    return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray, cut: float) -> float:
-    """matched / (a + b - matched) for the longest alignment that keeps both orders; 0 if that is under `cut`.
+def buckets(h: np.ndarray, woff: np.ndarray) -> list[np.ndarray]:
+    """The keys of the buckets of each text."""
+    n = np.diff(woff)
+    out = [np.zeros(0, np.uint64)] * n.size
+    for use, size, sketches, seed in ((n >= SHORT[0], K, SKETCHES, 0), ((n > 0) & (n < SHORT[1]), SHORT_K, SHORT_SKETCHES, 1000)):
+        at = np.flatnonzero(use)
+        if at.size:
+            off = np.concatenate([[0], np.cumsum(n[at])])
+            for i, row in zip(at.tolist(), sketch(*kmers(h[ragged(woff[at], n[at])], off, size), sketches, seed), strict=True):
+                out[i] = np.concatenate([out[i], row])
+    return out
+
+
+def most_edits(longer, cut: float):
+    """Edits that leave a similarity of `cut` to a pair whose longer text has so many words."""
+    return np.floor((1 - cut) * longer + 1e-9).astype(np.int64)
 
-    Labelled k-mers occur once in a text, so an alignment is an increasing subsequence of their common places. Only places
-    in the band that an alignment of `cut` can reach are used: with m matches no matched pair is more than
-    max(len) - m places off, and m >= cut / (1 + cut) * (len + len).
+
+def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Words to insert, delete or replace to turn `a` into `b`, or most + 1 if that is over `most`.
+
+    Banded alignment: with `most` edits an alignment stays on the diagonals from -x to m - n + x, x = (most - (m - n)) / 2,
+    for m >= n words. A column of the band is two numbers whose bits say where the distance rises or falls by one from one
+    row to the next; the carry of one addition runs along matches, so a column takes a dozen operations on numbers of that width.
     """
-    total = a.size + b.size
-    need = math.ceil(cut / (1 + cut) * total - 1e-9)
-    band = max(a.size, b.size) - need
-    if min(a.size, b.size) < need or band < 0:
-        return 0.0
-    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(ia - ib) <= band
-    ia, ib = ia[near], ib[near]
-    if ia.size < need:
-        return 0.0
-    path = ib[np.argsort(ia)]
-    if (np.diff(path) > 0).all():
-        m = path.size
-    else:
-        tails: list[int] = []
-        for x in path.tolist():
-            k = bisect.bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        m = len(tails)
-    s = m / (total - m)
-    return s if s >= cut - 1e-12 else 0.0
+    if a.size < b.size:
+        a, b = b, a
+    if a.size - b.size > most:
+        return most + 1
+    same = a[: b.size] == b
+    skip = b.size if same.all() else int(same.argmin())
+    a, b = a[skip:], b[skip:]
+    if b.size:
+        same = a[a.size - b.size :][::-1] == b[::-1]
+        skip = b.size if same.all() else int(same.argmin())
+        a, b = a[: a.size - skip], b[: b.size - skip]
+    m, n = a.size, b.size
+    if not n or m == 1:
+        return m if m <= most else most + 1
+    shift = m - n
+    x = (most - shift) // 2
+    width = shift + 2 * x + 1
+    full, goal = (1 << width) - 1, shift + x
+    places: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        places[w] = places.get(w, 0) | 1 << i + x
+    up, down, out = full >> x << x, 0, shift
+    for j, w in enumerate(b.tolist()):
+        match = places.get(w, 0) >> j & full
+        level = (((match & up) + up) ^ up) | match | down
+        rise, fall = down | ~(level | up), level & up
+        if not level >> goal & 1:
+            out += 1
+            if out > most:
+                return most + 1
+        level = (level & full) >> 1
+        up, down = (fall | ~(level | rise)) & full, level & rise & full
+    return out
+
+
+def similarity(a: np.ndarray, b: np.ndarray, cut: float) -> float:
+    """1 - edits / words of the longer text; 0 if that is under `cut`."""
+    longer = max(a.size, b.size)
+    most = int(most_edits(longer, cut))
+    d = edits(a, b, most)
+    return 1 - d / longer if d <= most else 0.0
+
+
+def common_words(a: np.ndarray, b: np.ndarray) -> int:
+    """Of sorted labelled words of two texts: how many both have."""
+    if a.size > b.size:
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), b.size - 1)
+    return int((b[at] == a).sum())
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches, "text"):
-            data, off = text_bytes(b.column(2))
-            lab, koff, n, whole = kmers(data, off)
-            buckets, sig = sketch(lab, koff)
+            _, _, h, woff = words(*text_bytes(b.column(2)), WORD_BYTES)
+            keys = [x.view(np.int64) for x in buckets(h, woff)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n), pa.array(np.diff(koff)), pa.array(whole.view(np.int64)), pa.array(list(buckets.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in sig], pa.binary())],
-                names=["doc_id", "row_key", "n_words", "n", "k", "buckets", "sig"],
+                [b.column(0), b.column(1), pa.array(np.diff(woff)), pa.array(text_key(h, woff).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array([x.tobytes() for x in histogram(h, woff)], pa.binary())],
+                names=["doc_id", "row_key", "n_words", "k", "buckets", "sig"],
             )
 
-    return mapped(docs, run, "doc_id long, row_key long, n_words long, n long, k long, buckets array<long>, sig binary")
+    return mapped(docs, run, "doc_id long, row_key long, n_words long, k long, buckets array<long>, sig binary")
+
+
+def _keys(column) -> np.ndarray:
+    """Rows of the keys of `buckets`, each sketch in its own column; 0: none."""
+    lists = column.combine_chunks()
+    size = lists.value_lengths().to_numpy()
+    first = np.cumsum(size) - size
+    flat = lists.flatten().to_numpy()
+    out = np.zeros((size.size, SKETCHES + SHORT_SKETCHES), np.int64)
+    for use, at, n in ((size >= SKETCHES, 0, SKETCHES), (size != SKETCHES, SKETCHES, SHORT_SKETCHES)):
+        rows = np.flatnonzero(use & (size > 0))
+        skip = np.where(size[rows] > SHORT_SKETCHES, at, 0)
+        out[rows, at : at + n] = flat[(first[rows] + skip)[:, None] + np.arange(n)]
+    return out
+
+
+def _histograms(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least edits between texts with these histograms: an edit adds one word, takes one away, or does both."""
+    d = a.astype(np.int16) - b
+    gain = np.maximum(d, 0).sum(1, dtype=np.int64)
+    return np.maximum(gain, gain - d.sum(1, dtype=np.int64))
 
-def _screen(sig, n, ia, ib, cut):
-    """Pairs that may reach `cut`: lengths fit, and of the bins used by either 0.8 agree less 6.5 standard deviations."""
-    lo, hi = np.minimum(n[ia], n[ib]), np.maximum(n[ia], n[ib])
-    ok = lo >= cut * hi - 1e-9
-    ia, ib = ia[ok], ib[ok]
-    a, b = sig[ia], sig[ib]
-    used = ((a | b) != 0).sum(1)
-    same = ((a == b) & (a != 0)).sum(1)
-    ok = same >= cut * used - 6.5 * np.sqrt(cut * (1 - cut) * used)
-    return ia[ok], ib[ok], same[ok]
 
+def _leads(members: DataFrame, own: DataFrame, cut: float) -> DataFrame:
+    """(a, b): each text with one text that it may link to, the closest by histogram of those that come first (by k) in its buckets."""
+    first = members.groupBy("key").agg(F.min("k").alias("lead"))
+    met = members.join(first, "key").where("k <> lead").select("k", "lead").distinct()
+    both = met.join(own.select("k", "n", "sig"), "k").join(own.select(F.col("k").alias("lead"), F.col("n").alias("m"), F.col("sig").alias("other")), "lead")
+
+    def run(batches):
+        for b in batches:
+            longer = np.maximum(b.column(2).to_numpy(), b.column(3).to_numpy())
+            d = _distance(_histograms(b.column(4)), _histograms(b.column(5)))
+            ok = pa.array(d <= most_edits(longer, cut))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(d).filter(ok)], names=["a", "b", "d"])
 
-def _first_met(buckets: np.ndarray, ia: np.ndarray, ib: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether the bucket at hand is the first that both texts are in."""
-    same = buckets[ia] == buckets[ib]
-    return buckets[ia, same.argmax(1)] == key
+    able = mapped(both.select("k", "lead", "n", "m", "sig", "other"), run, "a long, b long, d long")
+    return able.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
 
 
-def _closest(ia, ib, same, first_row, k) -> tuple[np.ndarray, np.ndarray]:
-    """Of screened pairs, for each row one partner: `first_row` if it is among them, else the closest."""
-    x, y = np.concatenate([ia, ib]), np.concatenate([ib, ia])
-    s = np.concatenate([same, same]).astype(np.int64)
-    if first_row is not None:
-        s = np.where(y == first_row[x], BINS + 1, s)
-    order = np.lexsort((k[y], -s, x))
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Rows (key, k, comp) of buckets with several components, with `rows` of the bucket and the pairs of blocks (bi <= bj) to which a row goes.
+
+    Two rows of the most common component need not meet. The others are dealt to blocks 0, 1, ... and meet all blocks; those
+    of the most common one are dealt to the blocks after these and meet the blocks of the others. A small bucket is one block.
+    """
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("rows"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    sizes = sizes.where("most < rows").withColumn("some", F.ceil((F.col("rows") - F.col("most")) / BLOCK).cast("int")).withColumn("rest", F.ceil(F.col("most") / BLOCK).cast("int"))
+    spot = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    small = F.col("rows") <= SMALL
+    dealt = placed.join(sizes, "key").withColumn("block", F.when(small, 0).when(F.col("comp") == F.col("main"), F.col("some") + spot("rest")).otherwise(spot("some")))
+    last = F.when(small, 0).when(F.col("block") < F.col("some"), F.col("some") + F.col("rest") - 1).otherwise(F.col("some") - 1)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select("key", "k", "comp", "rows", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+
+
+def _closest(ia, ib, d, k) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of the pairs its partner of the least distance."""
+    x, y, d = np.concatenate([ia, ib]), np.concatenate([ib, ia]), np.concatenate([d, d])
+    order = np.lexsort((k[y], d, x))
     x, y = x[order], y[order]
     one = np.concatenate([[True], x[1:] != x[:-1]]) if x.size else np.zeros(0, bool)
     return x[one], y[one]
 
 
-def _stragglers(label, comp, ia, ib, cut) -> list[tuple[int, int]]:
-    """Links among screened pairs of a large bucket, tested here: for each row outside the most common component, one link to each component that it links to."""
+def _links(text: list[np.ndarray], comp: np.ndarray, ia: np.ndarray, ib: np.ndarray, cut: float) -> list[tuple[int, int]]:
+    """Of pairs of a large bucket, tested here: for each row outside the most common component, one link to each component that it links to.
+
+    Pairs with too few words in common are not aligned."""
+    bag = {i: np.sort(labelled(text[i], np.array([0, text[i].size]))) for i in np.unique(np.concatenate([ia, ib])).tolist()}
     names, number = np.unique(comp, return_inverse=True)
-    main = names[np.bincount(number).argmax()]
-    swap = comp[ia] == main
+    swap = comp[ia] == names[np.bincount(number).argmax()]
     x, y = np.where(swap, ib, ia), np.where(swap, ia, ib)
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    edge = np.concatenate([np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), [x.size]]) if x.size else [0]
-    out = []
-    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-        i, them = int(x[lo]), y[lo:hi]
-        own = np.sort(label[i])
-        size = np.array([label[j].size for j in them])
-        every = np.concatenate([label[j] for j in them])
-        at = np.minimum(np.searchsorted(own, every), own.size - 1)
-        common = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(size) - size)
-        able = np.flatnonzero(common >= cut / (1 + cut) * (own.size + size) - 1e-9)
-        done: set[int] = set()
-        for j in able[np.argsort(-common[able] / (own.size + size[able]), kind="stable")].tolist():
-            c = int(comp[them[j]])
-            if c not in done and similarity(label[i], label[them[j]], cut) > 0:
-                done.add(c)
-                out.append((i, int(them[j])))
+    out, done = [], set()
+    longer = np.array([max(text[i].size, text[j].size) for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+    common = np.array([common_words(bag[i], bag[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+    able = np.flatnonzero(longer - common <= most_edits(longer, cut))
+    for p in able[np.argsort(-common[able] / longer[able], kind="stable")].tolist():
+        i, j = int(x[p]), int(y[p])
+        if (i, comp[j]) not in done and similarity(text[i], text[j], cut) > 0:
+            done.add((i, comp[j]))
+            out.append((i, j))
     return out
 
 
-def _pairs(groups: DataFrame, cut: float, level: int) -> DataFrame:
-    """(a, b) of bucket rows (key, bi, bj, block, k, n, sig, comp, buckets, labels) in different components.
+def _pairs(groups: DataFrame, cut: float, last: bool) -> DataFrame:
+    """(a, b) of dealt rows (key, bi, bj, block, k, n, sig, comp, buckets, text) of different components.
 
-    Level 0: each row with the least k of its bucket, or if that fails the screen with its closest row. Level 1: each row
-    with its closest row in another component. Level 2: all pairs that remain, each in the first bucket that both texts are
-    in; in large buckets they are tested at once by `labels`, and only links leave the task.
+    At first each row with its closest in another component, by histogram. At `last` all pairs that the histograms allow, each
+    in the first bucket that both texts are in; in large buckets, where rows bring the hashes of their words as `text`, they
+    are tested at once, and only links leave the task.
     """
 
     def flush(rows: pa.Table):
-        key, bi, bj = (rows[c].to_numpy() for c in ("key", "bi", "bj"))
+        key, bi, bj, block, k, n, comp = (rows[c].to_numpy() for c in ("key", "bi", "bj", "block", "k", "n", "comp"))
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
         first = np.flatnonzero(new)
-        size = np.diff(np.append(first, key.size))
-        k, n, comp, block = (rows[c].to_numpy() for c in ("k", "n", "comp", "block"))
-        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, BINS)
-        if level == 2:
-            buckets = np.array(rows["buckets"].to_pylist(), np.int64)
-            raw = rows["labels"].to_pylist()
-        lead = np.repeat(first, size) if level == 0 else None
-        out_a, out_b = [], []
-
-        def screened(ia, ib):
-            ok = (comp[ia] != comp[ib]) & ((bi[ia] == bj[ia]) | (block[ia] != block[ib]))
+        group = np.cumsum(new) - 1
+        end = np.append(first[1:], key.size)[group]
+        sig = _histograms(rows["sig"])
+        # rows stand by block: those of bi meet the rows behind them that are of bj
+        many = np.bincount(group, weights=block == bi).astype(np.int64)
+        left = np.flatnonzero(block == bi)
+        begin = np.where(bi[left] == bj[left], left + 1, (first + many)[group[left]])
+        count = np.maximum(end[left] - begin, 0)
+        met = _keys(rows["buckets"]) if last else None
+        words_of = rows["text"].to_pylist() if last else None
+        out_a, out_b, held = [], [], {}
+        lot = np.cumsum(count) // 200_000
+        for c in np.unique(lot):
+            use = np.flatnonzero((lot == c) & (count > 0))
+            ia = np.repeat(left[use], count[use])
+            ib = ragged(begin[use], count[use])
+            ok = (comp[ia] != comp[ib]) & (np.minimum(n[ia], n[ib]) >= np.maximum(n[ia], n[ib]) - most_edits(np.maximum(n[ia], n[ib]), cut))
             ia, ib = ia[ok], ib[ok]
-            if level == 2 and ia.size:
-                ok = _first_met(buckets, ia, ib, key[ia])
+            d = _distance(sig[ia], sig[ib])
+            ok = d <= most_edits(np.maximum(n[ia], n[ib]), cut)
+            ia, ib, d = ia[ok], ib[ok], d[ok]
+            if not last:
+                ia, ib = _closest(ia, ib, d, k)
+            else:
+                same = (met[ia] == met[ib]) & (met[ia] != 0)
+                ok = met[ia, same.argmax(1)] == key[ia]
                 ia, ib = ia[ok], ib[ok]
-            return _screen(sig, n, ia, ib, cut)
-
-        def emit(ia, ib):
+                large = np.array([words_of[i] is not None for i in ia.tolist()], bool)
+                for g in np.unique(group[ia[large]]).tolist():
+                    of = large & (group[ia] == g)
+                    held.setdefault(g, []).append((ia[of], ib[of]))
+                ia, ib = ia[~large], ib[~large]
             out_a.append(k[ia])
             out_b.append(k[ib])
-
-        small = np.flatnonzero(size <= LARGE)
-        lot = np.cumsum(size[small] ** 2) // 200_000
-        for c in np.unique(lot):
-            g = small[lot == c]
-            m = size[g]
-            sq = np.repeat(np.arange(g.size), m * m)
-            w = np.arange(sq.size) - np.repeat(np.cumsum(m * m) - m * m, m * m)
-            ia, ib = first[g][sq] + w // m[sq], first[g][sq] + w % m[sq]
-            ok = ia < ib
-            ia, ib, same = screened(ia[ok], ib[ok])
-            emit(*(_closest(ia, ib, same, lead, k) if level < 2 else (ia, ib)))
-        for g in np.flatnonzero(size > LARGE).tolist():
-            lo, m = int(first[g]), int(size[g])
-            if (comp[lo : lo + m] == comp[lo]).all():
-                continue
-            got: list = []
-            step = max(1, 200_000 // m)
-            for r in range(0, m, step):  # rows of the upper triangle, some at a time
-                ia, ib = np.divmod(np.arange(r * m, min(m, r + step) * m), m)
-                ok = ia < ib
-                got.append(screened(ia[ok] + lo, ib[ok] + lo))
-            ia, ib, same = (np.concatenate(x) for x in zip(*got, strict=True))
-            if level < 2:
-                emit(*_closest(ia, ib, same, lead, k))
-            elif ia.size:
-                label = [np.frombuffer(raw[i], np.uint32) for i in range(lo, lo + m)]
-                links = np.array(_stragglers(label, comp[lo : lo + m], ia - lo, ib - lo, cut), np.int64).reshape(-1, 2) + lo
-                emit(links[:, 0], links[:, 1])
+        for g, parts in held.items():
+            ia, ib = (np.concatenate(x) for x in zip(*parts, strict=True))
+            lo, hi = int(first[g]), int(end[first[g]])
+            links = np.array(_links([np.frombuffer(words_of[i], np.uint64) for i in range(lo, hi)], comp[lo:hi], ia - lo, ib - lo, cut), np.int64).reshape(-1, 2) + lo
+            out_a.append(k[links[:, 0]])
+            out_b.append(k[links[:, 1]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
         pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
@@ -272,19 +342,18 @@ def _pairs(groups: DataFrame, cut: float, level: int) -> DataFrame:
         if held:
             yield flush(pa.concat_tables(held))
 
-    return mapped(groups.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "k"), run, "a long, b long").distinct()
+    return mapped(groups.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "block", "k"), run, "a long, b long").distinct()
 
 
-def _labels(texts: DataFrame) -> DataFrame:
-    """(k, labels): the upper halves of the labelled k-mers of each text, in text order."""
+def _word_hashes(texts: DataFrame) -> DataFrame:
+    """(k, text): the hashes of the words of each text."""
 
     def run(batches):
         for b in slices(batches, "text"):
-            lab, off, _, _ = kmers(*text_bytes(b.column(1)))
-            half = (lab >> np.uint64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([half[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["k", "labels"])
+            _, _, h, off = words(*text_bytes(b.column(1)), WORD_BYTES)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["k", "text"])
 
-    return mapped(texts.select("k", "text"), run, "k long, labels binary")
+    return mapped(texts.select("k", "text"), run, "k long, text binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, cut: float) -> DataFrame:
@@ -292,9 +361,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, cut: float) -> DataFrame:
 
     def run(batches):
         for b in slices(batches, "ta"):
-            la, oa, _, _ = kmers(*text_bytes(b.column(2)))
-            lb, ob, _, _ = kmers(*text_bytes(b.column(3)))
-            s = np.array([similarity(la[oa[i] : oa[i + 1]], lb[ob[i] : ob[i + 1]], cut) for i in range(b.num_rows)])
+            _, _, ha, oa = words(*text_bytes(b.column(2)), WORD_BYTES)
+            _, _, hb, ob = words(*text_bytes(b.column(3)), WORD_BYTES)
+            s = np.array([similarity(ha[oa[i] : oa[i + 1]], hb[ob[i] : ob[i + 1]], cut) for i in range(b.num_rows)])
             at = np.flatnonzero(s > 0)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(s[at])], names=["a", "b", "similarity"])
 
@@ -310,56 +379,57 @@ def _row_key():
 def near_documents(docs: DataFrame, cut: float = 0.8) -> DataFrame:
     """doc_id, row_key, class_id, n_words, kept for every row of (doc_id, text).
 
-    Two different texts link if an alignment in order of their occurrence-labelled five-word k-mers matches `cut` or more of
-    them, as a share of all k-mers of either (`similarity`). Texts with the same words are copies. A class holds all rows that
+    Two different texts link if their words have an edit similarity (`similarity`: one less the words to insert, delete or
+    replace as a share of the longer text) of `cut`, at least 0.8. Texts with the same words are copies. A class holds all rows that
     links and copies join; class_id is its least doc_id. A row is kept if it is the first of its class by doc_id (null last) and
     hash of the text; identical rows share that place. A text without words (null, empty) is a class of its own; so its
-    class_id is its own doc_id. Words are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII characters.
-
-    Candidates are texts that agree in one of `SKETCHES` sketches: the `TAKEN` k-mers that come first in a random order, in
-    text order. Copies are one candidate. In a bucket only pairs of different components are verified, in three rounds, the last
-    with all that are left, in large buckets inside the task; so no link is lost, and what leaves the buckets is about one pair
-    for each text and bucket in a group.
+    class_id is its own doc_id. Words are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII characters; words, and
+    whole texts for being copies, are told apart by 64-bit hashes.
+
+    Candidates are texts that agree in one sketch: the `TAKEN` k-mers that come first in a random order, in text order. A link
+    is found if some sketch of its texts agrees; the README states the measured share. All candidates are decided exactly:
+    pairs that the word histograms rule out cannot reach `cut`, the others are aligned, unless links already join their texts.
+    This goes in three rounds: each text with the first one of a bucket, each with its closest in another component, then all pairs
+    of different components, in large buckets inside the task. What leaves the buckets is about one pair for each text and bucket.
     """
+    if not SHORT[0] / SHORT[1] <= cut <= 1:
+        raise ValueError("cut must be from 0.8 to 1")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", _row_key().alias("row_key"), "text")
     done = written(_sketches(rows), "sketches")
-    reps = done.where("n_words > 0").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
+    reps = done.where("n_words > 0").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("rep"), F.first("n_words").alias("n"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
     reps = written(reps, "texts")
     entries = reps.select("k", F.explode("buckets").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = entries.join(shared, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    members = written(members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "k", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")), "members")
-    inside = members.select("k").distinct()
-    own = written(reps.join(inside, "k").select("k", "n", "sig", "buckets", "rep.doc_id", "rep.row_key"), "candidates")
+    members = written(entries.join(shared.select("key"), "key"), "members")
+    own = written(reps.join(members.select("k").distinct(), "k").select("k", "n", "sig", "buckets", "rep.doc_id", "rep.row_key"), "candidates")
     texts = written(rows.join(own.select("k", F.col("doc_id").alias("d"), F.col("row_key").alias("r")), (F.col("row_key") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("k", "text").dropDuplicates(["k"]), "texts")
-    comp = own.select("k", F.col("k").alias("comp"))
+    discard(reps)
     links = None
     for level in range(3):
-        placed = members.join(comp, "k")
-        if level:
-            placed = written(placed, "placed")
-            keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
-            placed = placed.join(keys.select("key", "rows"), "key")
-        else:
-            placed = placed.withColumn("rows", F.lit(0).cast("long"))
-        none = F.lit(None)
-        if level == 2:
-            big = placed.where(F.col("rows") > LARGE).select("k").distinct()
-            labels = written(_labels(texts.join(big, "k")), "labels")
-            use = placed.join(own.select("k", "n", "sig", "buckets"), "k")
-            few, many = use.where(F.col("rows") <= LARGE).withColumn("labels", none.cast("binary")), use.where(F.col("rows") > LARGE).join(labels, "k")
-            groups = few.unionByName(many)
+        if level == 0:
+            pairs = _leads(members, own, cut)
         else:
-            groups = placed.join(own.select("k", "n", "sig"), "k").withColumn("buckets", none.cast("array<long>")).withColumn("labels", none.cast("binary"))
-        pairs = written(_pairs(groups.select("key", "bi", "bj", "block", "k", "n", "sig", "comp", "buckets", "labels"), cut, level), "pairs")
+            dealt = written(_dealt(members.join(comp, "k")), "dealt")
+            groups = dealt.join(own.select("k", "n", "sig", *["buckets"] * (level == 2)), "k")
+            if level == 2:
+                big = dealt.where(F.col("rows") > LARGE).select("k").distinct()
+                hashes = written(_word_hashes(texts.join(big, "k")), "hashes")
+                few, many = groups.where(F.col("rows") <= LARGE).withColumn("text", F.lit(None).cast("binary")), groups.where(F.col("rows") > LARGE).join(hashes, "k")
+                groups = few.unionByName(many)
+            else:
+                groups = groups.withColumns({"buckets": F.lit(None).cast("array<long>"), "text": F.lit(None).cast("binary")})
+            pairs = _pairs(groups.select("key", "bi", "bj", "block", "k", "n", "sig", "comp", "buckets", "text"), cut, level == 2)
+        pairs = written(pairs, "pairs")
         found = written(_verify(pairs, texts, cut).select("a", "b"), "links")
-        discard(pairs)
+        joined = links is not None and found.isEmpty()
+        for used in (pairs, *([dealt] if level else []), *([hashes, texts] if level == 2 else [])):
+            discard(used)
         links = found if links is None else links.union(found)
-        nodes = components(links, 2 if level < 2 else None)  # before the last round, less than whole components only means more tests
+        if not joined:
+            nodes = written(components(links), "nodes")
         comp = own.select("k").join(nodes.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("comp"))
-        gc.collect()
-        docs.sparkSession._jvm.System.gc()  # shuffle files of finished rounds go when their handles do
+    discard(members)
     out = done.join(nodes.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))
     heads = out.where("n_words > 0").groupBy("component").agg(best.alias("head"))
