@@ -23,9 +23,9 @@ from .shared import mapped, tree_total, written
 #: Own outputs, units, words of a class, most words whose counts every task holds.
 HEAD, UNITS, CLASS, COMMON = 2048, 16, 45, 1 << 19
 #: Texts side by side in training and in scoring, steps of a window, averaging rounds, step size.
-LANES, WIDE, WINDOW, ROUNDS, RATE = 192, 768, 24, 2, 0.012
-#: Tokens that a task takes at a time.
-PART = 800_000
+LANES, WIDE, WINDOW, ROUNDS, RATE = 192, 768, 24, 2, 0.03
+#: Tokens of a step at least, and tokens that a task takes at a time.
+BATCH, PART = 3_000, 800_000
 END = np.uint64(0x656E64)
 SMOOTH = 0.1
 
@@ -196,12 +196,12 @@ class Network:
                 ds[i] += e @ p["wv"][c].T
         return logp, g, ds
 
-    def back(self, ids: np.ndarray, fresh: np.ndarray, kept: list, ds: np.ndarray, g: dict) -> None:
-        """Backpropagation through one window; the state before it is taken as given."""
+    def back(self, fresh: np.ndarray, kept: list, ds: np.ndarray, g: dict) -> np.ndarray:
+        """Backpropagation through one window; the state before it is taken as given. Gives the gradient of each input's gates."""
         p, n = self.p, UNITS
         u2, u1 = p["u"][:, : 2 * n], p["u"][:, 2 * n :]
-        du, dx, dh = np.zeros_like(p["u"]), np.empty((*ids.shape, 3 * n), np.float32), np.zeros_like(ds[0])
-        for t in range(ids.shape[0] - 1, -1, -1):
+        du, dx, dh = np.zeros_like(p["u"]), np.empty((*fresh.shape, 3 * n), np.float32), np.zeros_like(ds[0])
+        for t in range(fresh.shape[0] - 1, -1, -1):
             h, r, z, rh, c = kept[t]
             dh = dh + ds[t]
             dc = dh * (1 - z) * (1 - c * c)
@@ -211,12 +211,15 @@ class Network:
             du[:, : 2 * n] += h.T @ d2
             dx[t, :, : 2 * n], dx[t, :, 2 * n :] = d2, dc
             dh = (dh * z + drh * r + d2 @ u2.T) * ~fresh[t][:, None]
-        flat = ids.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
-        de = np.zeros_like(p["emb"])
-        de[flat[order][first]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, 0)
-        g["u"], g["emb"] = du, de
+        g["u"] = g["u"] + du if "u" in g else du
+        return dx.reshape(-1, 3 * n)
+
+    def inputs(self, ids: np.ndarray, dx: np.ndarray, g: dict) -> None:
+        """Gradient of the inputs' table from that of each input's gates."""
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) > 0]))
+        g["emb"] = np.zeros_like(self.p["emb"])
+        g["emb"][ids[order][first]] = np.add.reduceat(dx[order], first, 0)
 
 
 def _lanes(target: np.ndarray, off: np.ndarray, lanes: int, k: int):
@@ -268,39 +271,63 @@ def score_texts(net: Network, target: np.ndarray, off: np.ndarray) -> np.ndarray
     out = np.zeros(off.size - 1)
     t, x, who, new, active = _lanes(target, off, WIDE, net.k)
     h = np.zeros((t.shape[1], UNITS), np.float32)
+    held: list[tuple] = []
+
+    def flush():
+        s, goal, own = (np.concatenate(v) for v in zip(*held, strict=True))
+        held.clear()
+        out[:] += np.bincount(own, weights=net.outputs(s, goal, False)[0], minlength=out.size)
+
     for lo, hi, n in _windows(active, WINDOW):
-        s, state, _ = net.steps(x[lo:hi, :n], new[lo:hi, :n], h[:n], False)
-        h = state
+        s, h, _ = net.steps(x[lo:hi, :n], new[lo:hi, :n], h[:n], False)
         use = np.flatnonzero(t[lo:hi, :n].ravel() >= 0)
-        logp, _, _ = net.outputs(s.reshape(-1, UNITS)[use], t[lo:hi, :n].ravel()[use], False)
-        out += np.bincount(who[lo:hi, :n].ravel()[use], weights=logp, minlength=out.size)
+        held.append((s.reshape(-1, UNITS)[use], t[lo:hi, :n].ravel()[use], who[lo:hi, :n].ravel()[use]))
+        if sum(v[1].size for v in held) >= BATCH:
+            flush()
+    if held:
+        flush()
     return out
 
 
 class Learner:
-    """Adam over windows of the texts it is given, in turn."""
+    """Adam over windows of the texts it is given, in turn. A step takes the gradient of all windows since the last one, `BATCH` tokens or more."""
 
     def __init__(self, net: Network, rate: float):
         self.net, self.rate, self.n, self.seen = net, rate, 0, 0
         self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
         self.grad = np.zeros_like(net.flat)
+        self.held: list[tuple] = []
 
     def learn(self, target: np.ndarray, off: np.ndarray) -> None:
         net = self.net
         t, x, _, new, active = _lanes(target, off, LANES, net.k)
         h = np.zeros((t.shape[1], UNITS), np.float32)
         for lo, hi, n in _windows(active, WINDOW):
-            s, state, kept = net.steps(x[lo:hi, :n], new[lo:hi, :n], h[:n], True)
+            s, h, kept = net.steps(x[lo:hi, :n], new[lo:hi, :n], h[:n], True)
             goal = t[lo:hi, :n].ravel()
             use = np.flatnonzero(goal >= 0)
-            _, g, d = net.outputs(s.reshape(-1, UNITS)[use], goal[use], True)
-            ds = np.zeros((goal.size, UNITS), np.float32)
-            ds[use] = d
-            net.back(x[lo:hi, :n], new[lo:hi, :n], kept, ds.reshape(s.shape), g)
-            self.step(g, max(1, use.size))
-            h = state
+            self.held.append((s.reshape(-1, UNITS)[use], goal[use], use, x[lo:hi, :n], new[lo:hi, :n], kept))
+            if sum(v[1].size for v in self.held) >= BATCH:
+                self.taught()
+        if self.held:
+            self.taught()
         self.seen += target.size
 
+    def taught(self) -> None:
+        """Outputs, loss and gradient of the held windows, and one step."""
+        goal = np.concatenate([v[1] for v in self.held])
+        _, g, d = self.net.outputs(np.concatenate([v[0] for v in self.held]), goal, True)
+        at, ids, dx = 0, [], []
+        for _, own, use, x, new, kept in self.held:
+            ds = np.zeros((x.size, UNITS), np.float32)
+            ds[use] = d[at : at + own.size]
+            at += own.size
+            dx.append(self.net.back(new, kept, ds.reshape(*x.shape, UNITS), g))
+            ids.append(x.ravel())
+        self.net.inputs(np.concatenate(ids), np.concatenate(dx), g)
+        self.held.clear()
+        self.step(g, max(1, goal.size))
+
     def step(self, g: dict, n: int) -> None:
         at = 0
         for name, p in self.net.p.items():
