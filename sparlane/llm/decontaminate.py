@@ -1,7 +1,8 @@
 """Benchmark decontamination by training suffix arrays (operator 3).
 
 A shard is a slice of the documents' words. Its suffix array holds the suffixes that begin with the first words of some
-test window, as no other suffix can be found; every test suffix is looked up in it by binary search.
+test window, as no other suffix can be found. Every test suffix that a window begins is looked up in it by binary search; where
+its window is found, the suffixes of texts and tests are put in one order, in which the longest match of each stands next to it.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import WORD_BYTES, Table, mix, slices, text_bytes, words
+from .blocks import WORD_BYTES, Table, mix, ragged, slices, text_bytes, words
 from .shared import mapped
 
 WINDOW = 10
-#: Bytes of benchmark text that are held in memory at once; more is gone through in blocks.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text that are held in memory at once; more is gone through in blocks, each with GROUP_BYTES of documents at a time.
+BLOCK_BYTES, GROUP_BYTES = 32 << 20, 64 << 20
 
 
 def _keys(ids: np.ndarray) -> np.ndarray:
@@ -71,7 +72,7 @@ class Searcher:
         size = np.zeros(low.shape[0], np.int64)
         size[which.ravel()] = t.length[at]
         self.low, self.high = _keys(low), _keys(np.where(np.arange(window) < size[:, None], low, 0xFFFFFFFF))
-        self.size = size
+        self.size, self.use, self.which = size, at, which.ravel()
         pairs = np.unique(np.stack([which.ravel(), t.item[at]], 1), axis=0) if at.size else np.zeros((0, 2), int)
         self.owner, self.first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(low.shape[0] + 1))
 
@@ -107,36 +108,43 @@ class Searcher:
         at = np.repeat(lo[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return start[at], np.repeat(found, n)
 
-    def longest(self, ids, woff, start, key, rank) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every test suffix whose window is matched: its number, the place and length of its longest match in the shard.
+    def extend(self, ids, woff, start, key, rank):
+        """Places in the shard that a window of a test suffix is found at, and the length of each one's longest match; and of every test
+        suffix whose window is found: its number, the place and length of its longest match in the shard.
 
         Of equally long matches the one in the document of the least `rank`, then the first, is given. The suffixes that begin
         like a window, of texts and tests alike, are ordered as far as a test reaches; the longest match of a test suffix is
-        then next to it.
+        then next to it, as is that of a place.
         """
-        t, w = self.t, self.window
+        t = self.t
         none = np.zeros(0, np.int64)
-        use = np.flatnonzero(t.length > 0)
-        rows, short = t.ids[use[:, None] + np.arange(w)], np.arange(w) >= t.length[use][:, None]
-        low = np.searchsorted(key, _keys(np.where(short, 0, rows)), "left") if start.size and use.size else none
-        high = np.searchsorted(key, _keys(np.where(short, 0xFFFFFFFF, rows)), "right") if start.size and use.size else none
-        use, low, high = (x[np.flatnonzero(high > low)] for x in (use, low, high))
+        low, high = (np.searchsorted(key, x, side) if start.size else np.zeros(x.size, np.int64) for x, side in ((self.low, "left"), (self.high, "right")))
+        got = (high > low)[self.which]
+        use, low, high = self.use[got], low[self.which[got]], high[self.which[got]]
         if not use.size:
-            return none, none, none
+            return none, none, none, none, none
         inside = np.cumsum(np.bincount(low, minlength=start.size + 1) - np.bincount(high, minlength=start.size + 1))[:-1] > 0
-        spots = start[inside]
-        # one row of words, a 0 after each text and after each item's part
+        short = np.zeros(start.size, np.int64)  # the longest item of fewer words than a window that begins at a place
+        for n in np.unique(t.length[use]).tolist():
+            at = t.length[use] == n
+            if n < self.window:
+                short[np.cumsum(np.bincount(low[at], minlength=start.size + 1) - np.bincount(high[at], minlength=start.size + 1))[:-1] > 0] = n
+        spots, short = start[inside], short[inside]
+        # one row of words: the documents that hold a place, then the parts of items, a 0 after each
         end, which = np.unique(use + t.left[use], return_inverse=True)
         begin = use[np.searchsorted(which, np.arange(end.size))]
         doc = np.searchsorted(woff, spots, side="right") - 1
-        size = int(woff[-1])
-        base = size + woff.size - 1
+        own, number = np.unique(doc, return_inverse=True)
+        size = np.diff(woff)[own]
+        base = int(size.sum()) + own.size
+        move = np.cumsum(size + 1) - (size + 1) - woff[own]
         shift = base + np.cumsum(end - begin + 1) - (end + 1)
         seq = np.zeros(int(base + (end - begin + 1).sum()) + 1, np.int64)
-        seq[np.arange(size) + np.repeat(np.arange(woff.size - 1), np.diff(woff))] = ids[:size]
-        part = np.arange(int((end - begin).sum())) + np.repeat(end - np.cumsum(end - begin), end - begin)
+        text = ragged(woff[own], size)
+        seq[text + np.repeat(move, size)] = ids[text]
+        part = ragged(begin, end - begin)
         seq[part + np.repeat(shift, end - begin)] = t.ids[part]
-        at = np.concatenate([spots + doc, use + shift[which]])
+        at = np.concatenate([spots + move[number], use + shift[which]])
         reach = int(t.left[use].max())
         order = np.argsort(_doubled(seq, reach)[at], kind="stable")
         at, test = at[order], order >= spots.size
@@ -148,7 +156,11 @@ class Searcher:
             if not todo.size:
                 break
             common[todo] += 1
-        best = np.maximum(_since(common, ~test, reach), _since(np.append(common[1:], 0)[::-1], ~test[::-1], reach)[::-1])
+        best = lambda mark: np.maximum(_since(common, mark, reach), _since(np.append(common[1:], 0)[::-1], mark[::-1], reach)[::-1])
+        most = np.zeros(spots.size, np.int64)
+        most[order[~test]] = best(test)[~test]
+        most = np.where(most >= self.window, most, short)
+        best = best(~test)
         turn = np.lexsort((spots - woff[doc], rank[doc]))
         tie = np.full(at.size, spots.size)
         tie[np.argsort(order)[turn]] = np.arange(spots.size)
@@ -160,7 +172,7 @@ class Searcher:
             least = np.minimum.reduceat(tie, edge)[np.searchsorted(group[edge], group)]
             mine = test & (best == n)
             place[order[mine] - spots.size] = spots[turn[least[mine]]]
-        return use, place, length
+        return spots, most, use, place, length
 
 
 def _doubled(seq: np.ndarray, reach: int) -> np.ndarray:
@@ -196,67 +208,79 @@ def _searcher(block, window: int) -> Searcher:
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    """(name, broadcast) of the benchmark's blocks; the driver holds one at a time, and its broadcasts stand in files."""
     sc = docs.sparkSession.sparkContext
-    return [(uuid.uuid4().hex, sc.broadcast(t)) for t in _tests(benchmark, window, block_bytes)]
-
-
-def _tests(benchmark: DataFrame, window: int, block_bytes: int) -> list[Tests]:
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     out = []
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        out.append(Tests.build(part["text"].combine_chunks(), part["item_id"].to_pylist(), window))
+        out.append((uuid.uuid4().hex, sc.broadcast(Tests.build(part["text"].combine_chunks(), part["item_id"].to_pylist(), window))))
     return out
 
 
+def _groups(batches, blocks: list):
+    """Lists of slices of about 1 MB of text. With several blocks they are held for GROUP_BYTES, so that each index is built once for these."""
+    held, size = [], 0
+    for b in slices(batches, "text"):
+        held.append(b)
+        size += b.nbytes
+        if len(blocks) < 2 or size >= GROUP_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, items, spans of each document.
+    """doc_id, n_words, n_hit, items, spans, longest of each document.
 
     Words are lower-cased (A-Z) runs of ASCII letters and digits and of non-ASCII characters. A test window is `window`
     words of an item in a row, or all words of a shorter item that has any. `spans` are the maximal runs [from, to) of
-    document words inside occurrences, `items` the sorted ids of the items that occur. A null text has no words; null test
+    document words inside matches, `items` the sorted ids of the items that occur, `longest` the words of the longest match. A null text has no words; null test
     texts are left out; a null item_id counts as the empty string; repeated rows keep their own result rows. Each slice of documents
     meets the benchmark in blocks of `block_bytes` text, of which a worker holds one index at a time.
     """
     blocks = _blocks(docs, benchmark, window, block_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<from:int,to:int>>"
+    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<from:int,to:int>>, longest long"
     return mapped(rows, _hit_rows(blocks, window), schema)
 
 
 def _hit_rows(blocks, window: int):
     def run(batches):
-        for b in slices(batches, "text"):
-            data, off = text_bytes(b.column(1))
-            _, _, h, woff = words(data, off, WORD_BYTES)
-            n = off.size - 1
-            cover = np.zeros(h.size + 1, np.int64)
-            found: list[list[str]] = [[] for _ in range(n)]
+        for held in _groups(batches, blocks):
+            shards = [words(*text_bytes(b.column(1)), WORD_BYTES)[2:] for b in held]
+            cover = [np.zeros(h.size + 1, np.int64) for h, _ in shards]
+            longest = [np.zeros(woff.size - 1, np.int64) for _, woff in shards]
+            found: list[list[list[str]]] = [[[] for _ in range(b.num_rows)] for b in held]
             for shared in blocks:
                 s = _searcher(shared, window)
-                _, _, start, key = s.shard(h, woff)
-                at, win = s.windows(start, key)
-                if not at.size:
-                    continue
-                cover += np.bincount(at, minlength=h.size + 1) - np.bincount(at + s.size[win], minlength=h.size + 1)
-                doc = np.searchsorted(woff, at, side="right") - 1
-                pair = np.unique(np.stack([doc, win], 1), axis=0)
-                for d, w in pair.tolist():
-                    found[d].extend(s.t.names[i] for i in s.owner[s.first[w] : s.first[w + 1]].tolist())
-            inside = np.cumsum(cover[:-1]) > 0
-            total = np.concatenate([[0], np.cumsum(inside)])
-            n_hit = total[woff[1:]] - total[woff[:-1]]
-            spans: list[list[dict]] = [[] for _ in range(n)]
-            for d in np.flatnonzero(n_hit):
-                own = np.concatenate([[False], inside[woff[d] : woff[d + 1]], [False]])
-                edge = np.flatnonzero(own[1:] != own[:-1]).tolist()
-                spans[d] = [{"from": x, "to": y} for x, y in zip(edge[::2], edge[1::2], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(woff)), pa.array(n_hit), pa.array([sorted(set(x)) for x in found], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
+                for i, (h, woff) in enumerate(shards):
+                    ids, _, start, key = s.shard(h, woff)
+                    spots, length, _, _, _ = s.extend(ids, woff, start, key, np.arange(woff.size))
+                    if not spots.size:
+                        continue
+                    cover[i] += np.bincount(spots, minlength=h.size + 1) - np.bincount(spots + length, minlength=h.size + 1)
+                    np.maximum.at(longest[i], np.searchsorted(woff, spots, side="right") - 1, length)
+                    at, win = s.windows(start, key)
+                    doc = np.searchsorted(woff, at, side="right") - 1
+                    for d, w in np.unique(np.stack([doc, win], 1), axis=0).tolist():
+                        found[i][d].extend(s.t.names[x] for x in s.owner[s.first[w] : s.first[w + 1]].tolist())
+            for b, (h, woff), c, most, items in zip(held, shards, cover, longest, found, strict=True):
+                inside = np.cumsum(c[:-1]) > 0
+                total = np.concatenate([[0], np.cumsum(inside)])
+                n_hit = total[woff[1:]] - total[woff[:-1]]
+                spans: list[list[dict]] = [[] for _ in range(b.num_rows)]
+                for d in np.flatnonzero(n_hit):
+                    own = np.concatenate([[False], inside[woff[d] : woff[d + 1]], [False]])
+                    edge = np.flatnonzero(own[1:] != own[:-1]).tolist()
+                    spans[d] = [{"from": x, "to": y} for x, y in zip(edge[::2], edge[1::2], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(np.diff(woff)), pa.array(n_hit), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))), pa.array(most)],
+                    names=["doc_id", "n_words", "n_hit", "items", "spans", "longest"],
+                )
 
     return run
 
@@ -270,16 +294,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     blocks = _blocks(docs, benchmark, window, block_bytes)
 
     def run(batches):
-        for b in slices(batches, "text"):
-            data, off = text_bytes(b.column(1))
-            _, _, h, woff = words(data, off, WORD_BYTES)
-            doc_id = b.column(0)
-            rank = np.unique(doc_id.fill_null(0).to_numpy(), return_inverse=True)[1].ravel()
-            rank[doc_id.is_null().to_numpy(zero_copy_only=False)] = rank.size
-            for k, shared in enumerate(blocks):
+        for held in _groups(batches, blocks):
+            shards = [words(*text_bytes(b.column(1)), WORD_BYTES)[2:] for b in held]
+            for (k, shared), (b, (h, woff)) in ((x, y) for x in enumerate(blocks) for y in zip(held, shards, strict=True)):
+                doc_id = b.column(0)
+                rank = np.unique(doc_id.fill_null(0).to_numpy(), return_inverse=True)[1].ravel()
+                rank[doc_id.is_null().to_numpy(zero_copy_only=False)] = rank.size
                 s = _searcher(shared, window)
                 ids, _, start, key = s.shard(h, woff)
-                suffix, place, length = s.longest(ids, woff, start, key, rank)
+                _, _, suffix, place, length = s.extend(ids, woff, start, key, rank)
                 doc = np.searchsorted(woff, place, side="right") - 1
                 begin = np.flatnonzero(np.concatenate([[True], s.t.left[1:] >= s.t.left[:-1]])) if s.t.left.size else suffix
                 own = suffix - begin[np.searchsorted(begin, suffix, side="right") - 1] if suffix.size else suffix
@@ -298,15 +321,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     blocks = _blocks(docs, benchmark, window, BLOCK_BYTES)
 
     def run(batches):
-        for b in slices(batches, "text"):
-            data, off = text_bytes(b.column(b.schema.get_field_index("text")))
-            _, _, h, woff = words(data, off, WORD_BYTES)
-            bad = np.zeros(off.size - 1, bool)
+        for held in _groups(batches, blocks):
+            shards = [words(*text_bytes(b.column(b.schema.get_field_index("text"))), WORD_BYTES)[2:] for b in held]
+            bad = [np.zeros(b.num_rows, bool) for b in held]
             for shared in blocks:
                 s = _searcher(shared, window)
-                at, _ = s.windows(*s.shard(h, woff)[2:])
-                bad[np.searchsorted(woff, at, side="right") - 1] = True
-            yield b.filter(pa.array(~bad))
+                for own, (h, woff) in zip(bad, shards, strict=True):
+                    at, _ = s.windows(*s.shard(h, woff)[2:])
+                    own[np.searchsorted(woff, at, side="right") - 1] = True
+            for b, own in zip(held, bad, strict=True):
+                yield b.filter(pa.array(~own))
 
     return mapped(docs.select(*names), run, schema)
 
