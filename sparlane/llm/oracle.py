@@ -29,3 +29,16 @@ items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS n, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT r, n, i, array_slice(b, i + 1, i + 50) AS s FROM d, unnest(range(octet_length(b) - 49)) AS u(i)),
+first AS (SELECT s, min(n) AS n FROM s GROUP BY s HAVING min(n) < max(n)),
+hit AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50, true) AS fresh FROM s JOIN first USING (s) WHERE s.n > first.n),
+run AS (SELECT r, min(i) AS lo, max(i) + 50 AS hi FROM (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM hit) GROUP BY r, k),
+piece AS (SELECT r, lo AS hi, lag(hi, 1, 0) OVER (PARTITION BY r ORDER BY lo) AS lo FROM run UNION ALL SELECT r, NULL, max(hi) FROM run GROUP BY r),
+kept AS (SELECT r, string_agg(hex(array_slice(b, lo + 1, coalesce(hi, octet_length(b)))), '' ORDER BY lo) AS x FROM piece JOIN d USING (r) GROUP BY r),
+cut AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM run GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(x), b)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
+"""

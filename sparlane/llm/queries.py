@@ -69,4 +69,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_cross_polytope": oracle.NEAR_VECTORS,
     "op3_suffix_array_decontamination": oracle.DECONTAMINATION,
+    "op4_deep_shallow_dedup": oracle.REPEATS,
 }

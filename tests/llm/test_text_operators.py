@@ -57,6 +57,7 @@ def test_decontamination(spark, edge, nothing, documents, sf_dir):
             h = decontaminate.hits(df, items, block_bytes=size)
             got = h.select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), F.col("n_hit") > 0)
             assert order(map(tuple, got.collect())) == want
+            assert h.where("longest < 10 AND n_hit >= 10 AND size(spans) = 1 AND size(items) = 1 OR (longest = 0) <> (n_hit = 0) OR longest > n_hit").count() == 0
     assert decontaminate.report(nothing, items).count() == 0
     assert decontaminate.report(edge, items.where("false")).where("contaminated").count() == 0
     stay = decontaminate.decontaminate(edge, items)
@@ -105,6 +106,12 @@ def test_longest_matches(spark):
     for parts, size in ((1, 32 << 20), (1, 100), (5, 32 << 20)):
         got = decontaminate.matches(df.coalesce(1).repartition(parts), bench, block_bytes=size)
         assert order(map(tuple, got.select("item_id", "item_word", "doc_id", "doc_word", "length").collect())) == want
+        most = {}
+        for d, x in docs:
+            own = longest([(d, x)], items)
+            most[d] = max(most.get(d, 0), max((r[-1] for r in own), default=0))
+        got = decontaminate.hits(df, bench, block_bytes=size).groupBy("doc_id").agg(F.max("longest")).collect()
+        assert dict(map(tuple, got)) == most
 
 
 def removed(rows, length=50):
@@ -169,11 +176,29 @@ def test_multikey_quicksort():
         assert (repeats.multikey_quicksort(x) == np.lexsort(x.T[::-1])).all()
 
 
-def classes(rows, cut=0.8):
-    texts = [t or "" for _, t in rows]
-    from sparlane.llm.blocks import text_bytes
+def distance(a, b):
+    """Words to insert, delete or replace, by the whole table of prefixes."""
+    turn = np.arange(len(b) + 1)
+    row = turn.copy()
+    for i, x in enumerate(a, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (b != x))
+        row = np.minimum.accumulate(new - turn) + turn
+    return int(row[-1])
+
+
+def alike(a, b, cut=0.8):
+    longer = max(len(a), len(b))
+    size = max(a.max(), b.max()) + 1
+    if np.minimum(np.bincount(a, minlength=size), np.bincount(b, minlength=size)).sum() < cut * longer - 1e-9:
+        return False  # too few words in common
+    return min(len(a), len(b)) >= cut * longer - 1e-9 and 1 - distance(a, b) / longer >= cut - 1e-9
+
 
-    lab, off, n, whole = near.kmers(*text_bytes(pa.array(texts)))
+def classes(rows, cut=0.8):
+    number = {}
+    texts = [np.array([number.setdefault(w, len(number)) for w in words(t)]) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -183,7 +208,7 @@ def classes(rows, cut=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            if n[i] and n[j] and (whole[i] == whole[j] or near.similarity(lab[off[i] : off[i + 1]], lab[off[j] : off[j + 1]], cut) > 0):
+            if len(texts[i]) and len(texts[j]) and find(i) != find(j) and alike(texts[i], texts[j], cut):
                 parent[find(i)] = find(j)
     group = collections.defaultdict(list)
     for i in range(len(rows)):
@@ -208,14 +233,35 @@ def test_near_documents(spark, edge, nothing, documents):
     assert ids.count(1) == 1 and 2 not in ids and ids.count(9) == 1 and {3, 4, 5} <= set(ids) and want
 
 
-def test_near_similarity_is_ordered():
-    a = np.arange(100, dtype=np.uint64)
-    assert near.similarity(a, a, 0.8) == 1
-    assert near.similarity(a, a[::-1].copy(), 0.8) == 0
-    b = np.concatenate([a[:50], a[55:]])
-    assert near.similarity(a, b, 0.8) == pytest.approx(0.95)
-    moved = np.concatenate([a[90:], a[:90]])
-    assert near.similarity(a, moved, 0.8) == pytest.approx(90 / 110)
+def test_edits_are_exact():
+    rng = np.random.default_rng(3)
+    for _ in range(600):
+        a = rng.integers(0, 5, rng.integers(1, 40))
+        b = a[rng.random(a.size) < 0.9] if rng.random() < 0.6 else rng.integers(0, 5, rng.integers(1, 40))
+        b = np.where(rng.random(b.size) < 0.1, 9, b)
+        most, d = int(rng.integers(0, 30)), distance(a, b)
+        assert near.edits(a.astype(np.uint64), b.astype(np.uint64), most) == min(d, most + 1)
+
+
+def test_near_recall(spark):
+    """Pairs with up to a tenth of the words replaced, deleted or inserted, judged by the plain distance."""
+    rng = np.random.default_rng(7)
+    shapes, rows, want = [(12, 1), (30, 1), (30, 3), (60, 2), (60, 6), (120, 12), (400, 40)], [], collections.Counter()
+    for n, changed in shapes:
+        for _ in range(60):
+            w = [f"w{x}" for x in rng.integers(0, 2000, n)]
+            v = list(w)
+            for j in sorted(rng.choice(n, changed, replace=False).tolist(), reverse=True):
+                kind = rng.integers(0, 3)
+                v[j : j + 1] = [] if kind == 0 else ["new" + v[j]] if kind == 1 else [v[j], "more"]
+            number = {}
+            want[n, changed] += alike(*(np.array([number.setdefault(x, len(number)) for x in t]) for t in (w, v)))
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    got = near.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert ((got.class_id == got.doc_id) | ((got.doc_id % 2 == 1) & (got.class_id == got.doc_id - 1))).all()
+    found = got[got.class_id < got.doc_id].doc_id // 120
+    for i, shape in enumerate(shapes):
+        assert want[shape] >= 59 and (found == i).sum() >= 0.95 * want[shape]
 
 
 def test_language(edge, nothing, documents):
@@ -303,11 +349,50 @@ def test_scoring_base_and_gain(edge, nothing, documents):
         want = order((d, h, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / z) for w in t), 4)) for (d, _), t, h in zip(rows, toks, held, strict=True))
         out = recurrent.language_model(df)
         assert order((*r[:5], round(r[5], 4)) for r in out.collect()) == want
-    got = out.toPandas()
+    got = out.where("held_out").toPandas()
     assert got.score.sum() > got.base_score.sum()
     assert recurrent.language_model(nothing).count() == 0
 
 
+def plain_score(net, vocab, counts, text):
+    """log10 probability of a text, one token after the other."""
+    p, n, k = net.p, recurrent.UNITS, net.k
+    ids = {int(h): i for i, h in enumerate(vocab.head)}
+    h, x, total = np.zeros(n), k + 1, 0.0
+    for token in recurrent.tokens(pa.array([text]))[0].tolist():
+        e = p["emb"][x].astype(float)
+        r, z = np.split(1 / (1 + np.exp(-(e[: 2 * n] + h @ p["u"][:, : 2 * n]))), 2)
+        c = np.tanh(e[2 * n :] + (r * h) @ p["u"][:, 2 * n :])
+        h = (1 - z) * c + z * h
+        t = ids.get(token, k)
+        a = h @ p["wc"] + p["bc"]
+        cls = t // recurrent.CLASS if t < k else net.classes
+        total += a[cls] - np.log(np.exp(a).sum())
+        if t < k:
+            b = (h @ p["wv"][cls] + p["bv"][cls])[: min(recurrent.CLASS, k - cls * recurrent.CLASS)]
+            total += b[t % recurrent.CLASS] - np.log(np.exp(b).sum())
+        else:
+            total += np.log((counts.get(token, 0) + recurrent.SMOOTH) / vocab.rest)
+        x = t
+    return total / np.log(10)
+
+
+def test_scores_are_those_of_the_plain_recurrence(edge, documents):
+    df = documents.select("doc_id", "text").limit(80).union(edge.select("doc_id", "text"))
+    rows = df.withColumn("held_out", language.held_out(10, 0))
+    learn = rows.where("NOT held_out")
+    counts = recurrent.written(recurrent.count_tokens(learn), "counts")
+    vocab = recurrent.vocabulary(counts)
+    flat = recurrent.train(learn, vocab)
+    net = recurrent.Network(vocab, flat)
+    have = {int(np.int64(r["h"]).view(np.uint64)): r["c"] for r in counts.collect()}
+    turn = lambda r: (str(r[0]), r[1])
+    want = sorted(((r["doc_id"], plain_score(net, vocab, have, r["text"] or "")) for r in df.collect()), key=turn)
+    got = sorted(((r["doc_id"], r["score"]) for r in recurrent.score(rows, vocab, flat, counts).collect()), key=turn)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-3, abs=0.02)
+
+
 def test_network_gradient_and_sum():
     v = recurrent.Vocabulary(np.arange(1, 61, dtype=np.uint64), np.arange(60, 0, -1), np.arange(1, 61, dtype=np.uint64), np.arange(60, 0, -1), 3000, 90)
     net = recurrent.Network(v)
@@ -326,7 +411,7 @@ def test_network_gradient_and_sum():
 
     st_, _, kept = net.steps(x, new, h0, True)
     _, g, ds = net.outputs(st_.reshape(-1, recurrent.UNITS), t, True)
-    net.back(x, new, kept, ds.reshape(st_.shape), g)
+    net.inputs(x.ravel(), net.back(new, kept, ds.reshape(st_.shape), g), g)
     for name, at in (("u", (3, 7)), ("u", (2, 40)), ("emb", (int(x[0, 0]), 5)), ("wc", (4, 1)), ("wv", (0, 3, 2))):
         p, e = net.p[name], 1e-2
         old = p[at]
@@ -338,7 +423,9 @@ def test_network_gradient_and_sum():
         assert g[name][at] == pytest.approx((up - down) / (2 * e), rel=0.08, abs=0.02)
 
 
-def test_every_window_teaches():
+@pytest.mark.parametrize("batch", [1, recurrent.BATCH])
+def test_every_window_teaches(monkeypatch, batch):
+    monkeypatch.setattr(recurrent, "BATCH", batch)
     v = recurrent.Vocabulary(np.arange(1, 61, dtype=np.uint64), np.arange(60, 0, -1), np.arange(1, 61, dtype=np.uint64), np.arange(60, 0, -1), 3000, 90)
     steps = 6 * recurrent.WINDOW
     for w in range(6):
@@ -347,7 +434,7 @@ def test_every_window_teaches():
         target = np.full(steps, 3)
         target[w * recurrent.WINDOW + 5] = 50  # stands in one window alone, and is the input of its next step
         learner.learn(target, np.array([0, steps]))
-        assert learner.n == 6
+        assert learner.n == (6 if batch == 1 else 1)
         assert (learner.net.p["emb"][50] != before[50]).any()
 
 
