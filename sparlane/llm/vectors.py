@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import mix
 from .shared import components, mapped, written
@@ -99,7 +100,9 @@ def _prepare(rows: DataFrame) -> DataFrame:
                     names=["rid", "vector", "codes", "keys"],
                 )
 
-    ready = rows.where("label IS NOT NULL AND embedding IS NOT NULL").select("rid", F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
+    whole = isinstance(rows.schema["label"].dataType, T.IntegralType)
+    label = F.col("label").cast("long") if whole else F.xxhash64("label").alias("label")  # others by a 64-bit hash
+    ready = rows.where("label IS NOT NULL AND embedding IS NOT NULL").select("rid", label, F.col("embedding").cast("array<double>"))
     return mapped(ready, run, "rid long, vector binary, codes binary, keys array<long>")
 
 

@@ -87,10 +87,21 @@ def test_pipeline(spark, sf_dir):
 
 
 def test_pipeline_on_edges(spark, edge, sf_dir):
-    for docs in (edge, edge.where("false")):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = shared.written(stage(spark, docs, sf_dir), "edge")
-        assert docs.count() >= 0
+    docs, kept = edge, []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = shared.written(stage(spark, docs, sf_dir), "edge")
+        kept.append([r["doc_id"] for r in docs.select("doc_id").collect()])
+    language, near, repeats, clean, packed = kept
+    assert {3, 4, 5, 8}.isdisjoint(language) and {1, 2, 6, 9, None} <= set(language)  # no letter, null, empty
+    assert near.count(1) == 1 and 2 not in near and near.count(9) == 1 and {6, None} <= set(near)  # copies, repeated rows, one near copy
+    assert sorted(near, key=str) == sorted(repeats, key=str) == sorted(clean, key=str)
+    assert set(packed) == set(clean) and packed.count(1) == 1 and packed.count(6) > 10
+    size = docs.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert size.where("n <> end OR n > 2048").count() == 0
+    none = edge.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        none = shared.written(stage(spark, none, sf_dir), "edge")
+        assert none.count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -99,3 +110,12 @@ def test_queries_run(spark, sf_dir, name):
     key = "vec_id" if name.startswith("op2_") else "doc_id"
     table = "embeddings" if name.startswith("op2_") else "documents"
     assert out.select(key).distinct().count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).distinct().count()
+
+
+def test_labels_of_any_type(spark):
+    """Labels that differ only behind the point, or are text, are different labels."""
+    rows = [(i, [1.0, 0.0, 0.01 * i]) for i in range(4)]
+    for labels, kind in (([1.2, 1.7, 1.2, None], "double"), (["a", "b", "a", None], "string"), ([1, 2, 1, None], "int")):
+        df = spark.createDataFrame([(*r, x) for r, x in zip(rows, labels, strict=True)], f"vec_id long, embedding array<double>, label {kind}")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()}
+        assert got == {0: (1, 0), 1: (0, 1), 2: (1, 0), 3: (0, 3)}
