@@ -9,17 +9,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from .prep import q
 from .ranks import rank_column, value_ranks
 
-#: Distinct value pairs that the pairwise measures take; more is an error, to be met by discretising first.
-MOST_PAIRS = 50_000
-
-
 def pearson_agg(x: str, y: str) -> Column:
     return F.corr(q(x).cast("double"), q(y).cast("double"))
 
@@ -50,23 +49,71 @@ def contingency(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(q(x).isNotNull() & q(y).isNotNull()).groupBy(q(x).alias("x"), q(y).alias("y")).agg(F.count("*").alias("n"))
 
 
-def _few(pairs: DataFrame) -> DataFrame:
-    if pairs.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
-        raise ValueError(f"more than {MOST_PAIRS} distinct value pairs; discretise the columns first")
-    return pairs
+#: Distinct value pairs that one task of `concordance_counts` takes, about.
+CELL_PAIRS = 500_000
+
+
+def concordant_weight(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Sum of n_i * n_j over pairs with x_i < x_j and y_i < y_j.
+
+    y's dense ranks are gone through bit by bit: two ranks compare as their first differing bit, so at each bit the rows of one
+    prefix with a 0 there count, by running sums in the order of x, for those with a 1.
+    """
+    if x.size < 2:
+        return 0.0
+    rx, ry = (np.unique(v, return_inverse=True)[1].ravel().astype(np.int64) for v in (x, y))
+    n, total = n.astype(float), 0.0
+    base = np.argsort(rx, kind="stable")
+    rx, ry, n = rx[base], ry[base], n[base]
+    for bit in range(int(ry.max()).bit_length()):
+        order = np.argsort(ry >> bit + 1, kind="stable")  # by prefix, then by x
+        prefix, gx, one, w = ry[order] >> bit + 1, rx[order], (ry[order] >> bit) & 1, n[order]
+        run = np.cumsum(np.where(one == 0, w, 0.0))
+        before = run - np.where(one == 0, w, 0.0)
+        start = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+        tie = start | np.concatenate([[True], gx[1:] != gx[:-1]])
+        base_of = before[np.maximum.accumulate(np.where(start, np.arange(w.size), 0))]
+        less = before[np.maximum.accumulate(np.where(tie, np.arange(w.size), 0))] - base_of
+        total += float((w * less)[one == 1].sum())
+    return total
 
 
 def concordance_counts(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: concordant, discordant, ties_x, ties_y, ties_xy pairs and n, from all pairs of distinct value pairs (bounded)."""
-    t = _few(contingency(df, x, y))
-    a, b = t.alias("a"), t.alias("b")
-    dx, dy = F.signum(F.col("a.x") - F.col("b.x")), F.signum(F.col("a.y") - F.col("b.y"))
-    w = F.col("a.n") * F.col("b.n")
-    cross = a.join(b, (F.col("a.x") != F.col("b.x")) | (F.col("a.y") != F.col("b.y")))
-    s = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0)) / 2
-    moved = cross.agg(s(dx * dy > 0).alias("concordant"), s(dx * dy < 0).alias("discordant"), s((dx == 0) & (dy != 0)).alias("ties_x"), s((dy == 0) & (dx != 0)).alias("ties_y"))
-    still = t.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("ties_xy"))
-    return moved.crossJoin(still)
+    """One row: concordant, discordant, ties_x (and not y), ties_y (and not x), ties_xy pairs and n.
+
+    Pairs are counted without meeting: value pairs are dealt to cells of x and of y. Two rows in different cells of both
+    compare as their cells, by sums over the table of cells; two in one cell of x are compared in that cell's task; two in one
+    cell of y but not of x in that cell's. A task holds about `CELL_PAIRS` distinct pairs; a cell of one value needs none.
+    """
+    t = contingency(df, x, y).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "n").persist()
+    cells = max(1, -(-t.count() // CELL_PAIRS))
+    spots = [i / cells for i in range(1, cells)]
+    cuts = t.agg(F.percentile_approx("x", F.lit(spots), 10 * cells), F.percentile_approx("y", F.lit(spots), 10 * cells)).first() if spots else ([], [])
+    place = lambda c, cut: sum(((F.col(c) > F.lit(float(e))).cast("int") for e in sorted(set(cut or []))), F.lit(0))
+    t = t.withColumn("cx", place("x", cuts[0])).withColumn("cy", place("y", cuts[1]))
+    grid = t.groupBy("cx", "cy").agg(F.sum("n").alias("n")).toPandas()
+    far = concordant_weight(grid.cx.to_numpy(), grid.cy.to_numpy(), grid.n.to_numpy())
+    sums = lambda *c: t.groupBy(*c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    total = float(grid.n.sum())
+    tx, ty, txy = sums("x"), sums("y"), sums("x", "y")
+
+    def inside(first: str, second: str):
+        def run(key, rows):
+            got = concordant_weight(rows[first].to_numpy(), rows[second].to_numpy(), rows["n"].to_numpy())
+            return pd.DataFrame({"c": [got]})
+
+        return run
+
+    ship(df.sparkSession)
+    same_x = t.select("cx", "x", "y", "n").groupBy("cx").applyInPandas(inside("x", "y"), "c double")
+    by_y = t.groupBy("cy", "cx", "y").agg(F.sum("n").alias("n"))
+    same_y = by_y.groupBy("cy").applyInPandas(inside("cx", "y"), "c double")
+    near = same_x.unionByName(same_y).agg(F.coalesce(F.sum("c"), F.lit(0.0))).first()[0]
+    t.unpersist()
+    concordant = far + near
+    free = total * (total - 1) / 2 - tx - ty + txy
+    row = (concordant, free - concordant, tx - txy, ty - txy, txy, int(total))
+    return df.sparkSession.createDataFrame([row], "concordant double, discordant double, ties_x double, ties_y double, ties_xy double, n long")
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,44 +60,58 @@ def inside(axes: Sequence[str], point: str = "p", box: str = "b", half_open: Seq
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def _axis(points: DataFrame, boxes: DataFrame, axes: Sequence[str]) -> tuple[str | None, float]:
-    """The axis on which boxes are narrowest for the points' spread, and a cell width, from two aggregate rows."""
-    b = boxes.agg(*[F.expr(f"avg(`hi_{c}` - `lo_{c}`)").alias(c) for c in axes], *[F.bool_or(F.col(f"`lo_{c}`").isNull() | F.col(f"`hi_{c}`").isNull()).alias(f"open_{c}") for c in axes]).first()
-    p = points.agg(*[e for c in axes for e in (F.min(q(c)).alias(f"a_{c}"), F.max(q(c)).alias(f"z_{c}"))]).first()
+#: Points of a cell that one task of the join takes, about.
+CELL_ROWS = 200_000
+
+
+def _plan(points: DataFrame, boxes: DataFrame, axes: Sequence[str]) -> tuple[str | None, float, float, float, int]:
+    """The axis on which boxes are narrowest for the points' spread, a cell width, the points' range on it, and their number: one row."""
+    b = boxes.agg(*[F.expr(f"avg(`hi_{c}` - `lo_{c}`)").alias(c) for c in axes], *[F.bool_or(F.col(f"`lo_{c}`").isNull() | F.col(f"`hi_{c}`").isNull()).alias(f"open_{c}") for c in axes])
+    p = points.agg(F.count("*").alias("n"), *[e for c in axes for e in (F.min(q(c)).cast("double").alias(f"a_{c}"), F.max(q(c)).cast("double").alias(f"z_{c}"))])
+    r = b.crossJoin(p).first()
     best, share = None, 1.0
     for c in axes:
-        if b[f"open_{c}"] is not False or p[f"a_{c}"] is None or p[f"a_{c}"] == p[f"z_{c}"]:
+        lo, hi = r[f"a_{c}"], r[f"z_{c}"]
+        if r[f"open_{c}"] is not False or lo is None or lo == hi:
             continue
-        s = max(b[c] or 0.0, 0.0) / (float(p[f"z_{c}"]) - float(p[f"a_{c}"]))
+        s = max(r[c] or 0.0, 0.0) / (hi - lo)
         if s < share:
             best, share = c, s
     if best is None:
-        return None, 0.0
-    spread = float(p[f"z_{best}"]) - float(p[f"a_{best}"])
-    return best, max(share * spread / CELLS_A_BOX * 2, spread / 100_000)
+        return None, 0.0, 0.0, 0.0, r["n"]
+    lo, hi = r[f"a_{best}"], r[f"z_{best}"]
+    return best, max(share * (hi - lo) / CELLS_A_BOX * 2, (hi - lo) / 100_000), lo, hi, r["n"]
 
 
-def box_join(points: DataFrame, boxes: DataFrame, axes: Sequence[str], how: str = "inner", half_open: Sequence[str] = (), salt: int = 1) -> DataFrame:
+def box_join(points: DataFrame, boxes: DataFrame, axes: Sequence[str], how: str = "inner", half_open: Sequence[str] = (), salt: int | None = None) -> DataFrame:
     """Points p joined with boxes b that hold them (`how`: inner, left_semi or left_anti, of the points).
 
     The axis with the narrowest boxes is cut into cells. A box goes to the cells that it covers, clipped to the points' range,
     a point to its own cell; so the join is an equi-join by cell with the full test on top. With boxes that are open on every
-    axis the join has no key and is a nested loop. `salt` deals the points of each cell to that many tasks.
+    axis the join has no key and is a nested loop. The points of a cell are dealt to `salt` tasks, to which its boxes are
+    copied; by default to as many as give each about `CELL_ROWS` points, by a count of each cell where there are more in all.
+    Both sides are read twice, once for the ends, so costly ones should be written first.
     """
-    axis, width = _axis(points, boxes, axes)
+    axis, width, low, high, n = _plan(points, boxes, axes)
     p, b = points.alias("p"), boxes.alias("b")
     test = inside(axes, half_open=half_open)
     if axis is None:
         return p.join(b, test, how)
-    ends = points.agg(F.min(q(axis)).cast("double"), F.max(q(axis)).cast("double")).first()
     cell = lambda c: F.floor(c / F.lit(width)).cast("bigint")
-    lo = cell(F.greatest(F.col(f"`lo_{axis}`"), F.lit(ends[0])))
-    hi = cell(F.least(F.col(f"`hi_{axis}`"), F.lit(ends[1])))
+    spots = points.withColumn("_cell", cell(q(axis).cast("double")))
+    lo = cell(F.greatest(F.col(f"`lo_{axis}`"), F.lit(low)))
+    hi = cell(F.least(F.col(f"`hi_{axis}`"), F.lit(high)))
     keyed = boxes.where(hi >= lo).withColumn("_cell", F.explode(F.sequence(lo, hi)))
-    keyed = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))) if salt > 1 else keyed.withColumn("_salt", F.lit(0))
-    spots = points.withColumn("_cell", cell(q(axis).cast("double"))).withColumn("_salt", F.pmod(F.xxhash64(*map(q, points.columns)), F.lit(salt)).cast("int"))
-    out = spots.alias("p").join(keyed.alias("b"), (F.col("p._cell") == F.col("b._cell")) & (F.col("p._salt") == F.col("b._salt")) & test, how)
-    return out
+    turn = F.xxhash64(F.monotonically_increasing_id())
+    if salt is None and n > CELL_ROWS:
+        # at most n / CELL_ROWS cells are dense, whatever the data: a small table
+        dense = spots.groupBy("_cell").agg(F.count("*").alias("_n")).where(F.col("_n") > CELL_ROWS).select("_cell", F.ceil(F.col("_n") / CELL_ROWS).cast("int").alias("_parts"))
+        spots = spots.join(F.broadcast(dense), "_cell", "left").withColumn("_salt", F.coalesce(F.pmod(turn, F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+        keyed = keyed.join(F.broadcast(dense), "_cell", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    else:
+        keyed = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit((salt or 1) - 1))))
+        spots = spots.withColumn("_salt", F.pmod(turn, F.lit(salt or 1)).cast("int"))
+    return spots.alias("p").join(keyed.alias("b"), (F.col("p._cell") == F.col("b._cell")) & (F.col("p._salt") == F.col("b._salt")) & test, how)
 
 
 def ball_check(data: DataFrame, configs: DataFrame, axes: Sequence[Axis], config_id: str, objective: Column, threshold: float, ints: Sequence[str] = ()) -> DataFrame:
@@ -114,40 +128,82 @@ def ball_check(data: DataFrame, configs: DataFrame, axes: Sequence[Axis], config
     return j.groupBy(F.col("b._config").alias("config")).agg(*[F.sum(f"p._{c}").alias(c) for c in ("inside", "passed", "failed")])
 
 
+#: Points of a front that are compared at once.
+FRONT = 4096
+
+
+def _undominated(v: np.ndarray) -> np.ndarray:
+    """Which rows no other row dominates. Rows go by falling sum, so that a row is dominated by earlier ones only, and in blocks.
+
+    With two objectives a row stays if its second one is greater than all of greater first ones: one pass over the sorted rows.
+    """
+    keep = np.zeros(len(v), bool)
+    if v.shape[1] <= 2:
+        first, second = v[:, 0], v[:, -1]
+        order = np.lexsort((-second, -first))
+        a, b = first[order], second[order]
+        top = np.maximum.accumulate(b)
+        before = np.concatenate([[-np.inf], top[:-1]])
+        start = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
+        group = np.cumsum(start) - 1
+        keep[order] = (b == b[start][group]) & (b > before[start][group]) if v.shape[1] == 2 else a == a[:1]
+        return keep
+    order = np.lexsort((*v.T, -v.sum(1)))
+    front = np.empty((0, v.shape[1]))
+    for lo in range(0, len(order), FRONT):
+        at = order[lo : lo + FRONT]
+        x = v[at]
+        ok = np.ones(len(x), bool)
+        for k in range(0, len(front), FRONT):
+            f = front[k : k + FRONT]
+            for i in range(0, len(x), 256):
+                part = x[i : i + 256, None]
+                ok[i : i + 256] &= ~((f >= part).all(2) & (f > part).any(2)).any(1)
+        x, at = x[ok], at[ok]
+        own = np.ones(len(x), bool)
+        for i in range(0, len(x), 256):
+            part = x[i : i + 256, None]
+            own[i : i + 256] = ~((x >= part).all(2) & (x > part).any(2)).any(1)
+        keep[at[own]] = True
+        front = np.concatenate([front, np.unique(x[own], axis=0)])
+    return keep
+
+
 def _local_skyline(columns: Sequence[str]):
     def run(batches):
-        kept = None
-        for pdf in batches:
-            if kept is not None:
-                pdf = pd.concat([kept, pdf], ignore_index=True)
-            v = pdf[list(columns)].to_numpy(float)
-            order = np.argsort(-v.sum(1), kind="stable")
-            front = np.empty((0, v.shape[1]))
-            stay = []
-            for i in order:
-                if not ((front >= v[i]).all(1) & (front > v[i]).any(1)).any():
-                    stay.append(i)
-                    front = np.vstack([front, v[i]]) if not stay[:-1] or not (front == v[i]).all(1).any() else front
-            kept = pdf.iloc[sorted(stay)]
-        if kept is not None:
-            yield kept
+        held, rows = [], 0
+        for b in batches:
+            held.append(pa.Table.from_batches([b]))
+            rows += b.num_rows
+            if rows >= 4 * FRONT:
+                held, rows = [_front(pa.concat_tables(held), columns)], 0
+        if held:
+            yield from _front(pa.concat_tables(held), columns).to_batches()
 
     return run
 
 
-def skyline(df: DataFrame, objectives: Sequence[str], rounds: int = 2) -> DataFrame:
+def _front(t: pa.Table, columns: Sequence[str]) -> pa.Table:
+    return t.filter(pa.array(_undominated(np.stack([t[c].cast(pa.float64()).to_numpy() for c in columns], 1)))) if t.num_rows else t
+
+
+def skyline(df: DataFrame, objectives: Sequence[str], fan: int = 8) -> DataFrame:
     """Rows that no other row dominates (all objectives at least as great and one greater). Rows with equal objectives stay together.
 
-    Each partition keeps its own skyline first, in a tree of ever fewer partitions; the last step is an anti join of what is left
-    with its distinct objectives. Null objectives must have been dropped.
+    Each partition keeps its own skyline; then the distinct objectives that are left meet in a tree, `fan` partitions in one,
+    and the rows with the objectives of the last front stay. What one task holds is a front and a few blocks of rows.
+    Null objectives must have been dropped.
     """
     ship(df.sparkSession)
-    out = df.mapInPandas(_local_skyline(objectives), df.schema)
-    values = out.select(*map(q, objectives)).distinct()
+    out = df.mapInArrow(_local_skyline(objectives), df.schema)
+    values = out.select(*[q(c).cast("double").alias(c) for c in objectives]).distinct()
+    schema, parts = values.schema, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 1:
+        parts = -(-parts // fan)
+        values = values.repartition(parts).mapInArrow(_local_skyline(objectives), schema)
     a, b = out.alias("a"), values.alias("b")
-    ge = reduce(lambda x, y: x & y, [F.col(f"b.`{c}`") >= F.col(f"a.`{c}`") for c in objectives])
-    gt = reduce(lambda x, y: x | y, [F.col(f"b.`{c}`") > F.col(f"a.`{c}`") for c in objectives])
-    return a.join(b, ge & gt, "left_anti")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.`{c}`").cast("double") == F.col(f"b.`{c}`") for c in objectives])
+    return a.join(b, same, "left_semi")
 
 
 def stable_minima(df: DataFrame, row_id: str, axes: Sequence[Axis], objectives: Sequence[str]) -> DataFrame:
@@ -173,9 +229,9 @@ def frontier(df: DataFrame, row_id: str, axes: Sequence[Axis], knobs: Sequence[s
     of a violator of beta go; the skyline of the minima stays.
     """
     use = df.where(ex.column(alpha)) if alpha else df
-    full = use.withColumns({n: ex.column(e) for n, e in objectives.items()})
+    full = use.withColumns({n: ex.column(e) for n, e in objectives.items()}).persist()  # read several times below
     low = stable_minima(full, row_id, axes, list(objectives)).dropna("any", subset=list(objectives))
-    safe = drop_near_violators(use, [a for a in axes if a.column in knobs], ex.column(beta)) if beta else use
+    safe = drop_near_violators(full.select(*map(q, use.columns)) if not set(objectives) & set(use.columns) else use, [a for a in axes if a.column in knobs], ex.column(beta)) if beta else use
     both = safe.drop(*objectives).join(low, row_id)
     return skyline(both, list(objectives))
 

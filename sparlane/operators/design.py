@@ -38,15 +38,38 @@ def _decoded(spark: SparkSession, coded: list[tuple[float, ...]], levels: Levels
     return spark.createDataFrame(rows, ", ".join(f"`{k}` double" for k in ends))
 
 
-def fractional_factorial(spark: SparkSession, levels: Levels, resolution: int = 3) -> DataFrame:
-    """A two-level fraction: base factors in full, each other factor the product of a different set of resolution - 1 or more base factors."""
-    names = list(levels)
-    k = len(names)
-    for base in range(1, k + 1):
-        words = [w for n in range(resolution - 1, base + 1) for w in itertools.combinations(range(base), n)]
-        if len(words) >= k - base:
+def generators(factors: int, resolution: int, most: int = 16) -> tuple[int, list[tuple[int, ...]]]:
+    """Base factors, and for each other factor the set of base factors whose product it is: the smallest fraction of the resolution.
+
+    The resolution is the length of the shortest word of the whole defining group: every product of generators is tested.
+    """
+    for base in range(1, factors + 1):
+        words = sorted((sum(1 << i for i in w) for n in range(resolution - 1, base + 1) for w in itertools.combinations(range(base), n)), key=lambda w: (w.bit_count(), w))
+        tries = 0
+
+        def extend(chosen: list[int], group: list[int], start: int, base=base, words=words) -> list[int] | None:
+            nonlocal tries
+            if len(chosen) == factors - base:
+                return chosen
+            for i in range(start, len(words)):
+                tries += 1
+                if tries > 200_000:
+                    return None
+                new = [g ^ words[i] ^ 1 << base + len(chosen) for g in group]
+                if all(g.bit_count() >= resolution for g in new) and (out := extend([*chosen, words[i]], group + new, i + 1)) is not None:
+                    return out
+            return None
+
+        if (got := extend([], [0], 0)) is not None:
+            return base, [tuple(i for i in range(base) if w >> i & 1) for w in got]
+        if base >= most:
             break
-    words = sorted(words, key=len, reverse=False)[: k - base]
+    raise ValueError(f"no fraction of {factors} factors with resolution {resolution} was found")
+
+
+def fractional_factorial(spark: SparkSession, levels: Levels, resolution: int = 3) -> DataFrame:
+    """A two-level fraction of at least the given resolution: base factors in full, each other factor a product of them (`generators`)."""
+    base, words = generators(len(levels), resolution)
     coded = []
     for r in itertools.product((-1, 1), repeat=base):
         r = r[::-1]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,11 @@ class Selector:
         return range_name(self.feature, self.lo, self.hi)
 
 
-def selectors(df: DataFrame, features: Sequence[str], bins: int = 5, most: int = 50) -> list[Selector]:
-    """Each level of a factor (the `most` most frequent), and each range between equal-frequency cut points of a number."""
+def selectors(df: DataFrame, features: Sequence[str], bins: int = 5, most: int = 10_000) -> list[Selector]:
+    """Each level of a factor, and each range between equal-frequency cut points of a number.
+
+    A factor with more than `most` levels is an error: its levels are no groups to search among.
+    """
     out: list[Selector] = []
     for f in features:
         if isinstance(df.schema[f].dataType, T.NumericType):
@@ -50,7 +54,9 @@ def selectors(df: DataFrame, features: Sequence[str], bins: int = 5, most: int =
             ends = [None, *inner, None]
             out += [Selector(f, a, b) for a, b in zip(ends, ends[1:], strict=False)]
         else:
-            rows = df.where(q(f).isNotNull()).groupBy(q(f).alias("v")).count().orderBy(F.desc("count"), "v").limit(most).collect()
+            rows = df.where(q(f).isNotNull()).groupBy(q(f).alias("v")).count().orderBy(F.desc("count"), "v").limit(most + 1).collect()
+            if len(rows) > most:
+                raise ValueError(f"{f} has more than {most} levels")
             out += [Selector(f, level=r["v"]) for r in rows]
     return [s for s in out if s.level is not None or s.lo is not None or s.hi is not None]
 
@@ -75,27 +81,47 @@ def indicators(freq: DataFrame) -> DataFrame:
     return freq.withColumns(ql.all_measures(q("tp"), q("fp"), q("fn"), q("tn")))
 
 
-QUALITIES = {
-    "lift": lambda n, s, total, sums: F.try_divide(s / n, sums / total),
-    "wracc": lambda n, s, total, sums: n / total * (s / n - sums / total),
-    "mean_0": lambda n, s, total, sums: s / n - sums / total,
-    "mean_1": lambda n, s, total, sums: n / total * (s / n - sums / total),
-}
+QUALITIES = ("lift", "wracc", "mean_0", "mean_1")
+
 
+def _evaluate(df: DataFrame, groups: list[tuple[Selector, ...]], response: str, measure: str, chunk: int = 150) -> list[tuple[float, tuple[Selector, ...]]]:
+    """Groups with their quality; those with no row or all rows are left out.
 
-def _evaluate(df: DataFrame, groups: list[tuple[Selector, ...]], response: str, measure: str) -> list[tuple[float, tuple[Selector, ...]]]:
-    """All groups in one aggregate of counts and sums; those with no row or all rows are left out."""
+    Groups that differ only in the level of one factor are one aggregate by that factor, however many levels it has; the
+    others are conditional sums, `chunk` groups in one aggregate.
+    """
     y = q(response).cast("double")
-    aggs = [F.count("*").alias("total"), F.sum(y).alias("sums")]
-    for i, g in enumerate(groups):
-        inside = g[0].column()
-        for s in g[1:]:
-            inside = inside & s.column()
-        aggs += [F.count_if(inside).alias(f"n{i}"), F.sum(F.when(inside, y)).alias(f"s{i}")]
-    one = df.where(y.isNotNull()).agg(*aggs)
-    cells = [F.struct(F.lit(i).alias("i"), q(f"n{i}").alias("n"), QUALITIES[measure](q(f"n{i}"), q(f"s{i}"), q("total"), q("sums")).alias("quality")) for i in range(len(groups))]
-    rows = one.select("total", *cells).first()
-    return [(c["quality"], groups[c["i"]]) for c in rows[1:] if 0 < c["n"] < rows["total"] and c["quality"] is not None]
+    use = df.where(y.isNotNull())
+    whole = use.agg(F.count("*").alias("n"), F.sum(y).alias("s")).first()
+    counts: dict[tuple[Selector, ...], tuple] = {}
+    families: dict[tuple, dict] = {}
+    plain = []
+    for g in groups:
+        last = g[-1]
+        if last.level is not None:
+            families.setdefault((g[:-1], last.feature), {})[last.level] = g
+        else:
+            plain.append(g)
+    inside = lambda g: reduce(lambda a, b: a & b, [s.column() for s in g], F.lit(True))
+    for (rest, feature), members in list(families.items()):
+        if len(members) < 30:  # a few levels are cheaper with the others
+            plain += members.values()
+            continue
+        for r in use.where(inside(rest) & q(feature).isNotNull()).groupBy(q(feature).alias("v")).agg(F.count("*").alias("n"), F.sum(y).alias("s")).collect():
+            if r["v"] in members:
+                counts[members[r["v"]]] = (r["n"], r["s"])
+    for lo in range(0, len(plain), chunk):
+        part = plain[lo : lo + chunk]
+        row = use.agg(*[e for i, g in enumerate(part) for e in (F.count_if(inside(g)).alias(f"n{i}"), F.sum(F.when(inside(g), y)).alias(f"s{i}"))]).first()
+        counts |= {g: (row[f"n{i}"], row[f"s{i}"]) for i, g in enumerate(part)}
+    out = []
+    for g, (n, s) in counts.items():
+        if 0 < n < whole["n"]:
+            share, mean, base = n / whole["n"], s / n, whole["s"] / whole["n"]
+            value = {"lift": mean / base if base else None, "wracc": share * (mean - base), "mean_0": mean - base, "mean_1": share * (mean - base)}[measure]
+            if value is not None:
+                out.append((value, g))
+    return out
 
 
 def beam_search(df: DataFrame, features: Sequence[str], response: str, measure: str = "wracc", depth: int = 3, top: int = 15, bins: int = 5, chunk: int = 150) -> list[tuple[float, tuple[Selector, ...]]]:
@@ -115,20 +141,22 @@ def beam_search(df: DataFrame, features: Sequence[str], response: str, measure:
                 if s.feature not in {x.feature for x in g} and key not in seen:
                     seen.add(key)
                     new.append((*g, s))
-        for i in range(0, len(new), chunk):
-            best += _evaluate(df, new[i : i + chunk], response, measure)
+        best += _evaluate(df, new, response, measure, chunk)
         best = sorted(best, key=lambda x: (-x[0], len(x[1]), [s.name() for s in x[1]]))[:top]
         beam = [g for _, g in best]
     return best
 
 
 def ranking_table(df: DataFrame, found: list[tuple[float, tuple[Selector, ...]]], response: str) -> DataFrame:
-    """A row for each group: response, quality, up to three features with ranges, the group's frequencies and measures."""
-    out = None
+    """A row for each group: response, quality, up to three features with ranges, the group's frequencies and measures. One aggregate for all groups."""
+    part = scaled(q(response).cast("double"), *bounds(df, [response])[response])
+    cells = []
     for value, g in found:
-        one = indicators(frequencies(df, g, response)).select(F.lit(response).alias("response"), F.lit(float(value)).alias("quality"), *[e for i in range(3) for e in (F.lit(g[i].feature if i < len(g) else None).cast("string").alias(f"feature_{i + 1}"), F.lit(g[i].name() if i < len(g) else None).cast("string").alias(f"range_{i + 1}"))], "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+        inside = reduce(lambda a, b: a & b, [s.column() for s in g], F.lit(True))
+        names = [e for i in range(3) for e in (F.lit(g[i].feature if i < len(g) else None).cast("string").alias(f"feature_{i + 1}"), F.lit(g[i].name() if i < len(g) else None).cast("string").alias(f"range_{i + 1}"))]
+        cells.append(F.struct(F.lit(response).alias("response"), F.lit(float(value)).alias("quality"), *names, *[c.alias(n) for n, c in soft_counts(inside, part).items()]))
+    one = df.where(q(response).isNotNull()).agg(F.array(*cells).alias("a"))
+    return indicators(one.select(F.explode("a").alias("c")).select("c.*"))
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
