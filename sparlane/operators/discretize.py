@@ -40,9 +40,10 @@ def _by_edges(column: str, inner: list[float], right: bool = False) -> Column:
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
+    from .tables import quantiles
+
     _, _, k = _summary(df, column, bins)
-    got = df.agg(F.percentile(q(column).cast("double"), [i / k for i in range(k + 1)])).first()[0]
-    return sorted(set(got)) if got else []
+    return sorted(set(quantiles(df, column, [i / k for i in range(k + 1)]) or []))
 
 
 def quantile(df: DataFrame, column: str, bins: int = 10) -> Column:

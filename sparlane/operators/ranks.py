@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from .prep import q
 
-CELLS = 200
+#: Distinct values of a cell, about, and most cells.
+CELL_VALUES, CELLS = 500_000, 1000
 
 
-def value_ranks(df: DataFrame, column: str, cells: int = CELLS) -> DataFrame:
-    """(v, n, below, dense) of each distinct non-null value: rows with it, rows under it, and its dense rank from 1."""
+def value_ranks(df: DataFrame, column: str) -> DataFrame:
+    """(v, n, below, dense) of each distinct non-null value: rows with it, rows under it, and its dense rank from 1.
+
+    The number of cells follows the number of distinct values, which is counted first.
+    """
     counts = df.where(q(column).isNotNull()).groupBy(q(column).alias("v")).agg(F.count("*").alias("n"))
-    cuts = counts.agg(F.percentile_approx(F.col("v").cast("double"), [i / cells for i in range(1, cells)], 4 * cells)).first()[0] or []
+    cells = max(1, min(CELLS, -(-counts.count() // CELL_VALUES)))
+    cuts = [] if cells == 1 else counts.agg(F.percentile_approx(F.col("v").cast("double"), [i / cells for i in range(1, cells)], 4 * cells)).first()[0] or []
     edges = sorted(set(cuts))
     cell = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col("v").cast("double"))) if edges else F.lit(0)
     placed = counts.withColumn("cell", cell)
@@ -38,4 +43,4 @@ def rank_column(method: str) -> Column:
 def with_rank(df: DataFrame, column: str, name: str, method: str) -> DataFrame:
     """Adds the rank of each row's value; null for null."""
     r = value_ranks(df, column).select(F.col("v").alias("_v"), rank_column(method).alias(name))
-    return df.join(r, q(column) == F.col("_v"), "left").drop("_v")
+    return df.join(r, q(column) == F.col("_v"), "left").drop("_v")  # a hot value's rows are split by the adaptive join

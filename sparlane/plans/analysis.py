@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import quality as ql
 from ..operators import association as assoc
 from ..operators import discretize as disc
-from ..operators import models, ranks, selection, subgroups
+from ..operators import models, ranks, selection, subgroups, tables
 from .registry import query, table
 
 
@@ -24,8 +24,8 @@ def column_stats(spark, d):
 @query("SELECT count(*) AS n, round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.75), 4) AS q75, count(DISTINCT l_suppkey) AS suppliers FROM lineitem")
 def describe(spark, d):
     """Count, linear quartiles, distinct values."""
-    p = F.percentile("l_extendedprice", [0.25, 0.5, 0.75])
-    return table(spark, d, "lineitem").agg(F.count("*").alias("n"), p.alias("p"), F.countDistinct("l_suppkey").alias("suppliers")).select("n", *[F.round(F.col("p")[i], 4).alias(f"q{k}") for i, k in enumerate((25, 50, 75))], "suppliers")
+    li = table(spark, d, "lineitem")
+    return tables.describe(li, ["l_extendedprice"]).select("n", *[F.round(f"q{k}", 4).alias(f"q{k}") for k in (25, 50, 75)]).crossJoin(li.agg(F.countDistinct("l_suppkey").alias("suppliers")))
 
 
 @query("SELECT round(min(l_extendedprice * (1 - l_discount)), 4) AS lower, round(max(l_extendedprice * (1 - l_discount)), 4) AS upper FROM lineitem")
@@ -65,9 +65,7 @@ def quality_measures(spark, d):
 def auroc(spark, d):
     """Area under the curve by average ranks."""
     e = table(spark, d, "events").select("value", (F.col("event_type") == "purchase").alias("y"))
-    r = ranks.with_rank(e, "value", "r", "average")
-    pos, neg = F.count_if("y"), F.count_if(~F.col("y"))
-    return r.agg(F.round((F.sum(F.when(F.col("y"), F.col("r"))) - pos * (pos + 1) / 2) / (pos * neg), 6).alias("auroc"))
+    return tables.auroc(e, "value", "y").select(F.round("auroc", 6).alias("auroc"))
 
 
 @query("WITH b AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part), x AS (SELECT (p_retailprice - lo) / (hi - lo) AS r, p_size >= 10 AND p_size < 30 AS i FROM part, b) SELECT round(sum(CASE WHEN i THEN r ELSE 0 END), 4) AS tp, round(sum(CASE WHEN NOT i THEN r ELSE 0 END), 4) AS fn, round(sum(CASE WHEN i THEN 1 - r ELSE 0 END), 4) AS fp, round(sum(CASE WHEN NOT i THEN 1 - r ELSE 0 END), 4) AS tn FROM x")
@@ -245,3 +243,33 @@ def response_histogram(spark, d):
     """What a plot of the response shows."""
     h = models.histogram(table(spark, d, "orders"), "o_totalprice", 10)
     return h.select("bin", F.round("lo", 4).alias("lo"), "n")
+
+
+@query("WITH t AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*) AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT sum(n * (n - 1) / 2.0) AS ab, sum(n)::DOUBLE AS n FROM t), a AS (SELECT sum(m * (m - 1) / 2.0) AS a FROM (SELECT sum(n) AS m FROM t GROUP BY x)), b AS (SELECT sum(m * (m - 1) / 2.0) AS b FROM (SELECT sum(n) AS m FROM t GROUP BY y)), f AS (SELECT *, n * (n - 1) / 2 AS total FROM s, a, b) SELECT round((total + 2 * ab - a - b) / total, 6) AS rand, round((ab - a * b / total) / ((a + b) / 2 - a * b / total), 6) AS adjusted FROM f")
+def rand_agreement(spark, d):
+    """Rand index of two labelings, plain and adjusted."""
+    return _round(tables.rand_index(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus"))
+
+
+@query("SELECT o_orderpriority AS level, count(*) AS n, round(max(o_totalprice) - min(o_totalprice), 4) AS spread FROM orders GROUP BY 1")
+def grouped_callback(spark, d):
+    """A function of each group's rows."""
+
+    def spread(key, rows):
+        return rows.groupby("o_orderpriority", as_index=False).agg(n=("o_totalprice", "size"), lo=("o_totalprice", "min"), hi=("o_totalprice", "max")).assign(level=key[0], spread=lambda t: t.hi - t.lo)[["level", "n", "spread"]]
+
+    out = tables.grouped(table(spark, d, "orders").select("o_orderpriority", "o_totalprice"), ["o_orderpriority"], spread, "level string, n long, spread double")
+    return out.withColumn("spread", F.round("spread", 4))
+
+
+@query("SELECT 'l_quantity' AS \"column\", round((min(l_quantity) - avg(l_quantity)) / stddev_pop(l_quantity), 6) AS z_min, round((max(l_quantity) - avg(l_quantity)) / stddev_pop(l_quantity), 6) AS z_max FROM lineitem")
+def end_scores(spark, d):
+    """Z-scores of the least and greatest values."""
+    return _round(tables.z_scores(table(spark, d, "lineitem"), ["l_quantity"]), "column")
+
+
+@query("SELECT c_custkey, CAST(c_acctbal AS BIGINT) AS whole, TRY_CAST(c_name AS DOUBLE) AS number, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 END AS place FROM (SELECT c_custkey, trunc(c_acctbal) AS c_acctbal, c_name, c_mktsegment FROM customer)")
+def casts(spark, d):
+    """Casts to numbers and ordered levels."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("whole"), F.col("c_name").alias("number"), F.col("c_mktsegment").alias("place"))
+    return tables.cast_to(c, {"whole": "int", "number": "float", "place": ["BUILDING", "MACHINERY"]})

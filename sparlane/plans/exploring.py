@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
-from ..operators import boxes, design, explore, models, stable
+from ..operators import boxes, design, explore, models, stable, tables
 from ..sources import spec as sp
 from .registry import query, table
 
@@ -60,9 +60,8 @@ def ball_check(spark, d):
 def safe_range(spark, d):
     """Intersection of ranges."""
     li = table(spark, d, "lineitem")
-    a = li.where("l_returnflag = 'R'").agg(F.min("l_quantity").alias("lo1"), F.max("l_quantity").alias("hi1"))
-    b = li.where("l_linestatus = 'O'").agg(F.min("l_quantity").alias("lo2"), F.max("l_quantity").alias("hi2"))
-    return a.crossJoin(b).select(F.greatest("lo1", "lo2").alias("lo"), F.least("hi1", "hi2").alias("hi"))
+    parts = [li.where(c).agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi")) for c in ("l_returnflag = 'R'", "l_linestatus = 'O'")]
+    return tables.overlap(parts[0].unionByName(parts[1]))
 
 
 LEVELS = {"a": [5, 7], "b": [-1, 1], "c": [0, 1]}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
-from ..operators import prep, windows
+from ..operators import prep, tables, windows
 from ..sources import files
 from ..sources import spec as sp
 from .registry import query, table
@@ -101,9 +101,7 @@ def logic_expressions(spark, d):
 def filter_expression(spark, d):
     """A condition and lower limits."""
     df = table(spark, d, "lineitem").where(ex.column("(l_quantity > 30 and l_discount < 0.05) and not l_tax >= 0.06"))
-    for c, t in {"l_extendedprice": 20000}.items():
-        df = df.where(F.col(c) >= t)
-    return df.select("l_orderkey", "l_linenumber")
+    return tables.at_least(df, {"l_extendedprice": 20000}).select("l_orderkey", "l_linenumber")
 
 
 @query(f"SELECT c_custkey, {_MD5.format('c_custkey')} < 0.7 AS train FROM customer")
