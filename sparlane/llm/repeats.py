@@ -2,14 +2,13 @@
 
 Two places that share a string of `length` bytes share its minimizer: the `GRAM`-byte string in it with the least hash.
 Such places (anchors) are dealt to buckets by that hash, so equal strings meet. Anchors with equal bytes on both sides as
-far as a string can reach need no more than their hashes; of the others the bytes are fetched, and the suffixes from the
+far as a string can reach need no more than their hashes (64 bits of the string around, 40 bits beside the bucket of the anchor); of the others the bytes are fetched, and the suffixes from the
 anchor rightwards and leftwards are ordered by deep-shallow sorting. Neighbours' common prefixes then tell which strings
 through the anchor are equal, and the least document of each.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 
@@ -468,11 +467,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: bool
         rows = rows.withColumn("tag", F.when(F.col("several"), F.col("tag")).otherwise(F.col("tag").bitwiseAND(F.lit(0xFFFF)))).drop("several")
     grouped = rows.withColumn("grp", F.pmod(F.col("doc").bitwiseXOR(F.col("tag")), F.lit(groups)).cast("int"))
     met = written(_meet(_find(rows, buckets, groups, length, gram), buckets, groups), "met")
-    gc.collect()
-    docs.sparkSession._jvm.System.gc()  # shuffle files of finished steps go when their handles do
     found = written(_sort(_fetch(grouped, met, buckets, groups, length, gram), buckets, groups, length, gram), "covered")
-    gc.collect()
-    docs.sparkSession._jvm.System.gc()
 
     def run(batches):
         for part, table in _met(batches):
