@@ -24,8 +24,8 @@ from .shared import mapped, tree_total, written
 HEAD, UNITS, CLASS, COMMON = 2048, 16, 45, 1 << 19
 #: Texts side by side in training and in scoring, steps of a window, averaging rounds, step size.
 LANES, WIDE, WINDOW, ROUNDS, RATE = 192, 768, 24, 2, 0.03
-#: Tokens of a step at least, and tokens that a task takes at a time.
-BATCH, PART = 3_000, 800_000
+#: Tokens of a step at least, and tokens that a task scores and learns at a time: long texts then share their windows with more others.
+BATCH, PART, TEACH = 3_000, 800_000, 1_600_000
 END = np.uint64(0x656E64)
 SMOOTH = 0.1
 
@@ -344,14 +344,14 @@ class Learner:
         self.net.flat -= rate * (self.m / (1 - 0.9**self.n)) / (np.sqrt(self.v / (1 - 0.99**self.n)) + 1e-6)
 
 
-def _parts(batches, prepare):
-    """Lists of what `prepare` makes of (batch, token hashes, offsets), for about PART tokens; a longer text comes alone."""
+def _parts(batches, prepare, most: int = PART):
+    """Lists of what `prepare` makes of (batch, token hashes, offsets), for about `most` tokens; a longer text comes alone."""
     held, size = [], 0
     for b in slices(batches, "text"):
         h, off = tokens(b.column(b.schema.get_field_index("text")))
         held.append(prepare(b, h, off))
         size += h.size
-        if size >= PART:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:
@@ -383,7 +383,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
             table = Table(12)
             table.add(vocab.head, np.arange(vocab.head.size, dtype=np.int32))
             learner = Learner(net, rate)
-            for held in _parts(batches, lambda b, h, off: (_targets(table, h, net.k), off)):
+            for held in _parts(batches, lambda b, h, off: (_targets(table, h, net.k), off), TEACH):
                 learner.learn(*_joined(held))
             if learner.seen:
                 blob = np.append(net.flat.astype(np.float64) * learner.seen, learner.seen)
