@@ -42,3 +42,33 @@ cut AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM run GROUP
 SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(x), b)) AS kept_sha256
 FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
 """
+
+# crc32 by its bit steps: a table of the 256 bytes, then a fold over the bytes of each distinct word
+RESAMPLING = f"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+ds AS (SELECT r, unnest(w) AS w FROM d),
+bs AS (SELECT unnest({_WORDS.format("coalesce(text, '')")}) AS w FROM benchmark),
+word AS (SELECT DISTINCT w FROM (SELECT w FROM ds UNION ALL SELECT w FROM bs)),
+bytes AS (SELECT w, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT) AS b FROM word),
+bucket AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)])), 4294967295::BIGINT) % 10000 AS k FROM bytes, crc),
+n AS (SELECT k, sum(s) AS s, sum(t) AS t FROM (SELECT w, 1 AS s, 0 AS t FROM ds UNION ALL SELECT w, 0, 1 FROM bs) JOIN bucket USING (w) GROUP BY k),
+total AS (SELECT coalesce(sum(s), 0) AS ss, coalesce(sum(t), 0) AS tt FROM n),
+gain AS (SELECT k, floor(1000 * ln((t::DOUBLE + 1) * (ss::DOUBLE + 10000) / ((s::DOUBLE + 1) * (tt::DOUBLE + 10000))))::BIGINT AS g FROM n, total),
+mean AS (SELECT r, sum(g) AS g, count(*) AS c FROM ds JOIN bucket USING (w) JOIN gain USING (k) GROUP BY r),
+scored AS (SELECT r, doc_id, len(w) AS n, coalesce(floor(g::DOUBLE / c), 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN mean USING (r)),
+s AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, 10 * count(*) OVER () // 100 AS most FROM s WHERE n >= 20)
+SELECT doc_id, n::BIGINT AS n_features, weight, score, CASE WHEN rank <= most THEN rank END AS rank FROM s LEFT JOIN ranked USING (r)
+"""
+
+_DRAW = "('0x' || substr(h, {0}, 8))::BIGINT"
+FILL_IN_MIDDLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT *, least({_DRAW.format(1)} % (n + 1), {_DRAW.format(9)} % (n + 1)) AS lo, greatest({_DRAW.format(1)} % (n + 1), {_DRAW.format(9)} % (n + 1)) AS hi,
+  CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR {_DRAW.format(17)} % 100 >= 90 THEN 'plain' WHEN {_DRAW.format(25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substring(x, 1, lo) AS a, substring(x, lo + 1, hi - lo) AS m, substring(x, hi + 1) AS z FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN lo END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256
+FROM p
+"""

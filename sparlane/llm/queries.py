@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .counts import token_counts
 from .decontaminate import report
+from .importance import resampled
 from .language import identify
+from .middle import digest as middle_digest
 from .near import near_documents
 from .packing import pack_documents
 from .quality import quality
@@ -63,11 +65,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_recurrent_scoring, op2_cross_polytope, op3_suffix_array_decontamination, op4_deep_shallow_dedup, op5_token_output, op6_factorisation_machine, op7_order_minhash, op8_sum_of_squares_packing, op9_token_counts, op10_language_id)
+    f.__name__: f for f in (op1_recurrent_scoring, op2_cross_polytope, op3_suffix_array_decontamination, op4_deep_shallow_dedup, op5_token_output, op6_factorisation_machine, op7_order_minhash, op8_sum_of_squares_packing, op9_token_counts, op10_language_id, op11_importance_resampling, op13_fill_in_middle)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_cross_polytope": oracle.NEAR_VECTORS,
     "op3_suffix_array_decontamination": oracle.DECONTAMINATION,
     "op4_deep_shallow_dedup": oracle.REPEATS,
+    "op11_importance_resampling": oracle.RESAMPLING,
+    "op13_fill_in_middle": oracle.FILL_IN_MIDDLE,
 }
