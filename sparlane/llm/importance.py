@@ -18,13 +18,19 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(low, _NO_WORD), lambda w: w != "")
 
 
+def _runs(words: Column, n: int) -> Column:
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(n))))
+
+
 def _grams(words: Column, longest: int) -> Column:
     """All runs of 1 to `longest` words, joined by one space."""
-    runs = [words]
-    for n in range(2, longest + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*runs)
+    return F.concat(words, *(_runs(words, n) for n in range(2, longest + 1)))
+
+
+def _with_words(df: DataFrame, *keep: str | Column) -> DataFrame:
+    """`keep` and the words of text. They pass through a generator, so that the expressions on them do not each split the text again."""
+    return df.select(*keep, F.explode(F.array(_words(F.col("text")))).alias("words"))
 
 
 def _bucket(gram: Column, buckets: int) -> Column:
@@ -37,7 +43,7 @@ def bucket_gains(docs: DataFrame, target: DataFrame, longest: int = 1, buckets:
     Both counts are smoothed by one; counting is one aggregate with a partial sum in each task, so a frequent word is no hot key.
     """
     spark = docs.sparkSession
-    features = lambda df: df.select(F.explode(_grams(_words(F.col("text")), longest)).alias("gram"))
+    features = lambda df: _with_words(df).select(F.explode(_grams(F.col("words"), longest)).alias("gram"))
     both = features(docs).select("gram", F.lit(1).alias("s"), F.lit(0).alias("t")).union(features(target).select("gram", F.lit(0), F.lit(1)))
     counts = written(both.groupBy(_bucket(F.col("gram"), buckets).alias("bucket")).agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "buckets")
     total = counts.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
@@ -52,7 +58,7 @@ def weights(docs: DataFrame, gains: DataFrame, longest: int = 1, buckets: int =
     `gains` is broadcast: it has one row for each bucket. Rows are summed by doc_id and a hash of the text; equal rows come out as often as they
     went in, so that no row number is needed.
     """
-    words = docs.select("doc_id", F.xxhash64("text").alias("key"), _words(F.col("text")).alias("words"))
+    words = _with_words(docs, "doc_id", F.xxhash64("text").alias("key"))
     rows = words.select("doc_id", "key", F.size("words").alias("n_words"), F.posexplode_outer(_grams(F.col("words"), longest)).alias("place", "gram"))
     known = rows.withColumn("bucket", _bucket(F.col("gram"), buckets)).join(F.broadcast(gains), "bucket", "left")
     first = F.coalesce(F.col("place"), F.lit(0)) == 0

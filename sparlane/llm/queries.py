@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .counts import token_counts
 from .decontaminate import report
+from .extract import main_text
 from .importance import resampled
 from .language import identify
 from .middle import digest as middle_digest
@@ -69,12 +70,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_host_suffix_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle_digest(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_recurrent_scoring, op2_cross_polytope, op3_suffix_array_decontamination, op4_deep_shallow_dedup, op5_token_output, op6_factorisation_machine, op7_order_minhash, op8_sum_of_squares_packing, op9_token_counts, op10_language_id, op11_importance_resampling, op13_fill_in_middle)
+    f.__name__: f for f in (op1_recurrent_scoring, op2_cross_polytope, op3_suffix_array_decontamination, op4_deep_shallow_dedup, op5_token_output, op6_factorisation_machine, op7_order_minhash, op8_sum_of_squares_packing, op9_token_counts, op10_language_id, op11_importance_resampling, op12_host_suffix_extraction, op13_fill_in_middle)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_cross_polytope": oracle.NEAR_VECTORS,
