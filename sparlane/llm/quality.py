@@ -151,9 +151,19 @@ def fit(rows: list, label: np.ndarray, steps: int = 1200, batch: int = 128, rate
     return m
 
 
+def _inputs(docs: DataFrame, *keep: str) -> DataFrame:
+    """The `keep` columns, text and n_chars; a table without n_chars has nulls there."""
+    size = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    return docs.select(*keep, F.col("text").cast("string").alias("text"), size.alias("n_chars"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """From labelled rows of (doc_id, text, n_chars), at most about `sample` of them. Null labels and ids are left out."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    """From the texts of at most about `sample` labelled ids (in expectation, chosen by a hash), one text of each.
+
+    Null labels and ids are left out. Of an id with several labels the least counts, of one with several texts that of the least hash: a
+    repeated id brings one row, and neither the broadcast ids nor what reaches the driver grows with its rows.
+    """
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
@@ -164,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             cut = lambda a, t: pa.array([a[i:j].astype(t).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("quality")), cut(idx, np.uint16), cut(x, np.float32), pa.array([s.tobytes() for s in stats], pa.binary())], names=["doc_id", "quality", "idx", "x", "stats"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(known), "doc_id")
+    met = _inputs(docs, "doc_id").join(F.broadcast(known), "doc_id")
+    rows = met.groupBy("doc_id").agg(F.min_by(F.struct("text", "n_chars", "quality"), F.struct(F.xxhash64("text"), "n_chars")).alias("r")).select("doc_id", "r.*")
     got = mapped(rows, run, "doc_id long, quality int, idx binary, x binary, stats binary").toArrow().to_pydict()
     order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["stats"][i], got["quality"][i]))
     return fit([(np.frombuffer(got["idx"][i], np.uint16).astype(np.int64), np.frombuffer(got["x"][i], np.float32), np.frombuffer(got["stats"][i], np.float32)) for i in order], np.array([float(got["quality"][i] > 0) for i in order]))
@@ -182,12 +193,18 @@ def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)
             p = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
+    rows = _inputs(docs, *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     return mapped(rows, run, f"{schema}, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of all `docs`; labels are read outside the held-out fifth only."""
+    """doc_id, held_out, score, predicted of all `docs`; labels are read outside the held-out fifth only.
+
+    A null text is empty, and empty texts are scored by their statistics; a null n_chars (or none at all) is the text's size in bytes. A null doc_id has no label
+    and is held out as the empty text is. Equal rows have equal scores; rows of one doc_id are scored each, and trained on as one (see
+    `train`). Texts of any length are read whole, a long one alone. Without a usable label every score is 0.5; without rows there are none.
+    Further columns are not read.
+    """
     machine = train(docs, labels.where(~held_out(5, 0)))
     return score(docs.withColumn("held_out", held_out(5, 0)), machine, ("doc_id", "held_out"))
