@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from .blocks import WORD_BYTES, mix, ragged, slices, text_bytes, words
 from .shared import components, discard, mapped, written
 
-#: Words of a k-mer, sketches, k-mers of a sketch, bins of the word histogram, rows of a bucket compared at once.
-K, SKETCHES, TAKEN, BINS, BLOCK = 5, 32, 2, 64, 4096
-#: A changed word touches a large share of the five-word k-mers of a short text: texts under SHORT[1] words are sketched by
-#: two-word k-mers, texts of SHORT[0] words or more by five-word ones. SHORT[0] / SHORT[1] is `cut` or less, so no pair is torn.
-SHORT, SHORT_K, SHORT_SKETCHES = (64, 80), 2, 16
+#: K-mers of a sketch, bins of the word histogram, rows of a bucket compared at once.
+TAKEN, BINS, BLOCK = 2, 64, 4096
+#: Texts of `from` words or more and under `below` have so many sketches of k-mers of so many words: (from, below, words, sketches). Five words in a row
+#: tell long texts apart, but at the limit, where a fifth of the words differ, most of them are touched: three-word k-mers find those
+#: pairs, and two-word ones the short texts. SHORT[0] / SHORT[1] is `cut` or less, so no pair is torn.
+SHORT = (64, 80)
+LAYOUT = ((SHORT[0], 1 << 62, 5, 24), (SHORT[0], 1 << 62, 3, 24), (1, SHORT[1], 2, 24))
+WIDTH = sum(x[3] for x in LAYOUT)
 #: Rows of a bucket from which on the last round tests pairs inside the task, and up to which all its rows meet in one block.
 LARGE, SMALL = 48, 256
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -33,7 +36,7 @@ def labelled(key: np.ndarray, off: np.ndarray) -> np.ndarray:
     return mix(key + occ * _COEF[1], 4)
 
 
-def kmers(h: np.ndarray, woff: np.ndarray, size: int = K) -> tuple[np.ndarray, np.ndarray]:
+def kmers(h: np.ndarray, woff: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Occurrence-labelled hashes of the `size` words in a row of each text, in text order, and their offsets; a shorter text is one k-mer."""
     n = np.diff(woff)
     end = np.repeat(woff[1:], n)
@@ -91,16 +94,17 @@ def sketch(lab: np.ndarray, koff: np.ndarray, sketches: int, seed: int = 0) -> n
     return out
 
 
-def buckets(h: np.ndarray, woff: np.ndarray) -> list[np.ndarray]:
-    """The keys of the buckets of each text."""
+def buckets(h: np.ndarray, woff: np.ndarray) -> np.ndarray:
+    """texts x WIDTH keys of the buckets of each text, each sketch in its own column; 0: none."""
     n = np.diff(woff)
-    out = [np.zeros(0, np.uint64)] * n.size
-    for use, size, sketches, seed in ((n >= SHORT[0], K, SKETCHES, 0), ((n > 0) & (n < SHORT[1]), SHORT_K, SHORT_SKETCHES, 1000)):
-        at = np.flatnonzero(use)
+    out = np.zeros((n.size, WIDTH), np.uint64)
+    column = 0
+    for low, below, size, sketches in LAYOUT:
+        at = np.flatnonzero((n >= low) & (n < below))
         if at.size:
             off = np.concatenate([[0], np.cumsum(n[at])])
-            for i, row in zip(at.tolist(), sketch(*kmers(h[ragged(woff[at], n[at])], off, size), sketches, seed), strict=True):
-                out[i] = np.concatenate([out[i], row])
+            out[at, column : column + sketches] = sketch(*kmers(h[ragged(woff[at], n[at])], off, size), sketches, column)
+        column += sketches
     return out
 
 
@@ -171,9 +175,10 @@ def _sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches, "text"):
             _, _, h, woff = words(*text_bytes(b.column(2)), WORD_BYTES)
-            keys = [x.view(np.int64) for x in buckets(h, woff)]
+            keys = buckets(h, woff).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(keys.shape[0] + 1, dtype=np.int32) * WIDTH), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(np.diff(woff)), pa.array(text_key(h, woff).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array([x.tobytes() for x in histogram(h, woff)], pa.binary())],
+                [b.column(0), b.column(1), pa.array(np.diff(woff)), pa.array(text_key(h, woff).view(np.int64)), lists, pa.array([x.tobytes() for x in histogram(h, woff)], pa.binary())],
                 names=["doc_id", "row_key", "n_words", "k", "buckets", "sig"],
             )
 
@@ -181,17 +186,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _keys(column) -> np.ndarray:
-    """Rows of the keys of `buckets`, each sketch in its own column; 0: none."""
-    lists = column.combine_chunks()
-    size = lists.value_lengths().to_numpy()
-    first = np.cumsum(size) - size
-    flat = lists.flatten().to_numpy()
-    out = np.zeros((size.size, SKETCHES + SHORT_SKETCHES), np.int64)
-    for use, at, n in ((size >= SKETCHES, 0, SKETCHES), (size != SKETCHES, SKETCHES, SHORT_SKETCHES)):
-        rows = np.flatnonzero(use & (size > 0))
-        skip = np.where(size[rows] > SHORT_SKETCHES, at, 0)
-        out[rows, at : at + n] = flat[(first[rows] + skip)[:, None] + np.arange(n)]
-    return out
+    """The rows of `buckets` again."""
+    return column.combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
 
 
 def _histograms(column) -> np.ndarray:
@@ -399,7 +395,7 @@ def near_documents(docs: DataFrame, cut: float = 0.8) -> DataFrame:
     done = written(_sketches(rows), "sketches")
     reps = done.where("n_words > 0").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("rep"), F.first("n_words").alias("n"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
     reps = written(reps, "texts")
-    entries = reps.select("k", F.explode("buckets").alias("key"))
+    entries = reps.select("k", F.explode("buckets").alias("key")).where("key <> 0")
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(entries.join(shared.select("key"), "key"), "members")
     own = written(reps.join(members.select("k").distinct(), "k").select("k", "n", "sig", "buckets", "rep.doc_id", "rep.row_key"), "candidates")

@@ -264,6 +264,23 @@ def test_near_recall(spark):
         assert want[shape] >= 59 and (found == i).sum() >= 0.95 * want[shape]
 
 
+def test_near_recall_at_the_limit(spark):
+    """Pairs with a fifth of the words replaced: all are links, of 12 to 1,000 words."""
+    rng = np.random.default_rng(17)
+    shapes, rows = [(12, 2), (20, 4), (40, 8), (63, 12), (64, 12), (80, 16), (100, 20), (150, 30), (300, 60), (1000, 200)], []
+    for n, changed in shapes:
+        for _ in range(200):
+            w = [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+            v = list(w)
+            for j in rng.choice(n, changed, replace=False).tolist():
+                v[j] = "new" + v[j]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    got = near.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert ((got.class_id == got.doc_id) | ((got.doc_id % 2 == 1) & (got.class_id == got.doc_id - 1))).all()
+    found = np.bincount(got[got.class_id < got.doc_id].doc_id // 400, minlength=len(shapes))
+    assert (found >= 190).all(), dict(zip(shapes, found.tolist(), strict=True))
+
+
 def test_language(edge, nothing, documents):
     out = language.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").toPandas()
     assert (out[out.held_out].lang == out[out.held_out].lang_pred).mean() > 0.95
@@ -462,3 +479,49 @@ def test_near_documents_in_a_large_group(spark):
         rows.append((i, " ".join(w)))
     got = near.near_documents(spark.createDataFrame(rows, "doc_id long, text string"))
     assert order(map(tuple, got.select("doc_id", "class_id").collect())) == classes(rows)
+
+
+def plain_quality(m, text, n_chars):
+    """The score by loops: word counts, statistics one by one, and all pairs of features."""
+    raw = (text or "").encode()
+    found = re.findall(rb"[0-9a-z\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in raw))
+    count = {}
+    for w in found:
+        b = int(hash_runs(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) & ((1 << quality.WORD_BITS) - 1)
+        count[b] = count.get(b, 0) + 1
+    norm = max(sum(count.values()) ** 0.5, 1e-9)
+    x = [(b, c**0.5 / norm) for b, c in count.items()]
+    lines = re.findall(rb"[^\n]*\n|[^\n]+", raw)
+    kind = lambda values: sum(c in values for c in raw) / max(len(raw), 1)
+    stats = [kind(set(v)) for v in quality._SETS.values()]
+    stats += [max(len(raw), 1) / max(len(found), 1) / 20, len(set(found)) / max(len(found), 1), 1 - len(set(lines)) / max(len(lines), 1)]
+    stats += [math.log1p(len(raw) / max(len(lines), 1)) / 8, math.log1p(len(found)) / 12, math.log1p(len(raw)) / 14, math.log1p(len(raw) if n_chars is None else max(n_chars, 0)) / 14]
+    for i, v in enumerate(np.float32(stats)):
+        base = (1 << quality.WORD_BITS) + i * (quality.BINS + 2)
+        x += [(base + sum(bool(v > e) for e in m.edges[i]), 1.0), (base + quality.BINS, float(v)), (base + quality.BINS + 1, float(v) ** 2)]
+    z = m.bias + sum(float(m.weight[i]) * a for i, a in x)
+    z += sum(float(m.factor[i] @ m.factor[j]) * a * b for k, (i, a) in enumerate(x) for j, b in x[:k])
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_quality_equals_the_plain_version(spark, edge, documents, sf_dir):
+    machine = quality.train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    short = documents.where("length(text) < 900").select("doc_id", "text", "n_chars").union(edge.where("text IS NULL OR length(text) < 900").select("doc_id", "text", "n_chars"))
+    got = quality.score(short.withColumns({"t": F.col("text"), "m": F.col("n_chars")}), machine, ("t", "m")).collect()
+    assert len(got) > 20
+    for r in got:
+        assert r.score == pytest.approx(plain_quality(machine, r.t, r.m), abs=2e-4)
+
+
+def test_quality_learns_from_a_bounded_number_of_rows(spark, documents, sf_dir, monkeypatch):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    hot = labels.first().doc_id
+    many = documents.where(F.col("doc_id") == hot).crossJoin(spark.range(3000)).withColumn("text", F.concat("text", F.col("id").cast("string"))).drop("id")
+    again = labels.where(F.col("doc_id") == hot).crossJoin(spark.range(3000)).drop("id")
+    sizes = []
+    monkeypatch.setattr(quality, "fit", lambda rows, label, **k: sizes.append((len(rows), label.size)))
+    for sample in (50, 1 << 20):
+        quality.train(documents.unionByName(many), labels.unionByName(again), sample)
+    ids = labels.select("doc_id").distinct().count()
+    assert 20 <= sizes[0][0] <= 90 and sizes[1] == (ids, ids)
+    quality.train(documents.drop("n_chars"), labels)
