@@ -5,9 +5,10 @@ its cells cover the domain and do not overlap. A configuration (a value for each
 outputs if the condition holds in all cells that its stability box meets, whatever the inputs are in their ranges.
 
 Moving a knob changes the cells that are met only where an end of the stability box passes an edge of a cell. So between
-two such places all configurations meet the same cells, and one of each interval, its upper end, stands for all: the search over
-`critical_points` is exact, without a grid or a solver. Constraint texts on top of ranges and grids are checked at these points
-only: what is found is right, but where nothing is found with such a text the status is UNKNOWN, not FAIL.
+two such places all configurations meet the same cells, and one of each interval, its upper end, stands for all: a search over
+`knob_values` is exact, without a grid or a solver. Their cross product is not formed: `search` bounds and cuts boxes of them. Constraint
+texts on top of ranges and grids are checked at these points only: what is found is right, but where nothing is found with such a text the
+status is UNKNOWN, not FAIL.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from collections.abc import Mapping, Sequence
 from fractions import Fraction
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
 from ..sources import spec as sp
+from . import search
 from .explore import meets, stable_values, theta_boxes
 from .models import Fitted, forest_boxes, leaf_boxes
 from .prep import q
@@ -85,31 +88,93 @@ def thresholds(v: sp.Variable, edges: Sequence[float]) -> list[float]:
     return sorted({_last(lambda p, e=e, s=s: p + s * size(p) <= e, at(e, s)) for e in edges for s in (1, -1)})
 
 
-def critical_points(spark: SparkSession, spec: sp.Spec, cells: DataFrame) -> DataFrame:
-    """Configurations of which one stands for any other; a knob with a grid takes its grid.
+def knob_values(spec: sp.Spec, cells: DataFrame) -> list[list[float]]:
+    """For each knob the sorted values of which one stands for any other; a knob with a grid has its grid.
 
     The edges of the cells are collected: as many as the model has, whatever the data.
     """
-    frames = []
+    cut = [v.label for v in spec.knobs if not v.grid and f"lo_{v.label}" in cells.columns]
+    every = F.array_distinct(F.flatten(F.collect_list(F.array(F.lit(0.0)))))
+    ends = {k: F.sort_array(F.array_union(F.collect_set(q(f"lo_{k}")), F.collect_set(q(f"hi_{k}")))).alias(k) for k in cut}
+    row = cells.agg(every.alias("_"), *ends.values()).first() if cut else {}
+    out = []
     for v in spec.knobs:
         lo, hi = v.range or (None, None)
         inside = lambda x, lo=lo, hi=hi: (lo is None or x >= lo) and (hi is None or x <= hi)
         if v.grid:
             values = {float(g) for g in v.grid if inside(g)}
-        elif f"lo_{v.label}" not in cells.columns:
+        elif v.label not in cut:
             values = {float(x) for x in (hi, lo, 0) if x is not None} if v.range else {0.0}
         else:
-            edges = [r[0] for r in cells.select(F.explode(F.array(q(f"lo_{v.label}"), q(f"hi_{v.label}"))).alias("e")).where("e > double('-inf') AND e < double('inf')").distinct().collect()]
-            cuts = thresholds(v, edges)
+            cuts = thresholds(v, [e for e in row[v.label] or [] if math.isfinite(e)])
             top = float(hi) if hi is not None else (max([*cuts, *([float(lo)] if lo is not None else [])], default=0.0)) + 1.0
-            values = {c for c in (math.floor(c) if v.type == "int" else c for c in [*cuts, top]) if inside(c) and c <= top}
+            values = {float(c) for c in (math.floor(c) if v.type == "int" else c for c in [*cuts, top]) if inside(c) and c <= top}
             if lo is not None:
-                values.add(math.ceil(lo) if v.type == "int" else float(lo))
+                values.add(float(math.ceil(lo) if v.type == "int" else lo))
+        out.append(sorted(values))
+    return out
+
+
+def critical_points(spark: SparkSession, spec: sp.Spec, cells: DataFrame) -> DataFrame:
+    """All configurations of `knob_values` as a table: their cross product, for few knobs."""
+    frames = []
+    for v, values in zip(spec.knobs, knob_values(spec, cells), strict=True):
         kind = "bigint" if v.type == "int" else "double"
-        frames.append(spark.createDataFrame([(int(x) if v.type == "int" else float(x),) for x in sorted(values)], f"`{v.label}` {kind}"))
+        frames.append(spark.createDataFrame([(int(x) if v.type == "int" else float(x),) for x in values], f"`{v.label}` {kind}"))
     return reduce(lambda a, b: a.crossJoin(b), frames).where(ex.column(sp.eta(spec)))
 
 
+def space_of(spark: SparkSession, spec: sp.Spec, cells: DataFrame, value: Column) -> tuple[search.Space, list, list, bool]:
+    """The space of a search for the least `value` of the cells that a stability box meets; its boxes to start with; the configurations with
+    their center in each cell; and whether these cells leave no configuration out.
+
+    A cell whose value is null does not count. The cells come to the driver and to all workers: they are a model's, `search.CELLS` at most.
+    """
+    knobs = [v.label for v in spec.knobs]
+    points = knob_values(spec, cells)
+    n = max(map(len, points))
+    table = spark.createDataFrame([tuple(float(p[min(i, len(p) - 1)]) if p else None for p in points) for i in range(n)], ", ".join(f"`{k}` double" for k in knobs))
+    table = theta_boxes(table.coalesce(1), spec).select(*[q(f"{s}_{k}") for k in knobs for s in ("lo", "hi")]).toArrow()
+    got = cells
+    for v in spec.inputs:
+        if f"lo_{v.label}" in cells.columns:
+            lo, hi = v.range or (None, None)
+            got = got.where((q(f"lo_{v.label}") < F.lit(float(hi) if hi is not None else math.inf)) & (q(f"hi_{v.label}") >= F.lit(float(lo) if lo is not None else -math.inf)))
+    cut = [k for k in knobs if f"lo_{k}" in cells.columns]
+    read = [v.label for v in spec.inputs if f"lo_{v.label}" in cells.columns]
+    rows = got.select(*[q(f"{s}_{f}").cast("double") for f in [*cut, *read] for s in ("lo", "hi")], value.cast("double").alias("_value")).limit(search.CELLS + 1).toArrow()
+    if rows.num_rows > search.CELLS:
+        raise ValueError(f"the model has more than {search.CELLS} cells")
+    worth = rows["_value"].to_numpy()
+    column = lambda name: rows[name].to_numpy()
+    first, last = np.zeros((2, worth.size, len(knobs)), np.int32)
+    low, high = np.zeros((2, worth.size, len(knobs)), np.int32)
+    for j, k in enumerate(knobs):
+        last[:, j] = high[:, j] = len(points[j]) - 1
+        if k in cut:
+            size = len(points[j])
+            lo, hi = table[f"lo_{k}"].to_numpy()[:size], table[f"hi_{k}"].to_numpy()[:size]
+            first[:, j] = np.searchsorted(hi, column(f"lo_{k}"), side="right")
+            last[:, j] = np.searchsorted(lo, column(f"hi_{k}"), side="right") - 1
+            low[:, j] = np.searchsorted(points[j], column(f"lo_{k}"), side="right")
+            high[:, j] = np.searchsorted(points[j], column(f"hi_{k}"), side="right") - 1
+    centers = np.ones(worth.size, bool)
+    for v in spec.inputs:
+        if v.label in read:
+            at = next((float(x) for x in (v.range or (None, None))[::-1] if x is not None), 0.0)
+            centers &= (column(f"lo_{v.label}") < at) & (column(f"hi_{v.label}") >= at)
+    whole = (np.zeros(len(knobs), np.int32), np.array([len(p) - 1 for p in points], np.int32))
+    here = centers & (low <= high).all(1)
+    sizes = [len(p) for p in points]
+    covered = sum(math.prod(map(int, x)) for x in high[here] - low[here] + 1) == math.prod(sizes)
+    bound = np.where(np.isnan(worth), math.inf, worth)
+    starts = [] if 0 in sizes else [(float(bound[i]), low[i], high[i]) for i in np.flatnonzero(here)] if covered else [(math.inf, *whole)]
+    inside = [(math.inf, low[i], high[i]) for i in np.flatnonzero((low <= high).all(1))]
+    counts = (first <= last).all(1) & ~np.isnan(worth)
+    eta = sp.eta(spec) if spec.eta else None
+    return search.Space(knobs, [np.array(p) for p in points], first[counts], last[counts], worth[counts], eta, [v.type == "int" for v in spec.knobs]), starts, inside, covered
+
+
 def _outputs(spec: sp.Spec, cells: DataFrame, condition: str | ex.Node) -> Column:
     node = ex.parse(condition) if isinstance(condition, str) else condition
     known = {c for c in cells.columns if not c.startswith(("lo_", "hi_"))}
@@ -130,16 +195,20 @@ def _exhaustive(spec: sp.Spec) -> bool:
     return not (spec.alpha or spec.eta)
 
 
+def _firm(spec: sp.Spec, cells: DataFrame, condition: str | ex.Node | None) -> Column:
+    """Minus infinity for cells that fail the condition, null for the others: with these values a stable configuration has an infinite one."""
+    return F.lit(None).cast("double") if condition is None else F.when(~F.coalesce(_outputs(spec, cells, condition), F.lit(False)), F.lit(-math.inf))
+
+
 def query(spark: SparkSession, spec: sp.Spec, cells: DataFrame, conditions: Mapping[str, str | ex.Node]) -> DataFrame:
     """(name, status, witness): PASS with a stable configuration (the least one), FAIL if there is none."""
-    points = critical_points(spark, spec, cells)
-    knobs = [v.label for v in spec.knobs]
-    rows = None
+    rows = []
     for name, condition in conditions.items():
-        one = stable(points, spec, cells, condition).agg(F.min(F.struct(*[q(k).cast("double").alias(k) for k in knobs])).alias("witness"))
-        one = one.select(F.lit(name).alias("name"), F.when(F.col("witness").isNotNull(), "PASS").otherwise("FAIL" if _exhaustive(spec) else "UNKNOWN").alias("status"), "witness")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+        found = search.best(spark, *space_of(spark, spec, cells, _firm(spec, cells, condition))[:2])
+        status = "PASS" if found else "FAIL" if _exhaustive(spec) else "UNKNOWN"
+        rows.append((name, status, tuple(float(x) for x in found[0][1].values()) if found else None))
+    fields = ", ".join(f"`{v.label}`: double" for v in spec.knobs)
+    return spark.createDataFrame(rows, f"name string, status string, witness struct<{fields}>")
 
 
 def synthesize(spark: SparkSession, spec: sp.Spec, cells: DataFrame) -> DataFrame:
@@ -183,51 +252,66 @@ def certify(spark: SparkSession, spec: sp.Spec, cells: DataFrame, witnesses: Map
     return rows
 
 
+def _stable_best(spark: SparkSession, spec: sp.Spec, cells: DataFrame, objective: str | ex.Node, condition: str | ex.Node | None) -> tuple[float, dict] | None:
+    """The greatest stable minimum and the least knobs that have it. A cell without an objective fails."""
+    value = F.coalesce(_firm(spec, cells, condition), _outputs(spec, cells, objective).cast("double"), F.lit(-math.inf))
+    space, starts, _, covered = space_of(spark, spec, cells, value)
+    if covered:
+        found = search.best(spark, space, starts)
+        return found[0] if found else None
+    values = stable_values(critical_points(spark, spec, cells), spec, cells.withColumn("_value", value), "_value").where(F.col("least") > -math.inf)
+    row = values.orderBy(F.desc("least"), *[q(v.label) for v in spec.knobs]).first()
+    return (row["least"], {v.label: row[v.label] for v in spec.knobs}) if row else None
+
+
 def optimize(spark: SparkSession, spec: sp.Spec, cells: DataFrame, objective: str, condition: str | ex.Node | None = None) -> DataFrame:
-    """The knobs, `least` and `greatest` objective of the stable configuration with the greatest `least` (ties: the least knobs); no row if none is stable."""
-    points = critical_points(spark, spec, cells)
-    points = points if condition is None else stable(points, spec, cells, condition)
-    valued = cells.withColumn("_objective", _outputs(spec, cells, objective).cast("double"))
-    best = stable_values(points, spec, valued, "_objective")
-    return best.orderBy(F.desc("least"), *[q(v.label) for v in spec.knobs]).limit(1)
+    """The knobs, `least` and `greatest` objective of the stable configuration with the greatest `least` (ties: the least knobs); no row if none is stable.
+
+    A configuration that meets no cell has no value. A model's cells cover the ranges of its knobs; where cells of a table do not, the cross product is searched.
+    """
+    found = _stable_best(spark, spec, cells, objective, condition)
+    kinds = ", ".join(f"`{v.label}` {'bigint' if v.type == 'int' else 'double'}" for v in spec.knobs)
+    at = spark.createDataFrame([tuple(found[1].values())] if found else [], kinds)
+    return stable_values(at, spec, cells.withColumn("_objective", _outputs(spec, cells, objective).cast("double")), "_objective")
 
 
 def safe_points(spark: SparkSession, spec: sp.Spec, cells: DataFrame, condition: str | ex.Node, n: int) -> DataFrame:
     """The first n stable configurations in the order of their knobs."""
-    return stable(critical_points(spark, spec, cells), spec, cells, condition).orderBy(*[q(v.label) for v in spec.knobs]).limit(n)
+    found = search.best(spark, *space_of(spark, spec, cells, _firm(spec, cells, condition))[:2], n)
+    kinds = ", ".join(f"`{v.label}` {'bigint' if v.type == 'int' else 'double'}" for v in spec.knobs)
+    return spark.createDataFrame([tuple(x.values()) for _, x in found], kinds)
 
 
 def bisect(spark: SparkSession, spec: sp.Spec, cells: DataFrame, objective: str, epsilon: float = 0.05, condition: str | ex.Node | None = None) -> DataFrame:
     """(step, threshold, status, lower, upper): halving of the objective's range until the greatest stable threshold is known to `epsilon` of it.
 
-    A step asks whether some configuration keeps the objective at the threshold or above. `optimize` gives the end at once;
-    this gives the course of the search. No feasible configuration: one step with status FAIL.
+    A step asks whether some configuration keeps the objective at the threshold or above; one search for the greatest answers all of them.
+    `optimize` gives the end at once; this gives the course of the search. No feasible configuration: one step with status FAIL.
     """
-    points = critical_points(spark, spec, cells)
-    points = (points if condition is None else stable(points, spec, cells, condition)).cache()
     value = _outputs(spec, cells, objective).cast("double")
     ends = cells.agg(F.min(value), F.max(value)).first()
     steps: list[tuple] = []
     if ends[0] is not None:
         lower, upper = float(ends[0]), float(ends[1])
-        if points.isEmpty():
+        top = _stable_best(spark, spec, cells, objective, condition)
+        if top is None:
             steps.append((0, lower, "FAIL", None, None))
         else:
             wide = (upper - lower) * epsilon
-            valued = cells.withColumn("_objective", value)
             while upper - lower > wide:
                 t = (lower + upper) / 2
-                ok = not stable(points, spec, valued, ex.Compare(">=", ex.Var("_objective"), ex.Num(Fraction(t)))).isEmpty()
+                ok = top[0] >= t
                 lower, upper = (t, upper) if ok else (lower, t)
                 steps.append((len(steps), t, "PASS" if ok else "FAIL", lower, upper))
-    points.unpersist()
     return spark.createDataFrame(steps, "step int, threshold double, status string, lower double, upper double")
 
 
 def feasible(spark: SparkSession, spec: sp.Spec, cells: DataFrame) -> dict[str, bool]:
     """Whether the constraints leave any configuration (interface), and any point of the model with them and beta (model)."""
-    points = critical_points(spark, spec, cells)
-    features = features_of(spec, cells)
-    met = points.select(*[c for v in spec.knobs for c in (q(v.label).cast("double").alias(f"lo_{v.label}"), q(v.label).cast("double").alias(f"hi_{v.label}"))], *[F.lit(float(x) if x is not None else inf).alias(f"{s}_{v.label}") for v in spec.inputs for s, x, inf in zip(("lo", "hi"), v.range or (None, None), (-math.inf, math.inf), strict=True)])
+    def some(boxes) -> bool:
+        return bool(search.best(spark, search.Space(space.knobs, space.values, space.first[:0], space.last[:0], space.value[:0], space.eta, space.whole), boxes))
+
     good = cells.where(F.coalesce(_outputs(spec, cells, sp.beta(spec)), F.lit(False)))
-    return {"interface_consistent": not points.isEmpty(), "model_consistent": not met.alias("t").join(good.alias("l"), meets(features), "left_semi").isEmpty()}
+    space, _, inside, _ = space_of(spark, spec, good, F.lit(None))
+    whole = [] if any(v.size == 0 for v in space.values) else [(math.inf, np.zeros(len(space.knobs), np.int32), np.array([v.size - 1 for v in space.values], np.int32))]
+    return {"interface_consistent": some(whole), "model_consistent": some(inside)}

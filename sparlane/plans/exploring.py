@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as ex
 from ..operators import boxes, design, explore, models, stable, tables
 from ..sources import spec as sp
+from ..stored import stored
 from .registry import query, table
 
 _PARTS = "SELECT p_partkey, p_size, p_retailprice, round(sum(l_quantity), 6) AS qty, round(avg(l_discount), 6) AS disc FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2, 3"
@@ -354,3 +355,34 @@ def synthesize_cells(spark, d):
 def bisect_cells(spark, d):
     """The course of a threshold search."""
     return stable.bisect(spark, _cell_spec(), _table_cells(spark, d), "ret").select("step", "status", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
+
+
+_CELLS4 = "SELECT 10 * (ceil(l_quantity / 10) - 1) AS qlo, 10 * ceil(l_quantity / 10) AS qhi, 2 * (ceil(l_linenumber / 2.0) - 1) AS nlo, 2 * ceil(l_linenumber / 2.0) AS nhi, 4 * (ceil(round(l_discount * 100) / 4.0) - 1) AS dlo, 4 * ceil(round(l_discount * 100) / 4.0) AS dhi, 3 * (ceil(round(l_tax * 100) / 3.0) - 1) AS tlo, 3 * ceil(round(l_tax * 100) / 3.0) AS thi, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS ret, round(avg(l_extendedprice), 4) AS price FROM lineitem GROUP BY ALL"
+#: Stability boxes pass edges at whole numbers only, from below up to and with them: whole numbers stand for all configurations.
+_VALUES4 = "SELECT q, n, dc, t, min(ret) AS least, max(price) AS dearest FROM (SELECT i AS q FROM range(1, 51) AS a(i)), (SELECT i AS n FROM range(1, 8) AS b(i)), (SELECT i AS dc FROM range(0, 11) AS e(i)), (SELECT i AS t FROM range(0, 9) AS f(i)), c WHERE q + 4 > qlo AND q - 4 <= qhi AND n + 1 > nlo AND n - 1 <= nhi AND dc + 1 > dlo AND dc - 1 <= dhi AND t + 1 > tlo AND t - 1 <= thi GROUP BY ALL"
+_DEAR = [26_000, 38_000, 52_000, 70_000]
+
+
+def _four_knobs(spark, d):
+    """Shares of returned lines and mean prices by cell of quantity, line number, discount and tax (per cent), and their specification."""
+    cell = lambda c, w: F.ceil(c / w).cast("double") * w
+    cent = lambda c: F.round(F.col(c) * 100)
+    ends = {"qty": (F.col("l_quantity"), 10), "line": (F.col("l_linenumber"), 2), "disc": (cent("l_discount"), 4), "tax": (cent("l_tax"), 3)}
+    out = table(spark, d, "lineitem").groupBy(*[cell(*e).alias(f"hi_{k}") for k, e in ends.items()]).agg(F.round(F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)), 6).alias("ret"), F.round(F.avg("l_extendedprice"), 4).alias("price"))
+    out = out.withColumns({f"lo_{k}": F.col(f"hi_{k}") - w for k, (_, w) in ends.items()})
+    knob = lambda label, kind, lo, hi, rad: {"label": label, "interface": "knob", "type": kind, "range": [lo, hi], "rad-abs": rad}
+    variables = [knob("qty", "real", 1, 50, 4), knob("line", "int", 1, 7, 1), knob("disc", "real", 0, 10, 1), knob("tax", "real", 0, 8, 1), *({"label": x, "interface": "output", "type": "real"} for x in ("ret", "price"))]
+    return out, sp.from_dict({"version": "1.2", "variables": variables})
+
+
+@query(f"WITH c AS ({_CELLS4}), v AS ({_VALUES4}) SELECT l AS price, max(least) AS least, CASE WHEN count(least) > 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM unnest({_DEAR}) AS u(l) LEFT JOIN v ON dearest <= l GROUP BY l")
+def search_knobs(spark, d):
+    """The greatest stable share over four knobs, and whether there is any, where no price in reach is over a limit: by branch and bound."""
+    cells, spec = _four_knobs(spark, d)
+    cells = stored(cells, "cells")
+    rows = []
+    for top in _DEAR:
+        best = stable.optimize(spark, spec, cells, "ret", f"price <= {top}").first()
+        status = stable.query(spark, spec, cells, {"cheap": f"price <= {top}"}).first()["status"]
+        rows.append((top, best["least"] if best else None, status))
+    return spark.createDataFrame(rows, "price int, least double, status string")
