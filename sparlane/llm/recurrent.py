@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import TOKEN_BYTES, Table, slices, text_bytes, words
+from .blocks import TOKEN_BYTES, Table, ragged, slices, text_bytes, words
 from .language import held_out
 from .shared import mapped, tree_total, written
 
@@ -222,36 +222,45 @@ class Network:
         g["emb"][ids[order][first]] = np.add.reduceat(dx[order], first, 0)
 
 
-def _lanes(target: np.ndarray, off: np.ndarray, lanes: int, k: int):
-    """Steps x lanes of targets, inputs, document numbers, begins; and how many lanes (from the left) are in use at each step."""
-    n = np.diff(off)
-    lanes = max(1, min(lanes, n.size))
-    heap, place = [(0, i) for i in range(lanes)], np.empty(n.size, np.int64)
-    start = np.empty(n.size, np.int64)
-    for d in np.argsort(-n, kind="stable").tolist():
-        used, lane = heapq.heappop(heap)
-        place[d], start[d] = lane, used
-        heapq.heappush(heap, (used + int(n[d]), lane))
-    load = np.zeros(lanes, np.int64)
-    for used, lane in heap:
-        load[lane] = used
-    rank = np.empty(lanes, np.int64)
-    rank[np.argsort(-load, kind="stable")] = np.arange(lanes)
-    load = np.sort(load)[::-1]
-    doc = np.repeat(np.arange(n.size), n)
-    step = np.arange(doc.size) - np.repeat(off[:-1], n) + start[doc]
-    lane = rank[place[doc]]
-    shape = (int(load[0]), lanes)
-    t, x, who, new = np.full(shape, -1, np.int32), np.full(shape, k + 1, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, bool)
-    t[step, lane], who[step, lane] = target, doc
-    begin = np.zeros(doc.size, bool)
-    begin[off[:-1]] = True
-    new[step, lane] = begin
-    prev = np.concatenate([[k + 1], target[:-1]])
-    prev[begin] = k + 1
-    x[step, lane] = prev
-    active = np.searchsorted(-load, -np.arange(1, shape[0] + 1), side="right")
-    return t, x, who, new, active
+class Lanes:
+    """Texts dealt to lanes, the longest first to the emptiest lane; the fullest lane is the leftmost.
+
+    Only the tokens themselves are held, in the order of their lanes: a window's arrays are made when it is read, so that one long text
+    beside many short ones takes no more than its own length.
+    """
+
+    def __init__(self, target: np.ndarray, off: np.ndarray, lanes: int, k: int):
+        n = np.diff(off)
+        lanes = max(1, min(lanes, n.size))
+        heap, place = [(0, i) for i in range(lanes)], np.empty(n.size, np.int64)
+        start = np.empty(n.size, np.int64)
+        for d in np.argsort(-n, kind="stable").tolist():
+            used, lane = heapq.heappop(heap)
+            place[d], start[d] = lane, used
+            heapq.heappush(heap, (used + int(n[d]), lane))
+        load = np.zeros(lanes, np.int64)
+        for used, lane in heap:
+            load[lane] = used
+        rank = np.empty(lanes, np.int64)
+        rank[np.argsort(-load, kind="stable")] = np.arange(lanes)
+        order = np.lexsort((start, rank[place]))
+        at = ragged(off[:-1][order], n[order])
+        begin = np.zeros(target.size, bool)
+        begin[off[:-1]] = True
+        prev = np.concatenate([[k + 1], target[:-1]])
+        prev[begin] = k + 1
+        self.size, self.none = lanes, k + 1
+        self.load = np.sort(load)[::-1]
+        self.first = np.cumsum(self.load) - self.load
+        self.target, self.input, self.begin, self.doc = target[at].astype(np.int32), prev[at].astype(np.int32), begin[at], np.repeat(order, n[order]).astype(np.int32)
+        self.active = np.searchsorted(-self.load, -np.arange(1, int(self.load[0]) + 1), side="right")
+
+    def window(self, lo: int, hi: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Steps x lanes of targets (-1: none), inputs, document numbers, begins."""
+        step = np.arange(lo, hi)[:, None]
+        there = step < self.load[:n]
+        at = np.where(there, step + self.first[:n], 0)
+        return np.where(there, self.target[at], np.int32(-1)), np.where(there, self.input[at], np.int32(self.none)), np.where(there, self.doc[at], np.int32(-1)), there & self.begin[at]
 
 
 def _windows(active: np.ndarray, size: int):
@@ -269,8 +278,8 @@ def _windows(active: np.ndarray, size: int):
 def score_texts(net: Network, target: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Natural log-likelihood of each whole text, its state carried through all windows."""
     out = np.zeros(off.size - 1)
-    t, x, who, new, active = _lanes(target, off, WIDE, net.k)
-    h = np.zeros((t.shape[1], UNITS), np.float32)
+    lanes = Lanes(target, off, WIDE, net.k)
+    h = np.zeros((lanes.size, UNITS), np.float32)
     held: list[tuple] = []
 
     def flush():
@@ -278,10 +287,11 @@ def score_texts(net: Network, target: np.ndarray, off: np.ndarray) -> np.ndarray
         held.clear()
         out[:] += np.bincount(own, weights=net.outputs(s, goal, False)[0], minlength=out.size)
 
-    for lo, hi, n in _windows(active, WINDOW):
-        s, h, _ = net.steps(x[lo:hi, :n], new[lo:hi, :n], h[:n], False)
-        use = np.flatnonzero(t[lo:hi, :n].ravel() >= 0)
-        held.append((s.reshape(-1, UNITS)[use], t[lo:hi, :n].ravel()[use], who[lo:hi, :n].ravel()[use]))
+    for lo, hi, n in _windows(lanes.active, WINDOW):
+        t, x, who, new = lanes.window(lo, hi, n)
+        s, h, _ = net.steps(x, new, h[:n], False)
+        use = np.flatnonzero(t.ravel() >= 0)
+        held.append((s.reshape(-1, UNITS)[use], t.ravel()[use], who.ravel()[use]))
         if sum(v[1].size for v in held) >= BATCH:
             flush()
     if held:
@@ -300,13 +310,14 @@ class Learner:
 
     def learn(self, target: np.ndarray, off: np.ndarray) -> None:
         net = self.net
-        t, x, _, new, active = _lanes(target, off, LANES, net.k)
-        h = np.zeros((t.shape[1], UNITS), np.float32)
-        for lo, hi, n in _windows(active, WINDOW):
-            s, h, kept = net.steps(x[lo:hi, :n], new[lo:hi, :n], h[:n], True)
-            goal = t[lo:hi, :n].ravel()
+        lanes = Lanes(target, off, LANES, net.k)
+        h = np.zeros((lanes.size, UNITS), np.float32)
+        for lo, hi, n in _windows(lanes.active, WINDOW):
+            t, x, _, new = lanes.window(lo, hi, n)
+            s, h, kept = net.steps(x, new, h[:n], True)
+            goal = t.ravel()
             use = np.flatnonzero(goal >= 0)
-            self.held.append((s.reshape(-1, UNITS)[use], goal[use], use, x[lo:hi, :n], new[lo:hi, :n], kept))
+            self.held.append((s.reshape(-1, UNITS)[use], goal[use], use, x, new, kept))
             if sum(v[1].size for v in self.held) >= BATCH:
                 self.taught()
         if self.held:
@@ -349,6 +360,9 @@ def _parts(batches, prepare, most: int = PART):
     held, size = [], 0
     for b in slices(batches, "text"):
         h, off = tokens(b.column(b.schema.get_field_index("text")))
+        if held and h.size >= most:
+            yield held
+            held, size = [], 0
         held.append(prepare(b, h, off))
         size += h.size
         if size >= most:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -525,3 +526,39 @@ def test_quality_learns_from_a_bounded_number_of_rows(spark, documents, sf_dir,
     ids = labels.select("doc_id").distinct().count()
     assert 20 <= sizes[0][0] <= 90 and sizes[1] == (ids, ids)
     quality.train(documents.drop("n_chars"), labels)
+
+
+def test_a_long_text_takes_no_more_than_its_length():
+    """A text of 400,000 tokens beside 3,000 short ones: windows are made one by one, and the scores are those of each text alone."""
+    v = recurrent.Vocabulary(np.arange(1, 61, dtype=np.uint64), np.arange(60, 0, -1), np.arange(1, 61, dtype=np.uint64), np.arange(60, 0, -1), 3000, 90)
+    net = recurrent.Network(v)
+    rng = np.random.default_rng(5)
+    n = np.concatenate([rng.integers(1, 60, 1500), [400_000], rng.integers(1, 60, 1500)])
+    off = np.concatenate([[0], np.cumsum(n)])
+    target = rng.integers(0, 61, off[-1]).astype(np.int32)
+    tracemalloc.start()
+    got = recurrent.score_texts(net, target, off)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * target.size + 50e6
+    for i in (0, 7, 1499, 1501, 2999):
+        one = recurrent.score_texts(net, target[off[i] : off[i + 1]], np.array([0, n[i]]))
+        assert got[i] == pytest.approx(one[0], rel=1e-4)
+
+
+def test_lanes_hold_every_token_once():
+    rng = np.random.default_rng(8)
+    off = np.concatenate([[0], np.cumsum(rng.integers(1, 40, 90))])
+    target = rng.integers(0, 50, off[-1]).astype(np.int32)
+    lanes = recurrent.Lanes(target, off, 7, 50)
+    seen = collections.defaultdict(list)
+    for lo, hi, n in recurrent._windows(lanes.active, 5):
+        t, x, who, new = lanes.window(lo, hi, n)
+        assert ((t >= 0) == (who >= 0)).all() and (x[t < 0] == 51).all() and (x[new] == 51).all()
+        for lane in range(n):
+            for s in range(hi - lo):
+                if t[s, lane] >= 0:
+                    seen[who[s, lane]].append((int(t[s, lane]), int(x[s, lane]), bool(new[s, lane])))
+    for d in range(90):
+        own = target[off[d] : off[d + 1]].tolist()
+        assert seen[d] == list(zip(own, [51, *own[:-1]], [True] + [False] * (len(own) - 1), strict=True))
