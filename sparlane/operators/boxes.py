@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
 from ..shipping import ship
+from ..stored import stored
+from . import minima
 from .prep import q
 
 #: Cells that one box may cover on the axis of the join, about; wider boxes mean wider cells.
@@ -206,8 +208,38 @@ def skyline(df: DataFrame, objectives: Sequence[str], fan: int = 8) -> DataFrame
     return a.join(b, same, "left_semi")
 
 
+#: Types whose values doubles hold exactly.
+_EXACT = {"double", "float", "int", "smallint", "tinyint"}
+
+
 def stable_minima(df: DataFrame, row_id: str, axes: Sequence[Axis], objectives: Sequence[str]) -> DataFrame:
-    """(row_id, <objective>...): each row's least objective over the rows in its stability box (itself included, if it is in it)."""
+    """(row_id, <objective>...): each row's least objective over the rows in its stability box (itself included, if it is in it).
+
+    With one or two axes no pair of row and box is formed (`minima.box_minima`): equal points and equal boxes are made one before. With more axes, or
+    objectives that doubles do not hold exactly, and for points with a null or NaN coordinate, which only open boxes hold, it is a box join.
+    """
+    names = [a.column for a in axes]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    if len(axes) > 2 or not axes or not {kinds[c] for c in (*names, *objectives)} <= _EXACT:
+        return _joined_minima(stored(df, "rows"), row_id, axes, objectives)
+    own = stored(with_boxes(df.select(q(row_id).alias("_id"), *[q(c).cast("double").alias(c) for c in names], *[q(o).alias(f"_o_{o}") for o in objectives]), axes), "rows")
+    ends = [F.coalesce(q(f"{s}_{c}"), F.lit(v)).alias(t) for c, t in zip(names, "xy", strict=False) for s, v, t in (("lo", -math.inf, t), ("hi", math.inf, f"{t}2"))]
+    ends += [F.lit(v).alias(t) for t, v in (("y", -math.inf), ("y2", math.inf))] if len(axes) == 1 else []
+    keyed = own.select("_id", *ends).withColumn("box", F.xxhash64("x", "x2", "y", "y2"))
+    boxes = stored(keyed.select("box", "x", "x2", "y", "y2").dropDuplicates(["box"]), "boxes")
+    odd = reduce(lambda a, b: a | b, [q(c).isNull() | F.isnan(q(c)) for c in names])
+    at = [q(c).alias(t) for c, t in zip(names, "xy", strict=False)] + ([F.lit(0.0).alias("y")] if len(axes) == 1 else [])
+    points = own.where(~odd).select(*at, *[F.col(f"_o_{o}").alias(o) for o in objectives]).groupBy("x", "y").agg(*[F.min(q(o)).cast("double").alias(o) for o in objectives])
+    low = minima.box_minima(stored(points, "points"), boxes, objectives)
+    out = keyed.select("_id", "box").join(low, "box").select("_id", *[q(o).cast(kinds[o]).alias(o) for o in objectives])
+    strange = own.where(odd)
+    if not strange.isEmpty():
+        j = box_join(strange.select(*map(q, names), *[F.col(f"_o_{o}") for o in objectives]), own.select("_id", *[q(f"{s}_{c}") for c in names for s in ("lo", "hi")]), names)
+        out = out.union(j.select(F.col("b._id"), *[F.col(f"p.`_o_{o}`") for o in objectives]))
+    return out.groupBy(F.col("_id").alias(row_id)).agg(*[F.min(q(o)).alias(o) for o in objectives])
+
+
+def _joined_minima(df: DataFrame, row_id: str, axes: Sequence[Axis], objectives: Sequence[str]) -> DataFrame:
     names = [a.column for a in axes]
     boxes = with_boxes(df, axes).select(q(row_id).alias("_id"), *[q(f"{s}_{c}") for c in names for s in ("lo", "hi")])
     points = df.select(*map(q, names), *[q(o).alias(f"_o_{o}") for o in objectives])
@@ -229,7 +261,7 @@ def frontier(df: DataFrame, row_id: str, axes: Sequence[Axis], knobs: Sequence[s
     of a violator of beta go; the skyline of the minima stays.
     """
     use = df.where(ex.column(alpha)) if alpha else df
-    full = use.withColumns({n: ex.column(e) for n, e in objectives.items()}).persist()  # read several times below
+    full = stored(use.withColumns({n: ex.column(e) for n, e in objectives.items()}), "rows")  # read several times below
     low = stable_minima(full, row_id, axes, list(objectives)).dropna("any", subset=list(objectives))
     safe = drop_near_violators(full.select(*map(q, use.columns)) if not set(objectives) & set(use.columns) else use, [a for a in axes if a.column in knobs], ex.column(beta)) if beta else use
     both = safe.drop(*objectives).join(low, row_id)
