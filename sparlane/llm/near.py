@@ -13,10 +13,10 @@ from .shared import components, discard, mapped, written
 #: K-mers of a sketch, bins of the word histogram, rows of a bucket compared at once.
 TAKEN, BINS, BLOCK = 2, 64, 4096
 #: Texts of `from` words or more and under `below` have so many sketches of k-mers of so many words: (from, below, words, sketches). Five words in a row
-#: tell long texts apart, but at the limit, where a fifth of the words differ, most of them are touched: three-word k-mers find those
-#: pairs, and two-word ones the short texts. SHORT[0] / SHORT[1] is `cut` or less, so no pair is torn.
+#: tell long texts apart, but at the limit, where a fifth of the words differ, two thirds of them are touched: three-word k-mers find
+#: those pairs, and two-word ones the short texts. SHORT[0] / SHORT[1] is `cut` or less, so no pair is torn.
 SHORT = (64, 80)
-LAYOUT = ((SHORT[0], 1 << 62, 5, 24), (SHORT[0], 1 << 62, 3, 24), (1, SHORT[1], 2, 24))
+LAYOUT = ((SHORT[0], 1 << 62, 5, 4), (SHORT[0], 1 << 62, 3, 32), (1, SHORT[1], 2, 20))
 WIDTH = sum(x[3] for x in LAYOUT)
 #: Rows of a bucket from which on the last round tests pairs inside the task, and up to which all its rows meet in one block.
 LARGE, SMALL = 48, 256
