@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import expressions as ex
-from .operators import boxes, design, discretize, explore, models, prep, selection, stable, subgroups
+from .operators import boxes, design, discretize, explore, models, prep, selection, smooth, stable, subgroups
 from .operators.prep import q
 from .sources import files, reports
 from .sources import spec as sp
@@ -230,26 +230,52 @@ def train(run: Run) -> DataFrame:
     return out
 
 
+def loaded(run: Run) -> tuple[models.Fitted, dict | None]:
+    """A saved model alone, with its level maps; the run takes its features, responses and scaling."""
+    m, side = models.Fitted.load_all(run.spark, run.model_path)
+    run.options = run.options | {"features": m.features, "responses": m.responses}
+    if files.there(f"{run.model_path}/scaling.json"):
+        run.limits = reports.load_scaling(f"{run.model_path}/scaling.json")
+    return m, reports.load_levels(run.spark, f"{run.model_path}/levels.json") if side else None
+
+
 def predict(run: Run) -> DataFrame:
-    """The new rows with their predictions, by a trained or a loaded model."""
-    m, _, _, feats = fitted(run)
+    """The new rows with their predictions, by a trained model, or by a loaded one without the data that it was trained on."""
+    if run.use_model:
+        m, maps = loaded(run)
+    else:
+        m = fitted(run)[0]
+        maps = reports.load_levels(run.spark, f"{run.model_path}/levels.json") if run.model_path else None
     new, _ = prepared(run, "new_data")
-    new, _ = encoded(run, new, feats, reports.load_levels(run.spark, f"{run.model_path}/levels.json") if run.model_path else None)
+    new, _ = encoded(run, new, m.features, maps)
     new = prep.scale(new, {k: v for k, v in run.limits.items() if k in new.columns}) if run.limits else new
     return _predicted(run, m, new, "new").drop("_row")
 
 
-def cells(run: Run) -> DataFrame:
-    """The cell relation that is explored: the given one, or that of the trained trees, in the variables' own units."""
+def explored(run: Run) -> DataFrame | smooth.Smooth:
+    """What is explored, in the variables' own units: a given cell relation, that of trees, or a network or polynomial; trained or loaded."""
     if isinstance(run.options["data"], DataFrame) and any(c.startswith("lo_") for c in run.options["data"].columns):
         return run.options["data"].cache()
-    if run.scale:
-        raise ValueError("tree models are explored unscaled; they do not depend on scaling")
-    m = fitted(run)[0]
+    m = loaded(run)[0] if run.use_model and run.options["data"] is None else fitted(run)[0]
+    if m.kind in ("nn", "poly", "linear"):
+        out = smooth.smooth_model(m, (run.model_options or {}).get("degree", 2))
+        return smooth.in_own_units(out, run.limits) if run.limits else out
     if m.kind not in ("dt", "rf", "et", "gbr"):
-        raise ValueError(f"{m.kind}: only trees and forests are explored exactly")
+        raise ValueError(f"{m.kind}: only trees, forests, networks and polynomials are explored")
     run.reports.table("model_rules", reduce(lambda a, b: a.unionByName(b), [models.rules_text(models.leaf_boxes(run.spark, m.models[r], m.features), m.features, r) for r in m.responses]))
-    return stable.model_cells(run.spark, m).cache()
+    out = stable.model_cells(run.spark, m)
+    for name, (lo, hi) in run.limits.items():
+        own = lambda c, lo=lo, hi=hi: q(c) * F.lit(float(hi) - float(lo)) + F.lit(float(lo))
+        out = out.withColumns({c: own(c) for c in ((name,) if name in m.responses else (f"lo_{name}", f"hi_{name}"))})
+    return out.cache()
+
+
+def cells(run: Run) -> DataFrame:
+    """The cell relation that is explored."""
+    out = explored(run)
+    if isinstance(out, smooth.Smooth):
+        raise ValueError("this needs a tree model")
+    return out
 
 
 def consistent(run: Run, c: DataFrame) -> bool:
@@ -264,8 +290,10 @@ def _none(run: Run, columns: str, rows: list[tuple]) -> DataFrame:
 
 def query(run: Run) -> DataFrame:
     """(name, status, witness) of the spec's queries."""
-    s, c = run.need_spec(), cells(run)
+    s, c = run.need_spec(), explored(run)
     named = dict(run.queries or s.queries)
+    if isinstance(c, smooth.Smooth):
+        return run.reports.statuses("query_results", smooth.as_queries(run.spark, c, s, named), "name")
     if not consistent(run, c):
         return run.reports.statuses("query_results", _none(run, "name string, status string, witness string", [(n, "ERROR", None) for n in named]), "name")
     return run.reports.statuses("query_results", stable.query(run.spark, s, c, named), "name")
@@ -273,20 +301,30 @@ def query(run: Run) -> DataFrame:
 
 def verify(run: Run) -> DataFrame:
     """(configuration, assertion, status, counter_example) of the spec's assertions at its configurations."""
-    s, c = run.need_spec(), cells(run)
-    out = stable.verify(run.spark, s, c, s.configurations, dict(run.assertions or s.assertions))
+    s, c = run.need_spec(), explored(run)
+    asked = dict(run.assertions or s.assertions)
+    if isinstance(c, smooth.Smooth):
+        out = None
+        at = run.spark.createDataFrame([(n, *(float(Fraction(x[v.label])) for v in s.knobs)) for n, x in s.configurations.items()], "configuration string, " + ", ".join(f"`{v.label}` double" for v in s.knobs))
+        for label, text in asked.items():
+            point = F.when(F.col("counter_example").isNotNull(), F.struct(*[F.col("counter_example")[i].alias(f) for i, f in enumerate(c.features)]))
+            one = smooth.verify(c, at, s, text).select(F.col("box").alias("configuration"), F.lit(label).alias("assertion"), "status", point.alias("counter_example"))
+            out = one if out is None else out.unionByName(one)
+    else:
+        out = stable.verify(run.spark, s, c, s.configurations, asked)
     return run.reports.statuses("verify_results", out.withColumn("name", F.concat_ws(":", "configuration", "assertion")), "name").drop("name")
 
 
 def certify(run: Run) -> DataFrame:
     """(query, name, status) of the spec's witnesses, each for the query of its name, or for all."""
-    s, c = run.need_spec(), cells(run)
+    s, c = run.need_spec(), explored(run)
     out = None
     for name, text in dict(run.queries or s.queries).items():
         at = {name: s.witnesses[name]} if name in s.witnesses else dict(s.witnesses)
         at = {k: w for k, w in at.items() if explore.witness_consistent(s, w)}
         if at:
-            one = stable.certify(run.spark, s, c, at, text).select(F.lit(name).alias("query"), "name", "status")
+            one = smooth.certify(run.spark, c, s, at, text) if isinstance(c, smooth.Smooth) else stable.certify(run.spark, s, c, at, text)
+            one = one.select(F.lit(name).alias("query"), "name", "status")
             out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no consistent witness")
@@ -295,12 +333,30 @@ def certify(run: Run) -> DataFrame:
 
 def synthesize(run: Run) -> DataFrame:
     """(name, status, witness): a configuration for beta and the assertions."""
-    return run.reports.statuses("synthesis_results", stable.synthesize(run.spark, run.need_spec(), cells(run)), "name")
+    s, c = run.need_spec(), explored(run)
+    out = smooth.as_queries(run.spark, c, s, {"synthesis": sp.beta(s, assertions=True)}) if isinstance(c, smooth.Smooth) else stable.synthesize(run.spark, s, c)
+    return run.reports.statuses("synthesis_results", out, "name")
+
+
+def _optimize_smooth(run: Run, model: smooth.Smooth, condition) -> DataFrame:
+    s, goals, knobs = run.need_spec(), objectives_of(run), [v.label for v in run.need_spec().knobs]
+    if run.pareto and len(goals) > 1:
+        raise ValueError("networks and polynomials are optimized for one objective at a time")
+    rows = []
+    for o, e in goals.items():
+        best = smooth.optimize(run.spark, model, s, e, condition, run.epsilon)
+        if best:
+            lo, hi = best["range"]
+            rows.append((o, best["lower"], (best["lower"] - lo) / ((hi - lo) or 1.0), *(float(best["configuration"][k]) for k in knobs)))
+    run.reports.state("optimization_results", {r[0]: {"threshold": r[1], "scaled": r[2], **dict(zip(knobs, r[3:], strict=True))} for r in rows} or {"status": "UNSAT"})
+    return run.reports.table("optimization_results", _none(run, "objective string, threshold double, scaled double, " + ", ".join(f"`{k}` double" for k in knobs), rows))
 
 
 def _optimize(run: Run, condition) -> DataFrame:
     """(objective, threshold, scaled, <knob>...) of each objective by itself, or with `pareto` of all together, with the course of the search."""
-    s, c = run.need_spec(), cells(run)
+    s, c = run.need_spec(), explored(run)
+    if isinstance(c, smooth.Smooth):
+        return _optimize_smooth(run, c, condition)
     goals, knobs = objectives_of(run), [v.label for v in s.knobs]
     if not consistent(run, c):
         run.reports.state("optimization_results", {"status": "ERROR"})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
 from ..shipping import ship
-from ..sources.files import load_json, save_json
+from ..sources.files import load_json, save_json, there
 from .network import Network, train_network
 from .prep import q
 
@@ -63,7 +62,6 @@ class Fitted:
             m = self.models[r]
             if isinstance(m, PipelineModel):
                 m.write().overwrite().save(f"{path}/{i}")
-        os.makedirs(path, exist_ok=True)
         save_json(f"{path}/model.json", {"kind": self.kind, "features": self.features, "responses": self.responses, "states": {r: m.state() for r, m in self.models.items() if not isinstance(m, PipelineModel)}})
 
     save_all = save
@@ -78,7 +76,7 @@ class Fitted:
     @classmethod
     def load_all(cls, spark, path: str) -> tuple[Fitted, bool]:
         """The model, and whether level maps were saved beside it."""
-        return cls.load(path), os.path.exists(f"{path}/levels.json")
+        return cls.load(path), there(f"{path}/levels.json")
 
 
 def train(df: DataFrame, features: Sequence[str], responses: Sequence[str], kind: str = "dt", weight: str | None = None, **options) -> Fitted:

@@ -141,6 +141,30 @@ def smooth_model(model: Fitted, degree: int = 2) -> Smooth:
     return Smooth(list(model.features), out)
 
 
+def in_own_units(model: Smooth, limits: Mapping[str, tuple[float, float]]) -> Smooth:
+    """A model that was trained on columns scaled to [0, 1] by `limits`, as one of the columns themselves."""
+    start = {f: float(limits[f][0]) if f in limits else 0.0 for f in (*model.features, *model.responses)}
+    wide = {f: float(limits[f][1]) - start[f] if f in limits else 1.0 for f in start}
+    if any(w == 0 for w in wide.values()):
+        raise ValueError("a column with one value has no scale")
+    a, w = (np.array([x[f] for f in model.features]) for x in (start, wide))
+    out: dict[str, object] = {}
+    for r, m in model.responses.items():
+        if isinstance(m, np.ndarray):
+            t = m
+            for j in range(t.ndim):
+                n = t.shape[j]
+                move = np.array([[math.comb(i, k) * (-a[j]) ** (i - k) / w[j] ** i if k <= i else 0.0 for k in range(n)] for i in range(n)])
+                t = np.moveaxis(np.moveaxis(t, j, -1) @ move, -1, j)
+            t = t * wide[r]
+            t[(0,) * t.ndim] += start[r]
+            out[r] = t
+        else:
+            layers, low, span = m
+            out[r] = (layers, np.append(a + low[:-1] * w, low[-1] * wide[r] + start[r]), np.append(span[:-1] * w, span[-1] * wide[r]))
+    return Smooth(model.features, out)
+
+
 def _verdicts(model: Smooth, condition: ex.Node, lo: np.ndarray, hi: np.ndarray) -> list[bool | None]:
     got = model.bounds(lo, hi)
     return [ex.interval(condition, {f: (float(lo[i, j]), float(hi[i, j])) for j, f in enumerate(model.features)} | {r: (float(a[i]), float(b[i])) for r, (a, b) in got.items()}) for i in range(lo.shape[0])]
@@ -365,7 +389,7 @@ def query(spark: SparkSession, model: Smooth, spec: sp.Spec, condition: str | ex
 
 def optimize(spark: SparkSession, model: Smooth, spec: sp.Spec, objective: str, condition: str | ex.Node | None = None, epsilon: float = 0.05, **options) -> dict | None:
     """`lower` and `upper` end of the greatest value that a stable configuration keeps, at most `epsilon` of the objective's range apart unless UNKNOWN answers
-    keep them wider, and the configuration of `lower`. None if not even the lower end of the range is kept.
+    keep them wider, and the configuration of `lower`; and the objective's `range`. None if not even the lower end of the range is kept.
     """
     theta = _Theta(list(spec.knobs), model.features, {v.label: _range(v) for v in spec.inputs if v.label in model.features})
     ends = [_range(v) for v in spec.knobs]
@@ -374,6 +398,7 @@ def optimize(spark: SparkSession, model: Smooth, spec: sp.Spec, objective: str,
     node = ex.parse(objective)
     lower, upper = ex.interval(node, {f: (float(lo[j]), float(hi[j])) for j, f in enumerate(model.features)} | {r: (float(a[0]), float(b[0])) for r, (a, b) in got.items()})
     goal = lambda t: ex.Logic("and", (ex.Compare(">=", node, ex.Num(Fraction(t))), *([condition if isinstance(condition, ex.Node) else ex.parse(condition)] if condition is not None else [])))
+    ends = (lower, upper)
     status, at = query(spark, model, spec, goal(lower), **options)
     if status != "PASS":
         return None
@@ -387,7 +412,7 @@ def optimize(spark: SparkSession, model: Smooth, spec: sp.Spec, objective: str,
         else:
             top = t
             sure = t if status == "FAIL" else sure
-    return {"lower": lower, "upper": sure, "configuration": at}
+    return {"lower": lower, "upper": sure, "configuration": at, "range": ends}
 
 
 def box_column(spec: sp.Spec) -> list[Column]:
@@ -406,6 +431,24 @@ def verify(model: Smooth, configurations: DataFrame, spec: sp.Spec, condition: s
     return verify_boxes(model, configurations.select(q(name).alias("box"), *box_column(spec), *inputs), condition, **options)
 
 
+def certify(spark: SparkSession, model: Smooth, spec: sp.Spec, witnesses: Mapping[str, Mapping], condition: str | ex.Node) -> DataFrame:
+    """(name, status) of given points (knobs, and inputs if there are any): not a witness / witness, not stable / stable witness, or unknown."""
+    theta = _Theta(list(spec.knobs), model.features, {v.label: _range(v) for v in spec.inputs if v.label in model.features})
+    rows = []
+    for name, at in witnesses.items():
+        knobs = np.array([float(Fraction(at[v.label])) for v in spec.knobs])
+        given = {f: float(Fraction(at[f])) for f in model.features if f in at}
+        rows.append((f"{name}:0", *(e for f in model.features for e in ((given[f],) * 2 if f in given else theta.inputs[f]))))
+        rows.append((f"{name}:1", *(float(e) for pair in zip(*theta.box(knobs, knobs), strict=True) for e in pair)))
+    boxes = spark.createDataFrame(rows, "box string, " + ", ".join(f"`lo_{f}` double, `hi_{f}` double" for f in model.features))
+    got = {r["box"]: r["status"] for r in verify_boxes(model, boxes, condition).collect()}  # two rows for each witness
+    out = []
+    for name in witnesses:
+        here, firm = got[f"{name}:0"], got[f"{name}:1"]
+        out.append((name, "not a witness" if here == "FAIL" else "unknown" if "UNKNOWN" in (here, firm) else "stable witness" if firm == "PASS" else "witness, not stable"))
+    return spark.createDataFrame(out, "name string, status string")
+
+
 def as_queries(spark: SparkSession, model: Smooth, spec: sp.Spec, conditions: Mapping[str, str | ex.Node], **options) -> DataFrame:
     """(name, status, witness) of several stable queries."""
     rows = []

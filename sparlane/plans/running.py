@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import modes
+from ..operators import smooth
+from ..sources import spec as sp
+from ..stored import shared_folder
 from . import exploring as xp
 from .registry import ORACLE_SQL, query, table
 
@@ -26,6 +31,32 @@ def mode_predict(spark, d):
     return out.select("l_quantity", F.round("l_extendedprice_linear", 2).alias("predicted"))
 
 
+@query(f"{_FIT} SELECT o_custkey AS l_quantity, round(a + b * o_custkey, 2) AS predicted FROM (SELECT o_custkey FROM orders), m")
+def mode_predict_saved(spark, d):
+    """Q-10 A14: a model that one run saves and another loads, which has no training data."""
+    path = f"{shared_folder(spark)}/sparlane-model-{uuid.uuid4().hex}"
+    modes.run(spark, "train", data=f"{d}/lineitem.parquet", features=["l_quantity"], responses=["l_extendedprice"], model="linear", train_share=1, model_path=path, log="WARNING")
+    new = table(spark, d, "orders").select(F.col("o_custkey").alias("l_quantity"))
+    out = modes.run(spark, "predict", new_data=new, use_model=True, model_path=path, log="WARNING")
+    return out.select("l_quantity", F.round("l_extendedprice_linear", 2).alias("predicted"))
+
+
+_HILL = "SELECT avg(l_discount) * 100 AS c0, avg(l_quantity) AS m1, avg(l_tax) * 1000 AS m2 FROM lineitem"
+
+
+@query(f"WITH m AS ({_HILL}), p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, p_retailprice / 20 AS b, c0, m1, m2 FROM part, m), e AS (SELECT p_partkey, c0 + 0.02 * CASE WHEN m1 BETWEEN a - 2 AND a + 2 THEN 0 ELSE least((a - 2 - m1) * (a - 2 - m1), (a + 2 - m1) * (a + 2 - m1)) END - 0.01 * greatest((b - 3 - m2) * (b - 3 - m2), (b + 3 - m2) * (b + 3 - m2)) AS least FROM p) SELECT p_partkey, CASE WHEN least >= 2 THEN 'PASS' ELSE 'FAIL' END AS status FROM e WHERE abs(least - 2) > 1e-6")
+def verify_polynomial(spark, d):
+    """Whether a polynomial with coefficients from the data keeps a limit in the stability box of every part, by Bernstein bounds."""
+    c0, m1, m2 = table(spark, d, "lineitem").agg(F.avg("l_discount") * 100, F.avg("l_quantity"), F.avg("l_tax") * 1000).first()
+    c0, m1, m2 = float(c0), float(m1), float(m2)
+    terms = {(0, 0): c0 + 0.02 * m1 * m1 - 0.01 * m2 * m2, (1, 0): -0.04 * m1, (2, 0): 0.02, (0, 1): 0.02 * m2, (0, 2): -0.01}
+    model = smooth.Smooth(["a", "b"], {"y": smooth.polynomial_tensor(terms)})
+    knob = lambda label, rad: {"label": label, "interface": "knob", "type": "real", "rad-abs": rad}
+    spec = sp.from_dict({"version": "1.2", "variables": [knob("a", 2), knob("b", 3), {"label": "y", "interface": "output", "type": "real"}]})
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 20).alias("b"))
+    return smooth.verify(model, parts, spec, "y >= 2", "p_partkey").select(F.col("box").alias("p_partkey"), "status").where("status <> 'UNKNOWN'")
+
+
 @query("SELECT x, y, x * x - 3 * y AS z FROM (SELECT unnest([-1.0::DOUBLE, 0.0, 2.0]) AS x), (SELECT unnest([5.0::DOUBLE, 7.0]) AS y)")
 def mode_doe(spark, d):
     """The mode `doe` with a system that makes the design training data."""

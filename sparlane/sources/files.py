@@ -86,7 +86,7 @@ def trace_records(spark: SparkSession, path: str, kinds: Iterable[str] = ("r", "
 
     Lines are numbered by their place in the file, so one file is read in one task, as its order means something.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "text")).where("text <> ''")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text")).where("text <> ''")
     cut = lines.select("line", F.split("text", ",").alias("f")).select("line", F.col("f")[0].alias("kind"), F.slice("f", 2, 1000).alias("fields"))
     return cut.where(F.col("kind").isin(*kinds)).selectExpr("line", "kind", "fields", "count_if(kind = 'r') OVER (ORDER BY line ROWS UNBOUNDED PRECEDING) AS record")
 
@@ -101,16 +101,46 @@ def anonymised(df: DataFrame, keep: Iterable[str] = (), digits: int | None = Non
     return out, new
 
 
+def _place(path: str):
+    """The file system of a path as Spark sees it, and the path in it; None without a session."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return None, None
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def save_json(path: str, content) -> None:
-    """A small side file of the driver: bounds, levels, features, status. It is replaced as a whole."""
-    with open(path + ".new", "w") as f:
-        json.dump(content, f, indent=1, sort_keys=True, default=float)
-    os.replace(path + ".new", path)
+    """A small side file: bounds, levels, features, status. It is replaced as a whole, where Spark's own tables are: in whatever store the path names."""
+    text = json.dumps(content, indent=1, sort_keys=True, default=float)
+    fs, at = _place(path)
+    if fs is None:
+        with open(path, "w") as f:
+            f.write(text)
+        return
+    new = at.suffix(".new")
+    out = fs.create(new, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(at, False)
+    if not fs.rename(new, at):
+        raise OSError(f"{path} cannot be replaced")
 
 
 def load_json(path: str):
-    with open(path) as f:
-        return json.load(f)
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        with open(path) as f:
+            return json.load(f)
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def there(path: str) -> bool:
+    """Whether a file or folder exists in the store that the path names."""
+    fs, at = _place(path)
+    return os.path.exists(path) if fs is None else fs.exists(at)
 
 
 def options(defaults: Mapping, saved: Mapping | None = None, given: Mapping | None = None) -> dict:

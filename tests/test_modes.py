@@ -178,3 +178,51 @@ def test_missing_values_as_a_file(spark, tmp_path):
     assert json.load(open(f"{tmp_path}/missing.json")) == {"a": [1, 3], "b": [2]}
     with pytest.raises(ValueError):
         reports.save_missing(f"{tmp_path}/missing.json", places, most=2)
+
+
+HILL = {
+    "version": "1.2",
+    "variables": [{"label": "a", "interface": "knob", "type": "real", "range": [0, 20], "rad-abs": 1.0}, {"label": "b", "interface": "knob", "type": "real", "range": [-5, 5], "rad-abs": 0.5}, {"label": "y", "interface": "output", "type": "real"}],
+    "queries": {"high": "y >= 90", "low": "y >= 60"}, "assertions": {"fair": "y >= 60"}, "configurations": {"top": {"a": "12", "b": "1"}, "edge": {"a": "0", "b": "-5"}},
+    "witnesses": {"low": {"a": "12", "b": "1"}, "high": {"a": "0", "b": "0"}}, "objectives": {"best": "y"},
+}
+
+
+def _hill(spark):
+    x = spark.range(1600).select(((F.col("id") % 40) / 2).alias("a"), (F.floor(F.col("id") / 40) / 4 - 5).alias("b"))
+    return x.withColumn("y", 80 - F.pow(F.col("a") - 12, 2) - F.pow(F.col("b") - 1, 2))
+
+
+@pytest.mark.parametrize("scale", [False, True])
+def test_polynomials_are_explored(spark, scale, tmp_path):
+    """y = 80 - (a - 12)^2 - (b - 1)^2: 78.75 is the greatest least value of a box. Scaled and unscaled, trained and loaded."""
+    common = {"spec": HILL, "model": "poly", "scale": scale, "train_share": 1, "log": "WARNING"}
+    got = {r["name"]: r for r in modes.run(spark, "query", data=_hill(spark), model_path=f"{tmp_path}/m", **common).collect()}
+    assert got["high"].status == "FAIL" and got["low"].status == "PASS" and (got["low"].witness.a - 12) ** 2 < 20
+    again = {r["name"]: r["status"] for r in modes.run(spark, "query", use_model=True, model_path=f"{tmp_path}/m", **common).collect()}
+    assert again == {"high": "FAIL", "low": "PASS"}
+    verified = {r["configuration"]: r for r in modes.run(spark, "verify", data=_hill(spark), **common).collect()}
+    assert verified["top"].status == "PASS" and verified["edge"].status == "FAIL" and verified["edge"].counter_example.a <= 1
+    certified = {r["query"]: r["status"] for r in modes.run(spark, "certify", data=_hill(spark), **common).collect()}
+    assert certified == {"low": "stable witness", "high": "not a witness"}
+    best = modes.run(spark, "optimize", data=_hill(spark), epsilon=0.02, **common).first()
+    assert abs(best["threshold"] - 78.75) < 0.02 * 400 and abs(best["a"] - 12) < 4
+    assert modes.run(spark, "synthesize", data=_hill(spark), **common).first()["status"] == "PASS"
+
+
+def test_scaled_trees_are_explored(spark):
+    common = {"spec": HILL, "model": "dt", "data": _hill(spark), "train_share": 1, "log": "WARNING"}
+    got = [[tuple(r) for r in modes.run(spark, "query", scale=scale, **common).select("name", "status").collect()] for scale in (False, True)]
+    assert got[0] == got[1]
+    best = [modes.run(spark, "optimize", scale=scale, **common).first()["threshold"] for scale in (False, True)]
+    assert best[0] == pytest.approx(best[1], rel=1e-6)
+
+
+def test_a_saved_model_predicts_alone(spark, tmp_path):
+    data = _hill(spark).withColumn("kind", F.when(F.col("a") > 6, "late").otherwise("early"))
+    for kind in ("dt", "nn"):
+        common = {"features": ["a", "b", "kind"], "responses": ["y"], "scale": True, "train_share": 1, "model": kind, "model_path": f"file://{tmp_path}/{kind}", "log": "WARNING"}
+        both = modes.run(spark, "predict", data=data, new_data=data.drop("y"), **common)
+        alone = modes.run(spark, "predict", new_data=data.drop("y"), use_model=True, model_path=f"file://{tmp_path}/{kind}", log="WARNING")
+        key = lambda df, kind=kind: sorted((r["a"], r["b"], round(r[f"y_{kind}"], 6)) for r in df.collect())
+        assert key(both) == key(alone) and alone.count() == 1600
