@@ -16,7 +16,7 @@ TAKEN, BINS, BLOCK = 2, 64, 4096
 #: tell long texts apart, but at the limit, where a fifth of the words differ, two thirds of them are touched: three-word k-mers find
 #: those pairs, and two-word ones the short texts. SHORT[0] / SHORT[1] is `cut` or less, so no pair is torn.
 SHORT = (64, 80)
-LAYOUT = ((SHORT[0], 1 << 62, 5, 4), (SHORT[0], 1 << 62, 3, 32), (1, SHORT[1], 2, 20))
+LAYOUT = ((SHORT[0], 1 << 62, 5, 4), (SHORT[0], 1 << 62, 3, 30), (1, SHORT[1], 2, 20))
 WIDTH = sum(x[3] for x in LAYOUT)
 #: Rows of a bucket from which on the last round tests pairs inside the task, and up to which all its rows meet in one block.
 LARGE, SMALL = 48, 256
@@ -155,6 +155,60 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return out
 
 
+#: Diagonals of a band that one machine word holds, and pairs that are aligned at once.
+WORD, PAIRS = 60, 8192
+
+
+def edits_many(texts: list[np.ndarray], ia: np.ndarray, ib: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """`edits` of many pairs of texts: those whose band fits a machine word go column by column side by side, the others one by one."""
+    size = np.array([t.size for t in texts], np.int64)
+    swap = size[ia] < size[ib]
+    ia, ib = np.where(swap, ib, ia), np.where(swap, ia, ib)
+    shift = size[ia] - size[ib]
+    out = most + 1
+    x = np.maximum(most - shift, 0) // 2
+    width = shift + 2 * x + 1
+    able = (shift <= most) & (size[ib] > 0)
+    for p in np.flatnonzero((shift <= most) & ((width > WORD) | (size[ib] == 0))).tolist():
+        out[p] = edits(texts[ia[p]], texts[ib[p]], int(most[p]))
+    todo = np.flatnonzero(able & (width <= WORD))
+    todo = todo[np.argsort(-size[ib[todo]], kind="stable")]
+    for lo in range(0, todo.size, PAIRS):
+        at = todo[lo : lo + PAIRS]
+        out[at] = _aligned(texts, ia[at], ib[at], size, x[at], width[at], most[at])
+    return out
+
+
+def _aligned(texts, ia, ib, size, x, width, most) -> np.ndarray:
+    """Pairs by falling length of the second text. A column of each band is two 64-bit numbers, as in `edits`."""
+    wide, room = int(width.max()), int(x.max())
+    use, place = np.unique(np.concatenate([ia, ib]), return_inverse=True)
+    a, b = place[: ia.size], place[ia.size :]
+    words = np.zeros((use.size, room + int(size[use].max()) + wide), np.uint64)  # 0 is no word
+    for r, t in enumerate(use.tolist()):
+        words[r, room : room + texts[t].size] = texts[t]
+    n, one = size[ib], np.uint64(1)
+    bit = one << np.arange(wide, dtype=np.uint64)
+    full = (one << width.astype(np.uint64)) - one
+    goal = (size[ia] - n + x).astype(np.uint64)
+    up, down, out = full >> x.astype(np.uint64) << x.astype(np.uint64), np.zeros(ia.size, np.uint64), size[ia] - n
+    start = room - x
+    live = np.arange(ia.size)
+    for j in range(int(n[0])):
+        live = live[(n[live] > j) & (out[live] <= most[live])]
+        if not live.size:
+            break
+        same = words[a[live, None], start[live, None] + j + np.arange(wide)] == words[b[live], room + j][:, None]
+        match = np.where(same, bit, np.uint64(0)).sum(1, dtype=np.uint64) & full[live]
+        u, d, f = up[live], down[live], full[live]
+        level = (((match & u) + u) ^ u) | match | d
+        rise, fall = d | ~(level | u), level & u
+        out[live] += (level >> goal[live] & one) == 0
+        level = (level & f) >> one
+        up[live], down[live] = (fall | ~(level | rise)) & f, level & rise & f
+    return np.minimum(out, most + 1)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, cut: float) -> float:
     """1 - edits / words of the longer text; 0 if that is under `cut`."""
     longer = max(a.size, b.size)
@@ -255,11 +309,15 @@ def _links(text: list[np.ndarray], comp: np.ndarray, ia: np.ndarray, ib: np.ndar
     longer = np.array([max(text[i].size, text[j].size) for i, j in zip(x.tolist(), y.tolist(), strict=True)])
     common = np.array([common_words(bag[i], bag[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)])
     able = np.flatnonzero(longer - common <= most_edits(longer, cut))
-    for p in able[np.argsort(-common[able] / longer[able], kind="stable")].tolist():
-        i, j = int(x[p]), int(y[p])
-        if (i, comp[j]) not in done and similarity(text[i], text[j], cut) > 0:
-            done.add((i, comp[j]))
-            out.append((i, j))
+    able = able[np.argsort(-common[able] / longer[able], kind="stable")]
+    goal = x * names.size + number[y]  # a row and a component that it may link to
+    while able.size:
+        able = able[~np.isin(goal[able], list(done))]
+        now, able = able[:PAIRS], able[PAIRS:]
+        linked = now[edits_many(text, x[now], y[now], most_edits(longer[now], cut)) <= most_edits(longer[now], cut)]
+        linked = linked[np.unique(goal[linked], return_index=True)[1]]
+        done.update(goal[linked].tolist())
+        out += zip(x[linked].tolist(), y[linked].tolist(), strict=True)
     return out
 
 
@@ -359,7 +417,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, cut: float) -> DataFrame:
         for b in slices(batches, "ta"):
             _, _, ha, oa = words(*text_bytes(b.column(2)), WORD_BYTES)
             _, _, hb, ob = words(*text_bytes(b.column(3)), WORD_BYTES)
-            s = np.array([similarity(ha[oa[i] : oa[i + 1]], hb[ob[i] : ob[i + 1]], cut) for i in range(b.num_rows)])
+            text = [h[o[i] : o[i + 1]] for h, o in ((ha, oa), (hb, ob)) for i in range(b.num_rows)]
+            longer = np.maximum(np.diff(oa), np.diff(ob))
+            most, here = most_edits(longer, cut), np.arange(b.num_rows)
+            d = edits_many(text, here, here + b.num_rows, most)
+            s = np.where(d <= most, 1 - d / np.maximum(longer, 1), 0.0)
             at = np.flatnonzero(s > 0)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(s[at])], names=["a", "b", "similarity"])
 

@@ -244,6 +244,21 @@ def test_edits_are_exact():
         assert near.edits(a.astype(np.uint64), b.astype(np.uint64), most) == min(d, most + 1)
 
 
+def test_many_edits_are_those_one_by_one(monkeypatch):
+    monkeypatch.setattr(near, "PAIRS", 64)
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(40):
+        a = rng.integers(1, 6, rng.integers(0, 150)).astype(np.uint64)
+        texts += [a, a[rng.random(a.size) < 0.9], np.where(rng.random(a.size) < 0.1, np.uint64(9), a)]
+    ia, ib = rng.integers(0, 120, 1500), rng.integers(0, 120, 1500)
+    ia[:600], ib[:600] = np.arange(600) % 40 * 3, np.arange(600) % 40 * 3 + 1 + np.arange(600) // 300
+    most = rng.integers(0, 80, 1500)
+    got = near.edits_many(texts, ia, ib, most)
+    assert got.tolist() == [near.edits(texts[i], texts[j], int(m)) for i, j, m in zip(ia, ib, most, strict=True)]
+    assert (got[:600] <= most[:600]).sum() > 200
+
+
 def test_near_recall(spark):
     """Pairs with up to a tenth of the words replaced, deleted or inserted, judged by the plain distance."""
     rng = np.random.default_rng(7)
