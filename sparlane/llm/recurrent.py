@@ -258,6 +258,9 @@ class Lanes:
     def window(self, lo: int, hi: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Steps x lanes of targets (-1: none), inputs, document numbers, begins."""
         step = np.arange(lo, hi)[:, None]
+        if hi <= self.load[n - 1]:  # no lane ends in it
+            at = step + self.first[:n]
+            return self.target[at], self.input[at], self.doc[at], self.begin[at]
         there = step < self.load[:n]
         at = np.where(there, step + self.first[:n], 0)
         return np.where(there, self.target[at], np.int32(-1)), np.where(there, self.input[at], np.int32(self.none)), np.where(there, self.doc[at], np.int32(-1)), there & self.begin[at]
