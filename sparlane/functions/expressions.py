@@ -538,3 +538,100 @@ def smt2(node: Node) -> str:
         case If(c, a, b):
             return f"(ite {smt2(c)} {smt2(a)} {smt2(b)})"
     raise ExpressionError("no SMT-LIB form")
+
+
+_TOKEN = re.compile(r";[^\n]*|\|[^|]*\||[()]|[^\s()|;]+")
+
+
+def s_expressions(source: str) -> list:
+    """S-expressions as nested lists of tokens. A symbol in bars keeps its first bar, so that it is no keyword; comments are left out."""
+    stack: list[list] = [[]]
+    at = 0
+    for m in _TOKEN.finditer(source):
+        if source[at : m.start()].strip():
+            raise ExpressionError("an open bar")
+        at, t = m.end(), m[0]
+        if t == "(":
+            stack.append([])
+        elif t == ")":
+            if len(stack) == 1:
+                raise ExpressionError("a closing bracket too many")
+            done = stack.pop()
+            stack[-1].append(done)
+        elif not t.startswith(";"):
+            stack[-1].append(t[:-1] if t[0] == "|" else t)
+    if len(stack) > 1 or source[at:].strip():
+        raise ExpressionError("an open bracket or bar")
+    return stack[0]
+
+
+_NUMERAL = re.compile(r"\d+(\.\d+)?")
+
+
+def _term(t, bound: Mapping[str, Node]) -> Node:
+    go = lambda x: _term(x, bound)
+    if isinstance(t, str):
+        if t[0] == "|":
+            return bound.get(t[1:], Var(t[1:]))
+        if _NUMERAL.fullmatch(t):
+            return Num(Fraction(t))
+        return Bool(t == "true") if t in ("true", "false") else bound.get(t, Var(t))
+    if len(t) < 2 or not isinstance(t[0], str):
+        raise ExpressionError(f"no term: {t}")
+    op, rest = t[0], t[1:]
+    if op == "let":
+        new = {n.removeprefix("|"): go(x) for n, x in rest[0]}
+        return _term(rest[1], dict(bound) | new)
+    args = tuple(map(go, rest))
+    if op == "-" and len(args) == 1:
+        return Num(-args[0].value) if isinstance(args[0], Num) and args[0].value > 0 else Neg(args[0])
+    if op == "/" and all(isinstance(a, Num) for a in args) and len(args) == 2 and args[1].value:
+        return Num(args[0].value / args[1].value)
+    if op in ("+", "-", "*", "/") and len(args) > 1:
+        return reduce(lambda a, b: Arith(op, a, b), args)
+    if op in ("<", "<=", ">", ">=", "=") and len(args) > 1:
+        pairs = tuple(Compare("==" if op == "=" else op, a, b) for a, b in zip(args, args[1:], strict=False))
+        return pairs[0] if len(pairs) == 1 else Logic("and", pairs)
+    if op == "distinct" and len(args) > 1:
+        pairs = tuple(Compare("!=", a, b) for i, a in enumerate(args) for b in args[i + 1 :])
+        return pairs[0] if len(pairs) == 1 else Logic("and", pairs)
+    if op == "not" and len(args) == 1:
+        return Compare("!=", args[0].left, args[0].right) if isinstance(args[0], Compare) and args[0].op == "==" else Not(args[0])
+    if op in ("and", "or"):
+        return args[0] if len(args) == 1 else Logic(op, args)
+    if op == "=>" and len(args) > 1:
+        return reduce(lambda b, a: implies(a, b), args[-2::-1], args[-1])
+    if op == "xor" and len(args) == 2:
+        return Not(iff(*args))
+    if op == "ite" and len(args) == 3:
+        return If(*args)
+    raise ExpressionError(f"{op} with {len(args)} arguments")
+
+
+def parse_smt2(source: str) -> Node:
+    """Reads one SMT-LIB term: what `smt2` writes, and let, =>, xor, distinct, chained comparisons and sums of several terms.
+
+    Signed and fractional constants become numbers, and a negated equality a comparison, so these read back as `smt2` writes them.
+    """
+    found = s_expressions(source)
+    if len(found) != 1:
+        raise ExpressionError(f"{len(found)} terms, not one")
+    return _term(found[0], {})
+
+
+def parse_assertions(source: str) -> tuple[dict[str, str], list[Node]]:
+    """The declared constants with their sorts, and the asserted conditions, of an SMT-LIB script; other commands are passed over."""
+    sorts: dict[str, str] = {}
+    out = []
+    for c in s_expressions(source):
+        if not isinstance(c, list) or not c:
+            raise ExpressionError("a script is a list of commands")
+        if c[0] == "declare-const":
+            sorts[c[1].removeprefix("|")] = c[2]
+        elif c[0] == "declare-fun":
+            if c[2]:
+                raise ExpressionError(f"{c[1]} takes arguments")
+            sorts[c[1].removeprefix("|")] = c[3]
+        elif c[0] == "assert":
+            out.append(_term(c[1], {}))
+    return sorts, out

@@ -48,3 +48,36 @@ def test_columns_with_odd_names_and_partial_match(spark):
     assert tuple(got) == (2.0, 5)
     with pytest.raises(Exception, match="no case matches"):
         df.select(ex.column(ex.parse("Match(k, 7, 5, .)", infix=True), {"k": df["a b"]})).collect()
+
+
+_leaf = st.one_of(st.fractions(min_value=-9, max_value=9, max_denominator=20).map(ex.Num), st.sampled_from(["x", "y", "a b", "let", "p.q"]).map(ex.Var))
+
+
+def _numeric(inner):
+    ops = st.tuples(st.sampled_from("+-*"), inner, inner).map(lambda t: ex.Arith(*t))
+    return st.one_of(ops, inner.filter(lambda n: not isinstance(n, ex.Num)).map(ex.Neg))
+
+
+_number = st.recursive(_leaf, _numeric, max_leaves=8)
+_test = st.tuples(st.sampled_from(["<", "<=", ">", ">=", "==", "!="]), _number, _number).map(lambda t: ex.Compare(*t))
+_formula = st.recursive(
+    _test,
+    lambda inner: st.one_of(st.tuples(st.sampled_from(["and", "or"]), st.lists(inner, min_size=2, max_size=3).map(tuple)).map(lambda t: ex.Logic(*t)), inner.filter(lambda n: not (isinstance(n, ex.Compare) and n.op == "==")).map(ex.Not), st.tuples(inner, inner, inner).map(lambda t: ex.If(*t))),
+    max_leaves=6,
+)
+
+
+@given(_formula)
+@settings(max_examples=200, deadline=None)
+def test_smt_terms_read_back(node):
+    assert ex.parse_smt2(ex.smt2(node)) == node
+
+
+def test_smt_scripts_and_errors():
+    sorts, asserts = ex.parse_assertions("(set-logic QF_NRA) ; a comment (\n(declare-fun x () Real)(declare-const |a b| Int)\n(assert (let ((z (+ x 1 |a b|))) (=> (< 0 z 5) (distinct x |a b|))))(assert (xor (> x 0.5) (= x 1)))(check-sat)")
+    assert sorts == {"x": "Real", "a b": "Int"}
+    at = {"x": Fraction(1), "a b": Fraction(1)}
+    assert [ex.value(a, at) for a in asserts] == [False, False] and ex.value(asserts[0], at | {"a b": Fraction(9)})
+    for bad in ("(+ x", "x)", "(f x)", "(+ 1 2) x", "|x", "()", "(not x y)", ""):
+        with pytest.raises(ex.ExpressionError):
+            ex.parse_smt2(bad)
