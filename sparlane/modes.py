@@ -365,7 +365,7 @@ def _optimize(run: Run, condition) -> DataFrame:
     if run.pareto and len(goals) > 1:
         valued = c.withColumns({f"_{o}": ex.column(e).cast("double") for o, e in goals.items()})
         points = stable.stable(stable.critical_points(run.spark, s, c), s, c, condition)
-        got = explore.thresholds(points, s, valued, [f"_{o}" for o in goals], run.epsilon)
+        got = explore.thresholds(points, s, valued, [f"_{o}" for o in goals])
         steps = [{f"{o}_scaled": g["fixed"].get(f"_{o}", g["level"]) for o in goals} for g in got[:-1]]
         ends = {o: valued.agg(F.min(f"_{o}"), F.max(f"_{o}")).first() for o in goals}
         rows = [(o, got[-1]["objectives"][f"_{o}"], (got[-1]["objectives"][f"_{o}"] - ends[o][0]) / ((ends[o][1] - ends[o][0]) or 1.0), *(float(got[-1]["solution"][k]) for k in knobs)) for o in goals] if got else []

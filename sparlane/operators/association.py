@@ -11,11 +11,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from ..stored import stored
 from .prep import q
 from .ranks import rank_column, value_ranks
 
@@ -153,31 +155,61 @@ def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:
     return out.select("mi", "hx", "hy", F.when(F.col("hx") + F.col("hy") == 0, 1.0).otherwise(F.col("mi") / ((F.col("hx") + F.col("hy")) / 2)).alias("normalized_mi"))
 
 
-def expected_mi(a: Sequence[int], b: Sequence[int]) -> float:
-    """Mean mutual information of random tables with these margins (hypergeometric)."""
-    n, lg, out = sum(a), math.lgamma, 0.0
-    for x in a:
-        for y in b:
-            base = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1)
-            for k in range(max(1, x + y - n), min(x, y) + 1):
-                p = math.exp(base - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(n - x - y + k + 1))
-                out += p * k / n * math.log(n * k / (x * y))
-    return out
+def _chance(x: int, sizes: np.ndarray, n: int) -> np.ndarray:
+    """Mean part of the mutual information of a cell in random tables of `n` rows, with row sum `x` and each of the column sums `sizes` (hypergeometric).
 
+    Weights begin with 1 at the mode and follow by the ratio of neighbours, up and down, until they no longer count; their sum scales them.
+    """
+    b = sizes.astype(float)
+    low, high = np.maximum(0.0, x + b - n), np.minimum(float(x), b)
+    mode = np.clip(np.floor((x + 1.0) * (b + 1) / (n + 2.0)), low, high)
+    part = lambda k, b: np.where(k > 0, k / n * np.log(np.maximum(k, 1) * (n / x) / b), 0.0)
+    total, out = np.ones(b.size), part(mode, b)
+    for up in (True, False):
+        live, k, w = np.arange(b.size), mode.copy(), np.ones(b.size)
+        while live.size:
+            c = b[live]
+            w = w * (((x - k) * (c - k)) / ((k + 1) * (n - x - c + k + 1)) if up else k * (n - x - c + k) / ((x - k + 1) * (c - k + 1)))
+            k = k + 1 if up else k - 1
+            some = (w > 1e-22) & (k <= high[live]) & (k >= low[live])
+            live, k, w = live[some], k[some], w[some]
+            total[live] += w
+            out[live] += w * part(k, b[live])
+    return out / total
+
+
+def expected_mi(x: DataFrame, y: DataFrame, n: int) -> float:
+    """Mean mutual information (nats) of random tables of `n` rows with the margins (size, count) of distinct sizes.
+
+    Distinct sizes of `n` rows are at most the root of 2n: those of `y` go to all tasks, those of `x` are dealt out.
+    """
+    other = y.toArrow()
+    sizes, many = other["size"].to_numpy(), other["count"].to_numpy().astype(float)
+    ship(x.sparkSession)
 
-def adjusted_mi(df: DataFrame, x: str, y: str, most: int = 2000) -> float:
-    """Chance-corrected mutual information; may be negative. Collects the margins, of at most `most` levels each."""
-    t = contingency(df, x, y)
-    margins = []
-    for c in ("x", "y"):
-        rows = t.groupBy(c).agg(F.sum("n").alias("n")).limit(most + 1).collect()
-        if len(rows) > most:
-            raise ValueError(f"more than {most} levels")
-        margins.append([r["n"] for r in rows])
+    def run(batches):
+        for b in batches:
+            got = [float((_chance(s, sizes, n) * many).sum() * c) for s, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64())], names=["e"])
+
+    dealt = x.select("size", "count").repartition(x.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, "e double").agg(F.coalesce(F.sum("e"), F.lit(0.0))).first()[0]
+
+
+def adjusted_mi(df: DataFrame, x: str, y: str) -> float:
+    """Chance-corrected mutual information; may be negative. 1 where both sides have one level or none.
+
+    Levels of one size count together, whatever their number; expected values are summed in the tasks.
+    """
+    t = stored(contingency(df, x, y), "counts")
+    sums = [t.groupBy(c).agg(F.sum("n").alias("size")).groupBy("size").agg(F.count("*").alias("count")) for c in ("x", "y")]
+    levels = [s.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0] for s in sums]
+    if max(levels) <= 1:
+        return 1.0
     r = mutual_information(df, x, y).first()
-    e = expected_mi(*margins)
+    e = expected_mi(*sums, t.agg(F.sum("n")).first()[0])
     top = (r["hx"] + r["hy"]) / 2 - e
-    return 1.0 if len(margins[0]) == len(margins[1]) == 1 else (r["mi"] - e) / (top if abs(top) > 1e-15 else 1e-15)
+    return (r["mi"] - e) / (top if abs(top) > 1e-15 else 1e-15)
 
 
 def mi_of_correlation(r: Column) -> Column:

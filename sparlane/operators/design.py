@@ -38,6 +38,10 @@ def _decoded(spark: SparkSession, coded: list[tuple[float, ...]], levels: Levels
     return spark.createDataFrame(rows, ", ".join(f"`{k}` double" for k in ends))
 
 
+#: Products tried for one number of base factors; a search that goes on longer is an error, not a larger fraction.
+TRIES = 2_000_000
+
+
 def generators(factors: int, resolution: int, most: int = 16) -> tuple[int, list[tuple[int, ...]]]:
     """Base factors, and for each other factor the set of base factors whose product it is: the smallest fraction of the resolution.
 
@@ -53,8 +57,8 @@ def generators(factors: int, resolution: int, most: int = 16) -> tuple[int, list
                 return chosen
             for i in range(start, len(words)):
                 tries += 1
-                if tries > 200_000:
-                    return None
+                if tries > TRIES:
+                    raise ValueError(f"{factors} factors at resolution {resolution}: no answer on {base} base factors after {TRIES} tries")
                 new = [g ^ words[i] ^ 1 << base + len(chosen) for g in group]
                 if all(g.bit_count() >= resolution for g in new) and (out := extend([*chosen, words[i]], group + new, i + 1)) is not None:
                     return out

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as ex
 from ..shipping import ship
 from ..sources import spec as sp
+from ..stored import stored
 from .prep import q
 
 
@@ -58,39 +59,24 @@ def objective_range(leaves: DataFrame, objective: str = "value") -> DataFrame:
     return leaves.agg(F.min(q(objective)).alias("lower"), F.max(q(objective)).alias("upper"))
 
 
-def thresholds(candidates: DataFrame, spec: sp.Spec, leaves: DataFrame, objectives: Sequence[str], epsilon: float = 0.05, rounds: int = 20) -> list[dict]:
-    """Pareto by max-min: raise the least scaled objective as far as it goes, fix those that cannot rise by epsilon, go on with the rest."""
-    per = None
-    for o in objectives:
-        s = stable_values(candidates, spec, leaves, o).select(*map(q, candidates.columns), F.col("least").alias(o))
-        per = s if per is None else per.join(s, candidates.columns)
+def thresholds(candidates: DataFrame, spec: sp.Spec, leaves: DataFrame, objectives: Sequence[str]) -> list[dict]:
+    """Pareto by max-min: the candidate whose stable minima, scaled to [0, 1] and sorted, are the greatest from the least one on (ties: the least knobs).
+
+    So the least objective is raised as far as it goes, then the second least without lowering it, and so on. Gives a step for each level, with
+    the objectives that end there, then the solution and its objectives. Exact, by one pass over the candidates' minima.
+    """
+    features = [v.label for v in spec.variables if v.interface != "output" and f"lo_{v.label}" in leaves.columns]
+    names = candidates.columns
+    met = theta_boxes(candidates, spec).alias("t").join(leaves.alias("l"), meets(features))
+    per = stored(met.groupBy(*[F.col(f"t.`{c}`") for c in names]).agg(*[F.min(F.col(f"l.`{o}`")).alias(o) for o in objectives]), "minima").dropna("any", subset=list(objectives))
     ends = per.agg(*[e for o in objectives for e in (F.min(q(o)).alias(f"a_{o}"), F.max(q(o)).alias(f"z_{o}"))]).first()
-    if ends is None or ends[0] is None:
+    if ends[0] is None:
         return []
-    unit = {o: (q(o) - F.lit(ends[f"a_{o}"])) / F.lit((ends[f"z_{o}"] - ends[f"a_{o}"]) or 1.0) for o in objectives}
-    per = per.select("*", *[unit[o].alias(f"u_{o}") for o in objectives]).cache()
-    fixed: dict[str, float] = {}
-    steps = []
-    for _ in range(rounds):
-        free = [o for o in objectives if o not in fixed]
-        if not free:
-            break
-        ok = reduce(lambda a, b: a & b, [q(f"u_{o}") >= v - 1e-12 for o, v in fixed.items()], F.lit(True))
-        level = F.least(*[q(f"u_{o}") for o in free]) if len(free) > 1 else q(f"u_{free[0]}")
-        best = per.where(ok).agg(F.max(level)).first()[0]
-        stuck = []
-        for o in free:
-            rest = [q(f"u_{x}") >= best - 1e-12 for x in free if x != o]
-            top = per.where(reduce(lambda a, b: a & b, rest, ok)).agg(F.max(q(f"u_{o}"))).first()[0]
-            if top < best + epsilon:
-                stuck.append(o)
-        for o in stuck or free[:1]:
-            fixed[o] = best
-        steps.append({"level": best, "fixed": dict(fixed)})
-    ok = reduce(lambda a, b: a & b, [q(f"u_{o}") >= v - 1e-12 for o, v in fixed.items()], F.lit(True))
-    row = per.where(ok).orderBy(*map(q, candidates.columns)).first()
-    per.unpersist()
-    return [*steps, {"solution": {c: row[c] for c in candidates.columns}, "objectives": {o: row[o] for o in objectives}}]
+    unit = F.array(*[(q(o) - F.lit(ends[f"a_{o}"])) / F.lit((ends[f"z_{o}"] - ends[f"a_{o}"]) or 1.0) for o in objectives])
+    row = per.withColumn("_u", unit).orderBy(F.sort_array("_u").desc(), *map(q, names)).first()
+    level = dict(zip(objectives, row["_u"], strict=True))
+    steps = [{"level": v, "fixed": {o: u for o, u in level.items() if u <= v}} for v in sorted(set(level.values()))]
+    return [*steps, {"solution": {c: row[c] for c in names}, "objectives": {o: row[o] for o in objectives}}]
 
 
 def verify(points: DataFrame, center: Mapping[str, float], spec: sp.Spec, assertion: str) -> DataFrame:

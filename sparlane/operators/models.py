@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as ex
 from ..shipping import ship
 from ..sources.files import load_json, save_json, there
+from .neighbours import TableNeighbours, table_neighbours
 from .network import Network, train_network
 from .prep import q
 
@@ -62,7 +63,8 @@ class Fitted:
             m = self.models[r]
             if isinstance(m, PipelineModel):
                 m.write().overwrite().save(f"{path}/{i}")
-        save_json(f"{path}/model.json", {"kind": self.kind, "features": self.features, "responses": self.responses, "states": {r: m.state() for r, m in self.models.items() if not isinstance(m, PipelineModel)}})
+        states = {r: m.store(f"{path}/{i}") if isinstance(m, TableNeighbours) else m.state() for i, (r, m) in enumerate(self.models.items()) if not isinstance(m, PipelineModel)}
+        save_json(f"{path}/model.json", {"kind": self.kind, "features": self.features, "responses": self.responses, "states": states})
 
     save_all = save
 
@@ -70,7 +72,8 @@ class Fitted:
     def load(cls, path: str, *_) -> Fitted:
         side = load_json(f"{path}/model.json")
         kinds = {"nn": Network, "knn": Neighbours, "et": RandomTrees}
-        made = {r: kinds[side["kind"]].from_state(side["states"][r]) if r in side["states"] else PipelineModel.load(f"{path}/{i}") for i, r in enumerate(side["responses"])}
+        pick = lambda state: TableNeighbours if "path" in state else kinds[side["kind"]]
+        made = {r: pick(side["states"][r]).from_state(side["states"][r]) if r in side["states"] else PipelineModel.load(f"{path}/{i}") for i, r in enumerate(side["responses"])}
         return cls(side["kind"], side["features"], side["responses"], made)
 
     @classmethod
@@ -91,7 +94,7 @@ def train(df: DataFrame, features: Sequence[str], responses: Sequence[str], kind
 
 
 class Neighbours:
-    """Mean response of the k nearest kept training points (Euclid); of points at one distance those that come first."""
+    """Mean response of the k nearest training points (Euclid); of points at one distance those that come first."""
 
     def __init__(self, features: Sequence[str], out: str, points: np.ndarray, values: np.ndarray, k: int):
         self.features, self.out, self.points, self.values, self.k = list(features), out, points, values, k
@@ -120,10 +123,12 @@ class Neighbours:
         return cls(s["features"], s["out"], np.array(s["points"]), np.array(s["values"]), s["k"])
 
 
-def neighbours(df: DataFrame, features: Sequence[str], response: str, out: str, k: int = 5, most: int = 20_000) -> Neighbours:
-    """k-nearest-neighbour regression. Of more than `most` training rows those with the least hashes are kept: a sample of a stated size."""
+def neighbours(df: DataFrame, features: Sequence[str], response: str, out: str, k: int = 5, most: int = 20_000) -> Neighbours | TableNeighbours:
+    """k-nearest-neighbour regression over all training rows: up to `most` of them go to every task, more stay a table that queries are dealt to."""
+    if df.limit(most + 1).count() > most:
+        return table_neighbours(df, features, response, out, k)
     turn = F.xxhash64(*map(q, features), q(response))
-    rows = np.array([tuple(map(float, r)) for r in df.orderBy(turn, *map(q, [*features, response])).limit(most).select(*map(q, [*features, response])).collect()], float).reshape(-1, len(features) + 1)
+    rows = np.array([tuple(map(float, r)) for r in df.orderBy(turn, *map(q, [*features, response])).select(*map(q, [*features, response])).collect()], float).reshape(-1, len(features) + 1)
     if not len(rows):
         raise ValueError("no training rows")
     return Neighbours(features, out, rows[:, :-1], rows[:, -1], min(k, len(rows)))

@@ -175,3 +175,73 @@ def best(spark: SparkSession, space: Space, starts: list[tuple[float, np.ndarray
             frontier = rest.union(keep)
     found = sorted(found, key=lambda x: (-x[0], x[1]))[:most]
     return [(v, space.point(p)) for v, p in found]
+
+
+def remains(space: Space, lo: np.ndarray, hi: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Disjoint boxes of the places in a box that no cell covers and that the constraint allows; boxes that meet side to side are made one."""
+    out, stack = [], [(lo, hi, None)]
+    while stack:
+        lo, hi, active = stack.pop()
+        ok = space.allowed(lo, hi)
+        if ok is False:
+            continue
+        a, b = (space.first, space.last) if active is None else (space.first[active], space.last[active])
+        meets = np.flatnonzero((a <= hi).all(1) & (b >= lo).all(1))
+        active = meets if active is None else active[meets]
+        if not active.size:
+            if ok:
+                out.append((lo, hi))
+                continue
+            k = int((hi - lo).argmax())
+            left, right = hi.copy(), lo.copy()
+            left[k] = (lo[k] + hi[k]) // 2
+            right[k] = left[k] + 1
+            stack += [(lo, left, active), (right, hi, active)]
+            continue
+        a, b = a[meets], b[meets]
+        c = int(np.log(np.minimum(b, hi) - np.maximum(a, lo) + 1.0).sum(1).argmax())
+        lo, hi = lo.copy(), hi.copy()
+        for k in range(lo.size):  # the parts before and behind the cell; the rest is covered
+            if a[c, k] > lo[k]:
+                end = hi.copy()
+                end[k] = a[c, k] - 1
+                stack.append((lo.copy(), end, active))
+                lo[k] = a[c, k]
+            if b[c, k] < hi[k]:
+                start = lo.copy()
+                start[k] = b[c, k] + 1
+                stack.append((start, hi.copy(), active))
+                hi[k] = b[c, k]
+    return _joined(out)
+
+
+def _joined(boxes: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Boxes that agree on all knobs but one, and touch there, as one; until none is left."""
+    size = -1
+    while boxes and size != len(boxes):
+        size = len(boxes)
+        for k in range(boxes[0][0].size):
+            key = lambda x, k=k: (tuple(np.delete(x[0], k)), tuple(np.delete(x[1], k)), int(x[0][k]))
+            out: list = []
+            for lo, hi in sorted(boxes, key=key):
+                if out and key(out[-1])[:2] == key((lo, hi))[:2] and out[-1][1][k] + 1 == lo[k]:
+                    out[-1] = (out[-1][0], hi)
+                else:
+                    out.append((lo, hi))
+            boxes = out
+    return boxes
+
+
+def region(spark: SparkSession, space: Space, starts: list[tuple[float, np.ndarray, np.ndarray]]) -> DataFrame:
+    """(lo, hi): disjoint boxes of places that hold all configurations of the starting boxes that no cell of the space covers. Each start is cut in a task."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast(space)
+    rows = spark.createDataFrame([(lo.tolist(), hi.tolist()) for v, lo, hi in starts if v > -math.inf], "lo array<int>, hi array<int>")
+
+    def run(batches):
+        for b in batches:
+            got = [x for lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in remains(shared.value, np.array(lo, np.int32), np.array(hi, np.int32))]
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[s].tolist() for x in got], ints) for s in (0, 1)], names=["lo", "hi"])
+
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, 2)).mapInArrow(run, rows.schema)

@@ -282,6 +282,18 @@ def safe_points(spark: SparkSession, spec: sp.Spec, cells: DataFrame, condition:
     return spark.createDataFrame([tuple(x.values()) for _, x in found], kinds)
 
 
+def region(spark: SparkSession, spec: sp.Spec, cells: DataFrame, condition: str | ex.Node) -> DataFrame:
+    """(lo_<knob>, hi_<knob>): disjoint boxes, each (lo, hi], that together are the set of all stable configurations.
+
+    A knob of whole numbers or with a grid has those of its values that lie in the box. Boxes of one cell of the model's are joined where they meet.
+    """
+    space, starts, _, _ = space_of(spark, spec, cells, _firm(spec, cells, condition))
+    ends = [[math.nextafter(v[0], -math.inf), *v] if v.size else [] for v in space.values]
+    tables = [F.array(*[F.lit(float(x)) for x in e]) for e in ends]
+    out = search.region(spark, space, starts)
+    return out.select(*[c for i, k in enumerate(space.knobs) for c in (F.get(tables[i], F.col("lo")[i]).alias(f"lo_{k}"), F.get(tables[i], F.col("hi")[i] + 1).alias(f"hi_{k}"))])
+
+
 def bisect(spark: SparkSession, spec: sp.Spec, cells: DataFrame, objective: str, epsilon: float = 0.05, condition: str | ex.Node | None = None) -> DataFrame:
     """(step, threshold, status, lower, upper): halving of the objective's range until the greatest stable threshold is known to `epsilon` of it.
 

@@ -118,13 +118,29 @@ def mutual_information(spark, d):
     return _round(assoc.mutual_information(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus"))
 
 
-@query()
+def _adjusted(x: str, y: str) -> str:
+    """SQL: information of a table less that of random tables with its margins, by distinct pairs of margins and log-gamma."""
+    margin = lambda c: f"SELECT s, count(*) AS m FROM (SELECT count(*)::DOUBLE AS s FROM lineitem GROUP BY {c}) GROUP BY s"
+    entropy = lambda c: f"(SELECT -sum(c / n * ln(c / n)) FROM (SELECT count(*)::DOUBLE AS c FROM lineitem GROUP BY {c}), t)"
+    chance = "exp(lgamma(a.s + 1) + lgamma(b.s + 1) + lgamma(n - a.s + 1) + lgamma(n - b.s + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(a.s - k + 1) - lgamma(b.s - k + 1) - lgamma(n - a.s - b.s + k + 1)) * k / n * ln(n * k / (a.s * b.s))"
+    e = f"(SELECT sum(a.m * b.m * {chance}) FROM a, b, t, unnest(range(CAST(greatest(1, a.s + b.s - n) AS BIGINT), CAST(least(a.s, b.s) AS BIGINT) + 1)) AS r(k))"
+    return f"WITH t AS (SELECT count(*)::DOUBLE AS n FROM lineitem), a AS ({margin(x)}), b AS ({margin(y)}), h AS (SELECT {entropy(x)} AS hx, {entropy(y)} AS hy, {entropy(x + ', ' + y)} AS hxy, {e} AS e) SELECT round((hx + hy - hxy - e) / ((hx + hy) / 2 - e), 6) AS adjusted_mi FROM h"
+
+
+@query(_adjusted("l_returnflag", "l_linestatus"))
 def adjusted_mutual_information(spark, d):
     """Corrected for chance."""
     li = table(spark, d, "lineitem")
     return spark.createDataFrame([(round(assoc.adjusted_mi(li, "l_returnflag", "l_linestatus"), 6),)], "adjusted_mi double")
 
 
+@query(_adjusted("l_partkey", "l_suppkey"))
+def adjusted_information_of_keys(spark, d):
+    """Of two columns with a level for each part and supplier."""
+    li = table(spark, d, "lineitem")
+    return spark.createDataFrame([(round(assoc.adjusted_mi(li, "l_partkey", "l_suppkey"), 6),)], "adjusted_mi double")
+
+
 @query("WITH p AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem), s AS (SELECT count(*) AS n, greatest(1, CAST(floor(sqrt(count(*) / 5)) AS INTEGER)) AS k, min(x) AS ax, max(x) AS zx, min(y) AS ay, max(y) AS zy FROM p), b AS (SELECT least(CAST(floor((x - ax) / (zx - ax) * k) AS INTEGER), k - 1) AS bx, least(CAST(floor((y - ay) / (zy - ay) * k) AS INTEGER), k - 1) AS cy, n FROM p, s), h AS (SELECT (SELECT -sum(c / n::DOUBLE * log2(c / n::DOUBLE)) FROM (SELECT bx, any_value(n) AS n, count(*) AS c FROM b GROUP BY 1)) AS hx, (SELECT -sum(c / n::DOUBLE * log2(c / n::DOUBLE)) FROM (SELECT cy, any_value(n) AS n, count(*) AS c FROM b GROUP BY 1)) AS hy, (SELECT -sum(c / n::DOUBLE * log2(c / n::DOUBLE)) FROM (SELECT bx, cy, any_value(n) AS n, count(*) AS c FROM b GROUP BY 1, 2)) AS hxy) SELECT round(hx, 6) AS hx, round(hy, 6) AS hy, round(hxy, 6) AS hxy, round(hx + hy - hxy, 6) AS mi FROM h")
 def histogram_information(spark, d):
     """Entropies of a square histogram."""

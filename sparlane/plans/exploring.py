@@ -386,3 +386,24 @@ def search_knobs(spark, d):
         status = stable.query(spark, spec, cells, {"cheap": f"price <= {top}"}).first()["status"]
         rows.append((top, best["least"] if best else None, status))
     return spark.createDataFrame(rows, "price int, least double, status string")
+
+
+_PARETO = f"WITH c AS ({_CELLS}), g AS ({_FINE}), s AS (SELECT min(least) AS a, max(least) AS z, min(-most_tax) AS b, max(-most_tax) AS y FROM g), u AS (SELECT least, -most_tax AS thrift, (least - a) / (z - a) AS u, (-most_tax - b) / (y - b) AS w FROM g, s)"
+
+
+@query(f"{_PARETO} SELECT least AS ret, thrift, round(least(u, w), 9) AS level FROM u ORDER BY least(u, w) DESC, greatest(u, w) DESC LIMIT 1")
+def pareto_cells(spark, d):
+    """Max-min thresholds of two objectives over all real configurations of a cell model: the share of returned lines and low taxes."""
+    cells = stored(_table_cells(spark, d).withColumn("thrift", -F.col("tax")), "cells")
+    got = explore.thresholds(stable.critical_points(spark, _cell_spec(), cells), _cell_spec(), cells, ["ret", "thrift"])
+    row = (got[-1]["objectives"]["ret"], got[-1]["objectives"]["thrift"], round(got[0]["level"], 9))
+    return spark.createDataFrame([row], "ret double, thrift double, level double")
+
+
+@query(f"WITH c AS ({_CELLS}), g AS ({_FINE}) SELECT CAST(qty AS BIGINT) AS qty, line FROM g WHERE least >= 0.325 AND qty = floor(qty)")
+def region_cells(spark, d):
+    """The set of all stable configurations as boxes, and the whole numbers in them."""
+    boxes_ = stable.region(spark, _cell_spec(), _table_cells(spark, d), "ret >= 0.325")
+    whole = lambda k: F.explode(F.sequence((F.floor(f"lo_{k}") + 1).cast("bigint"), F.floor(f"hi_{k}").cast("bigint"))).alias(k)
+    some = boxes_.where("floor(lo_qty) < floor(hi_qty) AND floor(lo_line) < floor(hi_line)")
+    return some.select("*", whole("qty")).select("qty", whole("line"))

@@ -54,6 +54,9 @@ def test_search_equals_all_configurations(spark, monkeypatch, seed):
         for level in (1, 3, 5):
             firm = stable.stable(points, s, cells, f"y >= {level}").orderBy(*labels).collect()
             got = stable.query(spark, s, cells, {"q": f"y >= {level}"}).first()
+            boxes = stable.region(spark, s, cells, f"y >= {level}").collect()
+            held = [[b for b in boxes if all(b[f"lo_{k}"] < p[k] <= b[f"hi_{k}"] for k in labels)] for p in points.collect()]
+            assert all(len(h) <= 1 for h in held) and [tuple(p) for p, h in zip(points.collect(), held, strict=True) if h] == sorted(map(tuple, firm), key=[tuple(p) for p in points.collect()].index)
             assert got.status == ("PASS" if firm else "UNKNOWN" if more else "FAIL")
             assert (got.witness and tuple(got.witness)) == (tuple(map(float, firm[0])) if firm else None)
             assert [tuple(r) for r in stable.safe_points(spark, s, cells, f"y >= {level}", 4).collect()] == [tuple(r) for r in firm[:4]]
