@@ -33,7 +33,7 @@ def knobs(names, **more):
     return sp.from_dict({"version": "1.2", "variables": [*variables, {"label": "y", "interface": "output", "type": "real"}]} | more)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_search_equals_all_configurations(spark, monkeypatch, seed):
     monkeypatch.setattr(search, "FIRST", [1, 3, 200, 7][seed])
     monkeypatch.setattr(search, "BUDGET", [5, 40, 4000, 11][seed])
@@ -51,15 +51,17 @@ def test_search_equals_all_configurations(spark, monkeypatch, seed):
         labels = [v.label for v in s.knobs]
         values = explore.stable_values(points, s, cells, "y").orderBy(F.desc("least"), *labels).collect()
         assert [tuple(r) for r in stable.optimize(spark, s, cells, "y").collect()] == [tuple(values[0])]
-        for level in (1, 3, 5):
+        for level in (1, 3):
             firm = stable.stable(points, s, cells, f"y >= {level}").orderBy(*labels).collect()
             got = stable.query(spark, s, cells, {"q": f"y >= {level}"}).first()
-            boxes = stable.region(spark, s, cells, f"y >= {level}").collect()
-            held = [[b for b in boxes if all(b[f"lo_{k}"] < p[k] <= b[f"hi_{k}"] for k in labels)] for p in points.collect()]
-            assert all(len(h) <= 1 for h in held) and [tuple(p) for p, h in zip(points.collect(), held, strict=True) if h] == sorted(map(tuple, firm), key=[tuple(p) for p in points.collect()].index)
             assert got.status == ("PASS" if firm else "UNKNOWN" if more else "FAIL")
             assert (got.witness and tuple(got.witness)) == (tuple(map(float, firm[0])) if firm else None)
             assert [tuple(r) for r in stable.safe_points(spark, s, cells, f"y >= {level}", 4).collect()] == [tuple(r) for r in firm[:4]]
+        boxes = stable.region(spark, s, cells, "y >= 3").collect()
+        every, firm = points.collect(), set(map(tuple, stable.stable(points, s, cells, "y >= 3").collect()))
+        ends = [np.array([[b[f"{e}_{k}"] for k in labels] for b in boxes]).reshape(-1, len(labels)) for e in ("lo", "hi")]
+        held = [int(((ends[0] < np.array(p)) & (np.array(p) <= ends[1])).all(1).sum()) for p in every]
+        assert held == [int(tuple(p) in firm) for p in every]
         under = stable.optimize(spark, s, cells, "y", "y <= 3").collect()
         want = explore.stable_values(stable.stable(points, s, cells, "y <= 3"), s, cells, "y").orderBy(F.desc("least"), *labels).collect()
         assert [tuple(r) for r in under] == [tuple(r) for r in want[:1]]
