@@ -107,8 +107,7 @@ def test_pipeline_on_edges(spark, edge, sf_dir):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, sf_dir, name):
     out = queries.QUERIES[name](spark, sf_dir)
-    key = "vec_id" if name.startswith("op2_") else "doc_id"
-    table = "embeddings" if name.startswith("op2_") else "documents"
+    key, table = {"op2": ("vec_id", "embeddings"), "op12": ("page_id", "pages")}.get(name.partition("_")[0], ("doc_id", "documents"))
     assert out.select(key).distinct().count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).distinct().count()
 
 
