@@ -202,3 +202,20 @@ def test_article_of_every_page(spark, sf_dir):
         text = "\n".join(p for p in parts if p)
         want.append((r.page_id, r.url, text, len(text)))
     assert sorted(map(tuple, extract.main_text(pages).collect())) == sorted(want)
+
+
+def test_what_a_host_adds_to_its_articles(spark):
+    call = "Subscribe to the herald today and never miss a story from our newsroom again"
+    foot = "Reporting by the staff of the herald in the city and abroad since 1901"
+    shared = "a passage that some of the articles share word by word is their own text"
+    rows, want = [], {}
+    for i in range(20):
+        own = [" ".join(f"w{i}x{j}y{k}" for k in range(30)) for j in range(2)] + ([shared] if i < 9 else [])
+        rows.append((i, f"https://Herald.example.com/{i}", f"<nav>Home</nav><article><p>{own[0]}</p><p>{call.upper() if i % 2 else call}</p>" + "".join(f"<p>{x}" for x in own[2:]) + f"<p>{own[1]} {foot}</p></article>"))
+        want[i] = "\n".join([own[0], *own[2:], own[1]])
+        rows.append((100 + i, f"https://other{i}.example.com/", f"<article><p>{own[0]}</p><p>{call}</p></article>"))
+        want[100 + i] = f"{own[0]}\n{call}"
+        rows.append((200 + i, "https://copies.example.com/", f"<article><p>{' '.join(f'c{k}' for k in range(40))} {i}</p></article>"))
+        want[200 + i] = " ".join(f"c{k}" for k in range(40)) + f" {i}"
+    got = extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == want and len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
