@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from .prep import logistic, q
 
 
+def _frame(groups: Sequence[str], timing: str, radius: float, closed: bool):
+    hi = math.floor(radius) if closed else math.ceil(radius) - 1
+    return Window.partitionBy(*map(q, groups)).orderBy(q(timing)).rangeBetween(-math.floor(radius), hi)
+
+
 def eye(df: DataFrame, groups: Sequence[str], timing: str, delta: str, radius: float, closed: bool = False) -> DataFrame:
     """Adds `width` (last less first timing, plus 1) and `height` (least delta) of the rows within `radius` before and after.
 
     The window is [-radius, radius), or with `closed` [-radius, radius]; timings are integers, so a fractional radius is cut to
     the integers in it.
     """
-    hi = math.floor(radius) if closed else math.ceil(radius) - 1
-    w = Window.partitionBy(*map(q, groups)).orderBy(q(timing)).rangeBetween(-math.floor(radius), hi)
+    w = _frame(groups, timing, radius, closed)
     return df.withColumns({"width": F.max(q(timing)).over(w) - F.min(q(timing)).over(w) + 1, "height": F.min(q(delta)).over(w)})
 
 
@@ -30,9 +34,16 @@ def area(df: DataFrame, groups: Sequence[str], timing: str, delta: str, radius:
 
 
 def radii(df: DataFrame, groups: Sequence[str], timing: str, delta: str, each: Sequence[float], closed: bool = False) -> DataFrame:
-    """`eye` for several radii, one under the other without repeated rows; `radius` tells which."""
-    parts = [eye(df, groups, timing, delta, r, closed).withColumn("radius", F.lit(float(r))) for r in each]
-    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+    """`eye` for several radii, one under the other without repeated rows; `radius` tells which.
+
+    Equal rows have equal windows, so repeats go before; then all radii are frames over one sort, and no row with its results is compared again.
+    """
+    cells = []
+    for r in sorted({float(r) for r in each}):
+        w = _frame(groups, timing, r, closed)
+        cells.append(F.struct((F.max(q(timing)).over(w) - F.min(q(timing)).over(w) + 1).alias("width"), F.min(q(delta)).over(w).alias("height"), F.lit(r).alias("radius")))
+    rows = df.distinct().withColumn("_eyes", F.array(*cells))
+    return rows.select(*map(q, df.columns), F.explode("_eyes").alias("_eye")).select(*map(q, df.columns), "_eye.*")
 
 
 def pivot_responses(df: DataFrame, inputs: Sequence[str], category: str, responses: Sequence[str], levels: Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparlane.operators import association, boxes, design, subgroups
+from sparlane.operators import association, boxes, design, subgroups, windows
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -84,3 +84,14 @@ def test_box_join_with_dense_cells(spark, monkeypatch, cell):
     semi = boxes.box_join(p, b, ["x", "y"], "left_anti").select("p.id").collect()
     assert {r[0] for r in semi} == {r[0] for r in points} - {i for i, _ in want}
     assert p.where(F.lit(False)).count() == 0
+
+
+def test_radii_are_frames_over_one_sort(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(a), int(b), float(c)) for a, b, c in np.column_stack([rng.integers(0, 4, 300), rng.integers(0, 60, 300), rng.integers(0, 9, 300)])]
+    df = spark.createDataFrame(rows + rows[:50], "g long, t long, v double")
+    got = windows.radii(df, ["g"], "t", "v", [3, 10, 3])
+    want = {(g, t, v, max(b) - min(b) + 1, min(c), float(r)) for r in (3, 10) for g, t, v in rows for b, c in [zip(*[(y, z) for x, y, z in rows if x == g and t - r <= y < t + r], strict=True)]}
+    assert got.columns == ["g", "t", "v", "width", "height", "radius"] and sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.index("Aggregate") > plan.index("Window [")
