@@ -17,6 +17,7 @@ from .operators import boxes, design, discretize, explore, models, prep, selecti
 from .operators.prep import q
 from .sources import files, reports
 from .sources import spec as sp
+from .stored import stored
 
 #: Options and their defaults. Given ones go before those of a saved run, these before the defaults.
 DEFAULTS: dict[str, object] = {
@@ -80,6 +81,8 @@ def prepared(run: Run, which: str = "data") -> tuple[DataFrame, list[str]]:
     known = [r for r in run.outputs if r in df.columns]
     feats = run.inputs(df)
     df = df.withColumn("_row", q(run.row_id) if run.row_id else F.xxhash64(*map(q, df.columns))).select("_row", *map(q, [*feats, *known]))
+    if isinstance(getattr(run, which), DataFrame) and which == "data":
+        df = stored(df, "rows")  # may be a join or an aggregate, which the jobs below would each run again
     if which == "data":
         prep.check_responses(df, run.outputs)
         df = prep.drop_null_responses(df, known)

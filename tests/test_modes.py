@@ -226,3 +226,15 @@ def test_a_saved_model_predicts_alone(spark, tmp_path):
         alone = modes.run(spark, "predict", new_data=data.drop("y"), use_model=True, model_path=f"file://{tmp_path}/{kind}", log="WARNING")
         key = lambda df, kind=kind: sorted((r["a"], r["b"], round(r[f"y_{kind}"], 6)) for r in df.collect())
         assert key(both) == key(alone) and alone.count() == 1600
+
+
+def test_given_rows_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(i):
+        seen.add(1)
+        return (i, float(i % 7), float(i % 3), float(i % 7 > 4))
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(140), 2).map(read), "id long, a double, b double, y double")
+    out = modes.run(spark, "subgroups", data=df, row_id="id", features=["a", "b"], responses=["y"], measure="mean_1", depth=2, top=3, log="WARNING")
+    assert out.count() > 0 and seen.value == 140
