@@ -13,6 +13,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -202,8 +203,11 @@ def refute(model: Smooth, condition: ex.Node, todo: list[tuple], budget: int) ->
 def verify_boxes(model: Smooth, boxes: DataFrame, condition: str | ex.Node, budget: int = BUDGET, rounds: int = ROUNDS) -> DataFrame:
     """(box, status, counter_example) for rows (box, lo_<feature>, hi_<feature>): whether the condition holds all over each box.
 
-    The counter-example has the features in their order. `box` names a row and does not repeat; ends are finite.
+    The counter-example has the features in their order. `box` names a row and does not repeat; ends are finite. A task opens an Arrow batch of boxes
+    at a time. A round opens as many boxes as `budget` gives all tasks, or as many as there were at first if these are more.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = boxes.sparkSession
     ship(spark)
     node = ex.parse(condition) if isinstance(condition, str) else condition
@@ -212,29 +216,34 @@ def verify_boxes(model: Smooth, boxes: DataFrame, condition: str | ex.Node, budg
     ends = [F.array(*[q(f"{s}_{f}").cast("double") for f in model.features]).alias(s) for s in ("lo", "hi")]
     schema = f"box {kind}, failed boolean, lo array<double>, hi array<double>"
 
-    def run(batches):
-        todo, done = [], []
-        for b in batches:
-            t = b.to_pydict()
-            for key, wrong, lo, hi in zip(t["box"], t["failed"], t["lo"], t["hi"], strict=True):
-                (done if wrong else todo).append((key, np.array(lo), np.array(hi)))
-        failed, left = refute(model, node, todo, budget)
-        rows = [(k, True, a, b) for k, a, b in done] + [(k, True, x, x) for k, x in failed.items()] + [(k, False, a, b) for k, a, b in left]
-        key, wrong, lo, hi = zip(*rows, strict=True) if rows else ((),) * 4
-        many = pa.list_(pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(key, type_of), pa.array(wrong, pa.bool_()), pa.array([x.tolist() for x in lo], many), pa.array([x.tolist() for x in hi], many)], names=["box", "failed", "lo", "hi"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
+    many = pa.list_(pa.float64())
     type_of = to_arrow_type(boxes.schema["box"].dataType)
-    frontier = boxes.select("box", F.lit(False).alias("failed"), *ends)
+
+    def opened(share: float):
+        def run(batches):
+            for b in batches:
+                t = b.to_pydict()
+                todo = [(key, np.array(lo), np.array(hi)) for key, lo, hi in zip(t["box"], t["lo"], t["hi"], strict=True)]
+                failed, left = refute(model, node, todo, min(max(budget, len(todo)), math.ceil(len(todo) * share)))
+                rows = [(k, True, x, x) for k, x in failed.items()] + [(k, False, a, b) for k, a, b in left]
+                key, wrong, lo, hi = zip(*rows, strict=True) if rows else ((),) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(key, type_of), pa.array(wrong, pa.bool_()), pa.array([x.tolist() for x in lo], many), pa.array([x.tolist() for x in hi], many)], names=["box", "failed", "lo", "hi"])
+
+        return run
+
+    frontier = boxes.select("box", *ends)
+    tasks = spark.sparkContext.defaultParallelism
+    first = size = frontier.count()
+    hits = []
     for _ in range(rounds):
-        table = stored(frontier.mapInArrow(run, schema), "frontier")
-        hit = table.where("failed").groupBy("box").agg(F.min("lo").alias("counter_example"))
-        rest = table.where("NOT failed").join(hit, "box", "left_anti")
-        if rest.isEmpty():
+        table = stored(frontier.mapInArrow(opened(max(budget * tasks, first) / max(size, 1)), schema), "frontier")
+        hits.append(table.where("failed").select("box", "lo"))
+        rest = table.where("NOT failed").join(hits[-1], "box", "left_anti")
+        size = rest.count()
+        if not size:
             break
-        frontier = rest.union(table.where("failed")).repartition(spark.sparkContext.defaultParallelism)
+        frontier = rest.select("box", "lo", "hi").repartition(tasks)
+    hit = reduce(DataFrame.union, hits).groupBy("box").agg(F.min("lo").alias("counter_example"))
     open_ = rest.select("box", F.lit(True).alias("open")).distinct()
     status = F.when(F.col("counter_example").isNotNull(), "FAIL").when(F.col("open"), "UNKNOWN").otherwise("PASS")
     return boxes.select("box").join(hit, "box", "left").join(open_, "box", "left").select("box", status.alias("status"), "counter_example")

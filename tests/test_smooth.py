@@ -111,3 +111,10 @@ def test_fitted_polynomials_give_their_predictions(spark, kind):
     want = [r[f"y_{kind}"] for r in m.predict(data).collect()]
     assert np.allclose(got, want, atol=1e-6)
     assert isinstance(ex.parse("y >= 1"), ex.Node)
+
+
+def test_more_boxes_than_the_budget_are_all_opened(spark):
+    model = smooth.Smooth(["x"], {"y": smooth.polynomial_tensor({(0,): 0.0, (1,): 1.0})})
+    boxes = spark.range(12_000).select(F.col("id").alias("box"), F.col("id").cast("double").alias("lo_x"), (F.col("id") + 0.5).alias("hi_x")).coalesce(1)
+    got = {r["status"]: r["count"] for r in smooth.verify_boxes(model, boxes, "y >= 5999.75", budget=1, rounds=1).groupBy("status").count().collect()}
+    assert got == {"PASS": 6000, "FAIL": 6000}
