@@ -64,11 +64,13 @@ def inside(axes: Sequence[str], point: str = "p", box: str = "b", half_open: Seq
 
 #: Points of a cell that one task of the join takes, about.
 CELL_ROWS = 200_000
+#: So many points or fewer go to all tasks, so that boxes need not move; more boxes than `COPIED` are never copied to all tasks.
+FEW_POINTS, COPIED = 10_000, 100_000
 
 
-def _plan(points: DataFrame, boxes: DataFrame, axes: Sequence[str]) -> tuple[str | None, float, float, float, int]:
-    """The axis on which boxes are narrowest for the points' spread, a cell width, the points' range on it, and their number: one row."""
-    b = boxes.agg(*[F.expr(f"avg(`hi_{c}` - `lo_{c}`)").alias(c) for c in axes], *[F.bool_or(F.col(f"`lo_{c}`").isNull() | F.col(f"`hi_{c}`").isNull()).alias(f"open_{c}") for c in axes])
+def _plan(points: DataFrame, boxes: DataFrame, axes: Sequence[str]) -> tuple[str | None, float, float, float, int, int]:
+    """The axis on which boxes are narrowest for the points' spread, a cell width, the points' range on it, and the numbers of both: one row."""
+    b = boxes.agg(F.count("*").alias("boxes"), *[F.expr(f"avg(`hi_{c}` - `lo_{c}`)").alias(c) for c in axes], *[F.bool_or(F.col(f"`lo_{c}`").isNull() | F.col(f"`hi_{c}`").isNull()).alias(f"open_{c}") for c in axes])
     p = points.agg(F.count("*").alias("n"), *[e for c in axes for e in (F.min(q(c)).cast("double").alias(f"a_{c}"), F.max(q(c)).cast("double").alias(f"z_{c}"))])
     r = b.crossJoin(p).first()
     best, share = None, 1.0
@@ -80,9 +82,9 @@ def _plan(points: DataFrame, boxes: DataFrame, axes: Sequence[str]) -> tuple[str
         if s < share:
             best, share = c, s
     if best is None:
-        return None, 0.0, 0.0, 0.0, r["n"]
+        return None, 0.0, 0.0, 0.0, r["n"], r["boxes"]
     lo, hi = r[f"a_{best}"], r[f"z_{best}"]
-    return best, max(share * (hi - lo) / CELLS_A_BOX * 2, (hi - lo) / 100_000), lo, hi, r["n"]
+    return best, max(share * (hi - lo) / CELLS_A_BOX * 2, (hi - lo) / 100_000), lo, hi, r["n"], r["boxes"]
 
 
 def box_join(points: DataFrame, boxes: DataFrame, axes: Sequence[str], how: str = "inner", half_open: Sequence[str] = (), salt: int | None = None) -> DataFrame:
@@ -92,9 +94,10 @@ def box_join(points: DataFrame, boxes: DataFrame, axes: Sequence[str], how: str
     a point to its own cell; so the join is an equi-join by cell with the full test on top. With boxes that are open on every
     axis the join has no key and is a nested loop. The points of a cell are dealt to `salt` tasks, to which its boxes are
     copied; by default to as many as give each about `CELL_ROWS` points, by a count of each cell where there are more in all.
+    An inner join with few points copies these instead, and deals out no box. Many boxes are not copied to all tasks, however small their table looks.
     Both sides are read twice, once for the ends, so costly ones should be written first.
     """
-    axis, width, low, high, n = _plan(points, boxes, axes)
+    axis, width, low, high, n, m = _plan(points, boxes, axes)
     p, b = points.alias("p"), boxes.alias("b")
     test = inside(axes, half_open=half_open)
     if axis is None:
@@ -104,6 +107,8 @@ def box_join(points: DataFrame, boxes: DataFrame, axes: Sequence[str], how: str
     lo = cell(F.greatest(F.col(f"`lo_{axis}`"), F.lit(low)))
     hi = cell(F.least(F.col(f"`hi_{axis}`"), F.lit(high)))
     keyed = boxes.where(hi >= lo).withColumn("_cell", F.explode(F.sequence(lo, hi)))
+    if how == "inner" and salt is None and n <= FEW_POINTS:
+        return F.broadcast(spots).alias("p").join(keyed.alias("b"), (F.col("p._cell") == F.col("b._cell")) & test)
     turn = F.xxhash64(F.monotonically_increasing_id())
     if salt is None and n > CELL_ROWS:
         # at most n / CELL_ROWS cells are dense, whatever the data: a small table
@@ -113,6 +118,8 @@ def box_join(points: DataFrame, boxes: DataFrame, axes: Sequence[str], how: str
     else:
         keyed = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit((salt or 1) - 1))))
         spots = spots.withColumn("_salt", F.pmod(turn, F.lit(salt or 1)).cast("int"))
+    if m > COPIED:
+        keyed = keyed.hint("merge")
     return spots.alias("p").join(keyed.alias("b"), (F.col("p._cell") == F.col("b._cell")) & (F.col("p._salt") == F.col("b._salt")) & test, how)
 
 
@@ -125,6 +132,8 @@ def ball_check(data: DataFrame, configs: DataFrame, axes: Sequence[Axis], config
     names = [a.column for a in axes]
     boxes = with_boxes(configs, axes).select(q(config_id).alias("_config"), *[q(f"{s}_{c}") for c in names for s in ("lo", "hi")])
     points = data.select(*map(q, names), objective.cast("double").alias("_value"))
+    # a configuration's boxes and pairs stay in its task, which has about CELL_ROWS / 4 of them
+    boxes = boxes.repartition(max(1, -(-4 * boxes.count() // CELL_ROWS)), "_config")
     points = points.groupBy(*map(q, names)).agg(F.count("*").alias("_inside"), F.count_if(F.col("_value") >= threshold).alias("_passed"), F.count_if(F.col("_value") < threshold).alias("_failed"))
     j = box_join(points, boxes, names, half_open=ints)
     return j.groupBy(F.col("b._config").alias("config")).agg(*[F.sum(f"p._{c}").alias(c) for c in ("inside", "passed", "failed")])

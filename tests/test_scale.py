@@ -95,3 +95,24 @@ def test_radii_are_frames_over_one_sort(spark):
     assert got.columns == ["g", "t", "v", "width", "height", "radius"] and sorted(map(tuple, got.collect())) == sorted(want)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1 and plan.index("Aggregate") > plan.index("Window [")
+
+
+@pytest.mark.parametrize("few, copied, rows", [(10_000, 100_000, 40), (0, 100_000, 5), (0, 10, 5), (0, 10, 200_000)])
+def test_balls_of_many_configurations(spark, monkeypatch, few, copied, rows):
+    for name, value in (("FEW_POINTS", few), ("COPIED", copied), ("CELL_ROWS", rows)):
+        monkeypatch.setattr(boxes, name, value)
+    rng = np.random.default_rng(4)
+    conf = [(i, int(a), float(b)) for i, (a, b) in enumerate(np.column_stack([rng.integers(0, 12, 90), rng.uniform(0, 3, 90)]))]
+    data = [(int(a), float(b), float(v)) for a, b, v in np.column_stack([rng.integers(0, 12, 400), rng.integers(0, 4, 400), rng.integers(0, 9, 400)])]
+    want = {}
+    for i, a, b in conf:
+        near = [v for x, y, v in data if a - 2 <= x < a + 2 and b - 0.5 <= y <= b + 0.5]
+        if near:
+            want[i] = (len(near), sum(v >= 4 for v in near), sum(v < 4 for v in near))
+    got = boxes.ball_check(spark.createDataFrame(data, "q long, t double, v double"), spark.createDataFrame(conf, "id long, q long, t double"), [boxes.Axis("q", rad_abs=2), boxes.Axis("t", rad_abs=0.5)], "id", F.col("v"), 4, ints=["q"])
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    if few:  # the points are copied, and a configuration's pairs are summed where its boxes are, a few configurations in each task
+        assert "BuildLeft" in plan and got.rdd.getNumPartitions() == 9
+    elif copied < 90:
+        assert "SortMergeJoin" in plan
