@@ -204,3 +204,16 @@ def test_counts_with_ties():
     vit = counts.Viterbi([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁", -1.0), ("▁a", -2.0), ("aba", -3.0)])
     assert vit.run("▁ab") == (-3.0, 2)
     assert vit.run("▁é")[1] == 2
+
+
+def test_odd_characters_are_found_in_bytes():
+    import re
+
+    import numpy as np
+
+    odd = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]|\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
+    every = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    mixed = "".join(np.random.default_rng(0).permutation(list(every)))
+    for text in ("", "a", "\xa0", "x\u3000", "\u2028", "é", "\x7f\t\n", every, mixed):
+        raw = text.encode()
+        assert tokens.odd_places(np.frombuffer(raw, np.uint8)).tolist() == [m.start() for m in odd.finditer(raw)]
