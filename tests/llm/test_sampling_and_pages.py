@@ -219,3 +219,12 @@ def test_what_a_host_adds_to_its_articles(spark):
         want[200 + i] = " ".join(f"c{k}" for k in range(40)) + f" {i}"
     got = extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
     assert {r.page_id: r.text for r in got} == want and len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_what_one_article_repeats_is_its_own(spark):
+    line = "one line that a single article says again and again"
+    rows = [(i, "http://few.example.com/", "<article>" + "".join(f"<p>{' '.join(f'v{i}x{j}y{k}' for k in range(20))}" for j in range(3)) + (f"<p>{line}" * 9 if i < 2 else "") + "</article>") for i in range(8)]
+    rows += [(9 + i, "http://few.example.com/copy", rows[0][2]) for i in range(9)]
+    table = extract.parsed(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    totals = spark.createDataFrame([(8,)], "total long").join(table.select(extract.F.xxhash64(extract.host(extract.F.col("url"))).alias("host")).distinct())
+    assert extract.site_blocks(table, totals, extract.WORDS, extract.ARTICLES) is None
