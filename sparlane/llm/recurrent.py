@@ -27,6 +27,8 @@ LANES, WIDE, WINDOW, ROUNDS, RATE = 192, 768, 24, 2, 0.03
 #: Tokens of a step at least, and tokens that a task scores and learns at a time: long texts then share their windows with more others.
 BATCH, PART, TEACH = 3_000, 800_000, 1_600_000
 END = np.uint64(0x656E64)
+#: Logits up to which exponentials are taken as they are.
+FAR = 60
 SMOOTH = 0.1
 
 
@@ -104,6 +106,20 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(*(np.array(x) for x in (*head, *common)), int(total), int(distinct))
 
 
+def _softmax(a: np.ndarray, w: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each row's goal, and the rows' sums; the logits `a` become their exponentials.
+
+    States are within -1 and 1, so the weights `w` (their last row is the bias) bound the logits: rows need their own shift only where these are far from 0.
+    """
+    reach, bias = np.abs(w[..., :-1, :]).sum(-2), w[..., -1, :]
+    if (bias + reach).max(initial=0) > FAR or (bias - reach).max(-1).min(initial=0) < -FAR:
+        a -= a.max(1, keepdims=True, initial=-np.inf)
+    own = a[np.arange(goal.size), goal]
+    np.exp(a, out=a)
+    total = a @ np.ones(a.shape[1], np.float32)
+    return own - np.log(total), total
+
+
 class Network:
     """Parameters in one flat float32 array; `emb` holds the input part of the gates by token, biases included."""
 
@@ -135,84 +151,98 @@ class Network:
             self.p["bv"][:] = np.log(np.maximum(weight, 1e-9) / np.maximum(weight.sum(1, keepdims=True), 1e-9))
 
     def steps(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
-        """States after each input of a window (steps x lanes); where `fresh`, the state begins at zero."""
+        """States after each input of a window (steps x lanes); where `fresh`, the state begins at zero. On demand what `back` needs, by step."""
         p, n = self.p, UNITS
-        u2, u1 = p["u"][:, : 2 * n], p["u"][:, 2 * n :]
-        out, kept = np.empty((*ids.shape, n), np.float32), []
+        u2, u1 = np.ascontiguousarray(p["u"][:, : 2 * n]), np.ascontiguousarray(p["u"][:, 2 * n :])
+        out = np.empty((*ids.shape, n), np.float32)
+        kept = tuple(np.empty((*ids.shape, w), np.float32) for w in (n, 2 * n, n, n)) if keep else ()
         for t in range(ids.shape[0]):
             if fresh[t].any():
                 h = h * ~fresh[t][:, None]
-            x = p["emb"][ids[t]]
-            a = h @ u2
+            x = np.take(p["emb"], ids[t], 0)
+            a = np.matmul(h, u2, out=kept[1][t] if keep else None)
             a += x[:, : 2 * n]
             np.negative(a, out=a)
             np.exp(a, out=a)
             a += 1
             np.reciprocal(a, out=a)
             r, z = a[:, :n], a[:, n:]
-            rh = r * h
-            c = rh @ u1
+            rh = np.multiply(r, h, out=kept[2][t] if keep else None)
+            c = np.matmul(rh, u1, out=kept[3][t] if keep else None)
             c += x[:, 2 * n :]
             np.tanh(c, out=c)
             if keep:
-                kept.append((h, r, z, rh, c))
-            h = c + z * (h - c)
-            out[t] = h
+                kept[0][t] = h
+            h = np.subtract(h, c, out=out[t])
+            h *= z
+            h += c
         return out, h, kept
 
     def outputs(self, s: np.ndarray, target: np.ndarray, grad: bool):
-        """Natural log probability of each target (k: the class of the rest), and on demand the loss's gradients."""
-        p, k = self.p, self.k
-        cls = np.where(target < k, target // CLASS, self.classes)
-        a = s @ p["wc"] + p["bc"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        tot = e.sum(1)
-        row = np.arange(target.size)
-        logp = a[row, cls] - np.log(tot)
-        g, ds = {}, None
-        if grad:
-            e /= tot[:, None]
-            e[row, cls] -= 1
-            g["wc"], g["bc"] = s.T @ e, e.sum(0)
-            ds = e @ p["wc"].T
-            g["wv"], g["bv"] = np.zeros_like(p["wv"]), np.zeros_like(p["bv"])
+        """Natural log probability of each target (k: the class of the rest), and on demand the loss's gradients.
+
+        Rows stand by class inside, with a one behind each state for the biases, so the words of a class are a slice.
+        """
+        p, k, n = self.p, self.k, UNITS
+        cls = np.where(target < k, target // CLASS, self.classes).astype(np.int16)
         order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            i = order[edge[c] : edge[c + 1]]
-            if not i.size:
-                continue
-            b = s[i] @ p["wv"][c] + (p["bv"][c] + self.slots[c])
-            b -= b.max(1, keepdims=True)
-            e = np.exp(b)
-            tot = e.sum(1)
-            r, w = np.arange(i.size), target[i] - c * CLASS
-            logp[i] += b[r, w] - np.log(tot)
-            if grad:
-                e /= tot[:, None]
-                e[r, w] -= 1
-                g["wv"][c], g["bv"][c] = s[i].T @ e, e.sum(0)
-                ds[i] += e @ p["wv"][c].T
-        return logp, g, ds
-
-    def back(self, fresh: np.ndarray, kept: list, ds: np.ndarray, g: dict) -> np.ndarray:
+        cls = cls[order].astype(np.int64)
+        edge = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        own = [(c, slice(edge[c], edge[c + 1])) for c in range(self.classes) if edge[c] < edge[c + 1]]
+        state, known = np.ones((target.size, n + 1), np.float32), edge[-1]
+        state[:, :n] = s[order]
+        wc = np.concatenate([p["wc"], p["bc"][None]])
+        wv = np.concatenate([p["wv"], (p["bv"] + self.slots)[:, None]], 1)
+        e, f = state @ wc, np.empty((known, CLASS), np.float32)
+        for c, at in own:
+            np.matmul(state[at], wv[c], out=f[at])
+        logp, total = _softmax(e, wc, cls)
+        word = target[order[:known]] - cls[:known] * CLASS
+        more, inner = _softmax(f, wv, word)
+        logp[:known] += more
+        out = np.empty_like(logp)
+        out[order] = logp
+        if not grad:
+            return out, {}, None
+        for x, of, hit in ((e, total, cls), (f, inner, word)):
+            x *= (1 / of)[:, None]
+            x[np.arange(hit.size), hit] -= 1
+        gc, gv = state.T @ e, np.zeros_like(wv)
+        d = e @ p["wc"].T
+        for c, at in own:
+            gv[c] = state[at].T @ f[at]
+            d[at] += f[at] @ p["wv"][c].T
+        ds = np.empty_like(d)
+        ds[order] = d
+        return out, {"wc": gc[:n], "bc": gc[n], "wv": gv[:, :n], "bv": gv[:, n]}, ds
+
+    def back(self, fresh: np.ndarray, kept: tuple, ds: np.ndarray, g: dict) -> np.ndarray:
         """Backpropagation through one window; the state before it is taken as given. Gives the gradient of each input's gates."""
-        p, n = self.p, UNITS
-        u2, u1 = p["u"][:, : 2 * n], p["u"][:, 2 * n :]
-        du, dx, dh = np.zeros_like(p["u"]), np.empty((*fresh.shape, 3 * n), np.float32), np.zeros_like(ds[0])
+        n = UNITS
+        u2, u1 = (np.ascontiguousarray(x.T) for x in (self.p["u"][:, : 2 * n], self.p["u"][:, 2 * n :]))
+        h, a, rh, c = kept
+        r, z = a[..., :n].copy(), a[..., n:].copy()
+        # what the gradients of the state, of the reset state and of the state again are multiplied by, for all steps at once
+        to_c, to_r, to_z = (1 - z) * (1 - c * c), h * r * (1 - r), (h - c) * z * (1 - z)
+        dx, dh = np.empty((*fresh.shape, 3 * n), np.float32), np.zeros_like(ds[0])
+        some = fresh.any(1)
         for t in range(fresh.shape[0] - 1, -1, -1):
-            h, r, z, rh, c = kept[t]
-            dh = dh + ds[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            drh = dc @ u1.T
-            d2 = np.concatenate([drh * h * r * (1 - r), dh * (h - c) * z * (1 - z)], 1)
-            du[:, 2 * n :] += rh.T @ dc
-            du[:, : 2 * n] += h.T @ d2
-            dx[t, :, : 2 * n], dx[t, :, 2 * n :] = d2, dc
-            dh = (dh * z + drh * r + d2 @ u2.T) * ~fresh[t][:, None]
+            dh += ds[t]
+            dc = dh * to_c[t]
+            drh = dc @ u1
+            np.multiply(drh, to_r[t], out=dx[t, :, :n])
+            np.multiply(dh, to_z[t], out=dx[t, :, n : 2 * n])
+            dx[t, :, 2 * n :] = dc
+            dh *= z[t]
+            drh *= r[t]
+            dh += drh
+            dh += dx[t, :, : 2 * n] @ u2
+            if some[t]:
+                dh *= ~fresh[t][:, None]
+        dx = dx.reshape(-1, 3 * n)
+        du = np.concatenate([h.reshape(-1, n).T @ dx[:, : 2 * n], rh.reshape(-1, n).T @ dx[:, 2 * n :]], 1)
         g["u"] = g["u"] + du if "u" in g else du
-        return dx.reshape(-1, 3 * n)
+        return dx
 
     def inputs(self, ids: np.ndarray, dx: np.ndarray, g: dict) -> None:
         """Gradient of the inputs' table from that of each input's gates."""
@@ -308,7 +338,7 @@ class Learner:
     def __init__(self, net: Network, rate: float):
         self.net, self.rate, self.n, self.seen = net, rate, 0, 0
         self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
-        self.grad = np.zeros_like(net.flat)
+        self.grad, self.room, self.square = (np.zeros_like(net.flat) for _ in range(3))
         self.held: list[tuple] = []
 
     def learn(self, target: np.ndarray, off: np.ndarray) -> None:
@@ -347,15 +377,22 @@ class Learner:
         for name, p in self.net.p.items():
             self.grad[at : at + p.size] = g[name].ravel()
             at += p.size
-        self.grad /= n
-        norm = float(np.sqrt((self.grad * self.grad).sum()))
+        grad, room = self.grad, self.room
+        grad /= n
+        norm = float(np.sqrt(grad @ grad))
         if norm > 1:
-            self.grad /= norm
+            grad /= norm
         self.n += 1
-        self.m += 0.1 * (self.grad - self.m)
-        self.v += 0.01 * (self.grad * self.grad - self.v)
-        rate = self.rate / (1 + self.n / 400)
-        self.net.flat -= rate * (self.m / (1 - 0.9**self.n)) / (np.sqrt(self.v / (1 - 0.99**self.n)) + 1e-6)
+        for mean, new, share in ((self.m, grad, 0.1), (self.v, np.multiply(grad, grad, out=self.square), 0.01)):
+            np.subtract(new, mean, out=room)
+            room *= share
+            mean += room
+        np.sqrt(self.v, out=room)
+        room *= (1 - 0.99**self.n) ** -0.5
+        room += 1e-6
+        np.divide(self.m, room, out=room)
+        room *= self.rate / (1 + self.n / 400) / (1 - 0.9**self.n)
+        self.net.flat -= room
 
 
 def _parts(batches, prepare, most: int = PART):

@@ -577,3 +577,55 @@ def test_lanes_hold_every_token_once():
     for d in range(90):
         own = target[off[d] : off[d + 1]].tolist()
         assert seen[d] == list(zip(own, [51, *own[:-1]], [True] + [False] * (len(own) - 1), strict=True))
+
+
+def test_network_equals_the_plain_model():
+    """Probabilities and gradients of a window against plain sums, for small weights and for weights whose exponentials overflow."""
+    rng = np.random.default_rng(4)
+    vocab = recurrent.Vocabulary(np.arange(1, 101, dtype=np.uint64), np.arange(200, 100, -1), np.arange(1, 101, dtype=np.uint64), np.arange(200, 100, -1), 20_000, 150)
+    ids, target = rng.integers(0, 102, (5, 7)), rng.integers(0, 101, 35)
+    fresh = rng.random((5, 7)) < 0.2
+    for scale in (1, 40):
+        net = recurrent.Network(vocab)
+        net.p["wc"][:] = rng.normal(0, scale, net.p["wc"].shape)
+        net.p["wv"][:] = rng.normal(0, scale, net.p["wv"].shape)
+
+        def loss(p, net=net):
+            n, h, total = recurrent.UNITS, np.zeros((7, recurrent.UNITS)), []
+            for t in range(5):
+                h = np.where(fresh[t][:, None], 0, h)
+                a = 1 / (1 + np.exp(-(h @ p["u"][:, : 2 * n] + p["emb"][ids[t]][:, : 2 * n])))
+                c = np.tanh((a[:, :n] * h) @ p["u"][:, 2 * n :] + p["emb"][ids[t]][:, 2 * n :])
+                h = c + a[:, n:] * (h - c)
+                for s, g in zip(h, target.reshape(5, 7)[t], strict=True):
+                    b = s @ p["wc"] + p["bc"]
+                    k = g // recurrent.CLASS if g < 100 else net.classes
+                    total.append(b[k] - np.logaddexp.reduce(b))
+                    if g < 100:
+                        b = s @ p["wv"][k] + p["bv"][k] + net.slots[k]
+                        total[-1] += b[g % recurrent.CLASS] - np.logaddexp.reduce(b)
+            return np.array(total)
+
+        plain = {k: v.astype(np.float64) for k, v in net.p.items()}
+        s, _, kept = net.steps(ids, fresh, np.zeros((7, recurrent.UNITS), np.float32), True)
+        logp, g, ds = net.outputs(s.reshape(35, -1), target, True)
+        assert np.allclose(logp, loss(plain), rtol=1e-3, atol=1e-3)
+        net.inputs(ids.ravel(), net.back(fresh, kept, ds.reshape(5, 7, -1), g), g)
+        if scale == 1:
+            for name in plain:
+                at = np.unravel_index(np.abs(g[name]).argmax(), plain[name].shape)
+                moved = [{**plain, name: plain[name].copy()} for _ in range(2)]
+                moved[0][name][at] += 1e-5
+                moved[1][name][at] -= 1e-5
+                assert np.isclose(g[name][at], (loss(moved[1]).sum() - loss(moved[0]).sum()) / 2e-5, rtol=2e-2), name
+
+
+def test_hashes_of_runs_with_gaps():
+    from sparlane.llm import blocks
+
+    data = np.frombuffer(b"one two" + b" " * 99 + b"one " + b"x" * 200 + b" two one", np.uint8)
+    st, en = blocks.spans(data, np.array([0, data.size]), blocks.TOKEN_BYTES)
+    h = blocks.hash_runs(data, st, en)
+    assert h[0] == h[2] == h[5] and h[1] == h[4] and np.unique(h).size == 3
+    some = np.array([0, 3, 5])
+    assert (blocks.hash_runs(data, st[some], en[some]) == h[some]).all() and (blocks.hash_runs(data, st[[2, 5]], en[[2, 5]]) == h[[2, 5]]).all()
