@@ -480,11 +480,11 @@ def near_documents(docs: DataFrame, cut: float = 0.8) -> DataFrame:
             pairs = _pairs(groups.select("key", "bi", "bj", "block", "k", "n", "sig", "comp", "buckets", "text"), cut, level == 2)
         pairs = written(pairs, "pairs")
         found = written(_verify(pairs, texts, cut).select("a", "b"), "links")
-        joined = links is not None and found.isEmpty()
+        joined = level > 0 and found.isEmpty()
         for used in (pairs, *([dealt] if level else []), *([hashes, texts] if level == 2 else [])):
             discard(used)
-        links = found if links is None else links.union(found)
-        if not joined:
+        if not joined:  # what was joined before goes on as one link for each text
+            links = found if links is None else nodes.where("node <> component").toDF("a", "b").union(found)
             nodes = written(components(links), "nodes")
         comp = own.select("k").join(nodes.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("comp"))
     discard(members)

@@ -118,3 +118,21 @@ def test_labels_of_any_type(spark):
         df = spark.createDataFrame([(*r, x) for r, x in zip(rows, labels, strict=True)], f"vec_id long, embedding array<double>, label {kind}")
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()}
         assert got == {0: (1, 0), 1: (0, 1), 2: (1, 0), 3: (0, 3)}
+
+
+def test_a_round_of_components_deals_its_edges_three_times(spark, monkeypatch):
+    """Both ends by node, the large stars' edges by node, the distinct ones: joins and least neighbours need no more exchanges."""
+    from sparlane.llm import shared
+
+    plans = []
+
+    def seen(df, name, write=shared.written):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString().count("REPARTITION_BY_COL") and df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(shared, "written", seen)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in shared.components(edges).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
+    rounds = [p for p in plans if p]
+    assert rounds and all(p.count("ENSURE_REQUIREMENTS") <= 1 for p in rounds)
