@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import WORD_BYTES, mix, ragged, slices, text_bytes, words
-from .shared import components, discard, mapped, written
+from .shared import discard, mapped, pointed, stars, written
 
 #: K-mers of a sketch, bins of the word histogram, rows of a bucket compared at once.
 TAKEN, BINS, BLOCK = 2, 64, 4096
@@ -155,8 +155,8 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return out
 
 
-#: Diagonals of a band that one machine word holds, and pairs that are aligned at once.
-WORD, PAIRS = 60, 8192
+#: Diagonals of a band that one machine word holds, pairs that are aligned at once, and of a large bucket at first.
+WORD, PAIRS, FEW = 60, 8192, 512
 
 
 def edits_many(texts: list[np.ndarray], ia: np.ndarray, ib: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -257,8 +257,7 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _leads(members: DataFrame, own: DataFrame, cut: float) -> DataFrame:
     """(a, b): each text with one text that it may link to, the closest by histogram of those that come first (by k) in its buckets."""
-    first = members.groupBy("key").agg(F.min("k").alias("lead"))
-    met = members.join(first, "key").where("k <> lead").select("k", "lead").distinct()
+    met = members.where("k <> lead").select("k", "lead").distinct()
     both = met.join(own.select("k", "n", "sig"), "k").join(own.select(F.col("k").alias("lead"), F.col("n").alias("m"), F.col("sig").alias("other")), "lead")
 
     def run(batches):
@@ -288,45 +287,54 @@ def _dealt(placed: DataFrame) -> DataFrame:
     return dealt.select("key", "k", "comp", "rows", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
 
 
-def _closest(ia, ib, d, k) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of the pairs its partner of the least distance."""
-    x, y, d = np.concatenate([ia, ib]), np.concatenate([ib, ia]), np.concatenate([d, d])
-    order = np.lexsort((k[y], d, x))
-    x, y = x[order], y[order]
-    one = np.concatenate([[True], x[1:] != x[:-1]]) if x.size else np.zeros(0, bool)
-    return x[one], y[one]
-
-
-def _links(text: list[np.ndarray], comp: np.ndarray, ia: np.ndarray, ib: np.ndarray, cut: float) -> list[tuple[int, int]]:
-    """Of pairs of a large bucket, tested here: for each row outside the most common component, one link to each component that it links to.
-
-    Pairs with too few words in common are not aligned."""
-    bag = {i: np.sort(labelled(text[i], np.array([0, text[i].size]))) for i in np.unique(np.concatenate([ia, ib])).tolist()}
-    names, number = np.unique(comp, return_inverse=True)
-    swap = comp[ia] == names[np.bincount(number).argmax()]
-    x, y = np.where(swap, ib, ia), np.where(swap, ia, ib)
-    out, done = [], set()
-    longer = np.array([max(text[i].size, text[j].size) for i, j in zip(x.tolist(), y.tolist(), strict=True)])
-    common = np.array([common_words(bag[i], bag[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)])
-    able = np.flatnonzero(longer - common <= most_edits(longer, cut))
-    able = able[np.argsort(-common[able] / longer[able], kind="stable")]
-    goal = x * names.size + number[y]  # a row and a component that it may link to
-    while able.size:
-        able = able[~np.isin(goal[able], list(done))]
-        now, able = able[:PAIRS], able[PAIRS:]
-        linked = now[edits_many(text, x[now], y[now], most_edits(longer[now], cut)) <= most_edits(longer[now], cut)]
-        linked = linked[np.unique(goal[linked], return_index=True)[1]]
-        done.update(goal[linked].tolist())
-        out += zip(x[linked].tolist(), y[linked].tolist(), strict=True)
-    return out
-
-
-def _pairs(groups: DataFrame, cut: float, last: bool) -> DataFrame:
+class _Bucket:
+    """A large bucket whose pairs are tested here. What links is joined at once, so pairs between joined components are not tested."""
+
+    def __init__(self, text: list[bytes], comp: np.ndarray, cut: float):
+        self.text, self.cut, self.bags = [np.frombuffer(x, np.uint64) for x in text], cut, {}
+        names, self.number = np.unique(comp, return_inverse=True)
+        self.root = np.arange(names.size)
+
+    def bag(self, i: int) -> np.ndarray:
+        if i not in self.bags:
+            self.bags[i] = np.sort(labelled(self.text[i], np.array([0, self.text[i].size])))
+        return self.bags[i]
+
+    def top(self, i: int) -> int:
+        while self.root[i] != i:
+            i = self.root[i]
+        return i
+
+    def links(self, ia: np.ndarray, ib: np.ndarray, d: np.ndarray) -> list[tuple[int, int]]:
+        """Of pairs with the histogram distances `d` those links that join components, the closest tested first.
+
+        Pairs with too few words in common are not aligned."""
+        size = np.array([t.size for t in self.text], np.int64)
+        longer = np.maximum(size[ia], size[ib])
+        todo, lot, out = np.argsort(d / longer, kind="stable"), FEW, []
+        while True:
+            todo = todo[self.root[self.number[ia[todo]]] != self.root[self.number[ib[todo]]]]
+            if not todo.size:
+                return out
+            now, todo, lot = todo[:lot], todo[lot:], min(2 * lot, PAIRS)
+            common = np.array([common_words(self.bag(i), self.bag(j)) for i, j in zip(ia[now].tolist(), ib[now].tolist(), strict=True)])
+            most = most_edits(longer[now], self.cut)
+            able = longer[now] - common <= most
+            now, most = now[able], most[able]
+            for p in now[edits_many(self.text, ia[now], ib[now], most) <= most].tolist():
+                x, y = self.top(self.number[ia[p]]), self.top(self.number[ib[p]])
+                if x != y:
+                    self.root[max(x, y)] = min(x, y)
+                    out.append((int(ia[p]), int(ib[p])))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+
+def _pairs(groups: DataFrame, cut: float) -> DataFrame:
     """(a, b) of dealt rows (key, bi, bj, block, k, n, sig, comp, buckets, text) of different components.
 
-    At first each row with its closest in another component, by histogram. At `last` all pairs that the histograms allow, each
-    in the first bucket that both texts are in; in large buckets, where rows bring the hashes of their words as `text`, they
-    are tested at once, and only links leave the task.
+    All pairs that the histograms allow, each in the first bucket that both texts are in; in large buckets, where rows bring the
+    hashes of their words as `text`, they are tested at once, and only links that join components leave the task.
     """
 
     def flush(rows: pa.Table):
@@ -341,8 +349,8 @@ def _pairs(groups: DataFrame, cut: float, last: bool) -> DataFrame:
         left = np.flatnonzero(block == bi)
         begin = np.where(bi[left] == bj[left], left + 1, (first + many)[group[left]])
         count = np.maximum(end[left] - begin, 0)
-        met = _keys(rows["buckets"]) if last else None
-        words_of = rows["text"].to_pylist() if last else None
+        met, words_of = _keys(rows["buckets"]), rows["text"].to_pylist()
+        tested = np.array([x is not None for x in words_of], bool)
         out_a, out_b, held = [], [], {}
         lot = np.cumsum(count) // 200_000
         for c in np.unique(lot):
@@ -354,25 +362,19 @@ def _pairs(groups: DataFrame, cut: float, last: bool) -> DataFrame:
             d = _distance(sig[ia], sig[ib])
             ok = d <= most_edits(np.maximum(n[ia], n[ib]), cut)
             ia, ib, d = ia[ok], ib[ok], d[ok]
-            if not last:
-                ia, ib = _closest(ia, ib, d, k)
-            else:
-                same = (met[ia] == met[ib]) & (met[ia] != 0)
-                ok = met[ia, same.argmax(1)] == key[ia]
-                ia, ib = ia[ok], ib[ok]
-                large = np.array([words_of[i] is not None for i in ia.tolist()], bool)
-                for g in np.unique(group[ia[large]]).tolist():
-                    of = large & (group[ia] == g)
-                    held.setdefault(g, []).append((ia[of], ib[of]))
-                ia, ib = ia[~large], ib[~large]
-            out_a.append(k[ia])
-            out_b.append(k[ib])
-        for g, parts in held.items():
-            ia, ib = (np.concatenate(x) for x in zip(*parts, strict=True))
-            lo, hi = int(first[g]), int(end[first[g]])
-            links = np.array(_links([np.frombuffer(words_of[i], np.uint64) for i in range(lo, hi)], comp[lo:hi], ia - lo, ib - lo, cut), np.int64).reshape(-1, 2) + lo
-            out_a.append(k[links[:, 0]])
-            out_b.append(k[links[:, 1]])
+            same = (met[ia] == met[ib]) & (met[ia] != 0)
+            ok = met[ia, same.argmax(1)] == key[ia]
+            ia, ib, d = ia[ok], ib[ok], d[ok]
+            large = tested[ia]
+            for g in np.unique(group[ia[large]]).tolist():
+                of, lo, hi = large & (group[ia] == g), int(first[g]), int(end[first[g]])
+                if g not in held:
+                    held[g] = _Bucket(words_of[lo:hi], comp[lo:hi], cut)
+                links = np.array(held[g].links(ia[of] - lo, ib[of] - lo, d[of]), np.int64).reshape(-1, 2) + lo
+                out_a.append(k[links[:, 0]])
+                out_b.append(k[links[:, 1]])
+            out_a.append(k[ia[~large]])
+            out_b.append(k[ib[~large]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
         pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
@@ -447,8 +449,8 @@ def near_documents(docs: DataFrame, cut: float = 0.8) -> DataFrame:
     Candidates are texts that agree in one sketch: the `TAKEN` k-mers that come first in a random order, in text order. A link
     is found if some sketch of its texts agrees; the README states the measured share. All candidates are decided exactly:
     pairs that the word histograms rule out cannot reach `cut`, the others are aligned, unless links already join their texts.
-    This goes in three rounds: each text with the first one of a bucket, each with its closest in another component, then all pairs
-    of different components, in large buckets inside the task. What leaves the buckets is about one pair for each text and bucket.
+    This goes in two rounds: each text with the first one of a bucket, then all pairs of different components, in large buckets
+    inside the task, the closest first, where what links is joined at once. The first round's links need not be joined to the end.
     """
     if not SHORT[0] / SHORT[1] <= cut <= 1:
         raise ValueError("cut must be from 0.8 to 1")
@@ -458,35 +460,25 @@ def near_documents(docs: DataFrame, cut: float = 0.8) -> DataFrame:
     reps = done.where("n_words > 0").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("rep"), F.first("n_words").alias("n"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
     reps = written(reps, "texts")
     entries = reps.select("k", F.explode("buckets").alias("key")).where("key <> 0")
-    shared = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(entries.join(shared.select("key"), "key"), "members")
+    shared = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("k").alias("lead")).where("size > 1")
+    members = written(entries.join(shared.select("key", "lead"), "key"), "members")
     own = written(reps.join(members.select("k").distinct(), "k").select("k", "n", "sig", "buckets", "rep.doc_id", "rep.row_key"), "candidates")
     texts = written(rows.join(own.select("k", F.col("doc_id").alias("d"), F.col("row_key").alias("r")), (F.col("row_key") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("k", "text").dropDuplicates(["k"]), "texts")
     discard(reps)
-    links = None
-    for level in range(3):
-        if level == 0:
-            pairs = _leads(members, own, cut)
-        else:
-            dealt = written(_dealt(members.join(comp, "k")), "dealt")
-            groups = dealt.join(own.select("k", "n", "sig", *["buckets"] * (level == 2)), "k")
-            if level == 2:
-                big = dealt.where(F.col("rows") > LARGE).select("k").distinct()
-                hashes = written(_word_hashes(texts.join(big, "k")), "hashes")
-                few, many = groups.where(F.col("rows") <= LARGE).withColumn("text", F.lit(None).cast("binary")), groups.where(F.col("rows") > LARGE).join(hashes, "k")
-                groups = few.unionByName(many)
-            else:
-                groups = groups.withColumns({"buckets": F.lit(None).cast("array<long>"), "text": F.lit(None).cast("binary")})
-            pairs = _pairs(groups.select("key", "bi", "bj", "block", "k", "n", "sig", "comp", "buckets", "text"), cut, level == 2)
-        pairs = written(pairs, "pairs")
-        found = written(_verify(pairs, texts, cut).select("a", "b"), "links")
-        joined = level > 0 and found.isEmpty()
-        for used in (pairs, *([dealt] if level else []), *([hashes, texts] if level == 2 else [])):
-            discard(used)
-        if not joined:  # what was joined before goes on as one link for each text
-            links = found if links is None else nodes.where("node <> component").toDF("a", "b").union(found)
-            nodes = written(components(links), "nodes")
-        comp = own.select("k").join(nodes.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("comp"))
+    pairs = written(_leads(members, own, cut), "pairs")
+    links = stars(written(_verify(pairs, texts, cut).select("a", "b"), "links"), 2)
+    comp = own.select("k").join(pointed(links).withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("comp"))
+    dealt = written(_dealt(members.select("key", "k").join(comp, "k")), "dealt")
+    groups = dealt.join(own.select("k", "n", "sig", "buckets"), "k")
+    big = dealt.where(F.col("rows") > LARGE).select("k").distinct()
+    hashes = written(_word_hashes(texts.join(big, "k")), "hashes")
+    few, many = groups.where(F.col("rows") <= LARGE).withColumn("text", F.lit(None).cast("binary")), groups.where(F.col("rows") > LARGE).join(hashes, "k")
+    discard(pairs)
+    pairs = written(_pairs(few.unionByName(many).select("key", "bi", "bj", "block", "k", "n", "sig", "comp", "buckets", "text"), cut), "pairs")
+    found = written(_verify(pairs, texts, cut).select("a", "b"), "links")
+    for used in (pairs, dealt, hashes, texts):
+        discard(used)
+    nodes = pointed(stars(links.union(found)))
     discard(members)
     out = done.join(nodes.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparlane.llm import queries, shared, vectors
+from sparlane.llm import near, queries, shared, vectors
 
 
 def brute(rows, cut=0.93):
@@ -136,3 +136,27 @@ def test_a_round_of_components_deals_its_edges_three_times(spark, monkeypatch):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
     rounds = [p for p in plans if p]
     assert rounds and all(p.count("ENSURE_REQUIREMENTS") <= 1 for p in rounds)
+
+
+def test_near_documents_write_few_tables(spark, documents, monkeypatch):
+    """Two rounds of pairs, the first with two rounds of components: each table written is some stages over all shuffle partitions."""
+    names = []
+    for module in (near, shared):
+        monkeypatch.setattr(module, "written", lambda df, name, write=shared.written: names.append(name) or write(df, name))
+    near.near_documents(documents).count()
+    assert names.count("pairs") == 2 and names.count("edges") <= 7 and len(names) <= 19
+
+
+def test_a_large_bucket_tests_few_pairs(monkeypatch):
+    """Of 300 near copies and 20 other texts all 51,040 pairs are allowed; joined ones are not tested again, and every link is kept."""
+    rng = np.random.default_rng(3)
+    base, tried = rng.integers(1, 1 << 60, (21, 100)).astype(np.uint64), []
+    text = [base[0].copy() for _ in range(300)] + list(base[1:])
+    for t in text[:300]:
+        t[rng.choice(100, 6, replace=False)] = rng.integers(1, 1 << 60, 6)
+    monkeypatch.setattr(near, "edits_many", lambda t, a, b, most, f=near.edits_many: tried.append(a.size) or f(t, a, b, most))
+    ia, ib = np.triu_indices(320, 1)
+    bucket = near._Bucket([t.tobytes() for t in text], np.arange(320), 0.8)
+    links = bucket.links(ia, ib, np.zeros(ia.size, np.int64))
+    assert len(links) == 299 and (bucket.root[:300] == 0).all() and (bucket.root[300:] == np.arange(300, 320)).all()
+    assert sum(tried) < 3000
