@@ -70,7 +70,7 @@ def grammar(ids: np.ndarray, doc_end: np.ndarray, base: int, least: int = LEAST)
 
     `level` is the bit length of a pair's count (or of a bound above it) when it was last counted, by its left symbol; a pair's
     count only falls until it is replaced, so pairs below the level at hand need no count. Symbols keep their positions and are
-    chained by `after` and `before`, so a round costs no more than a scan of the levels and the places that it counts and replaces.
+    chained by `after` and `before`, so a round costs the places that it counts and replaces; all levels are scanned only when those of the highest one are used up.
     """
     n = ids.size
     seq, ends = ids.astype(np.uint32), doc_end.astype(np.int64)
@@ -88,12 +88,31 @@ def grammar(ids: np.ndarray, doc_end: np.ndarray, base: int, least: int = LEAST)
         return _levels(np.bincount(spot, minlength=1 << bits)[spot])
 
     fresh = np.flatnonzero(~begins[1:])  # no pair goes over a document's end
+    known: list[list[np.ndarray]] = [[] for _ in range(65)]  # places by level, from `floor` on, with some that have left it
+    floor = 65
+
+    def found(at):
+        now = level[at]
+        for x in range(floor, int(now.max(initial=0)) + 1):
+            if (here := at[now == x]).size:
+                known[x].append(here)
+
     while True:
         level[fresh] = bound(fresh)
-        top = int(level.max(initial=0))
-        if 1 << top <= least:
-            break
-        at = np.flatnonzero(level == top)
+        found(fresh)
+        top, at = 64, fresh[:0]
+        while top >= floor and not at.size:
+            if known[top]:
+                at = np.concatenate(known[top])
+                at = np.sort(at[level[at] == top], kind="stable")
+                at = at[np.diff(at, prepend=-1) > 0]
+                known[top] = []
+            top -= not at.size
+        if not at.size:
+            floor = top = int(level.max(initial=0))
+            if 1 << top <= least:
+                break
+            at = np.flatnonzero(level == top)
         fresh = at[:0]
         code = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[after[at]]
         order = np.argsort(code)
@@ -103,6 +122,7 @@ def grammar(ids: np.ndarray, doc_end: np.ndarray, base: int, least: int = LEAST)
         which = np.empty(at.size, np.int64)
         which[order] = np.repeat(np.arange(first.size), times)
         level[at] = _levels(times)[which]
+        found(at)
         ok = np.flatnonzero(times >= max(least, 1 << top - 1))
         use = ok[np.argsort(-times[ok], kind="stable")]
         use = use[_batch(pairs[use], 1 << 14)]
@@ -176,10 +196,10 @@ class _Row:
 
 
 def expansion_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
-    size = np.ones(left.size, np.uint32)
-    for r, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        size[r] = (size[a - base] if a >= base else 1) + (size[b - base] if b >= base else 1)
-    return size
+    size: list[int] = []
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        size.append((size[a - base] if a >= base else 1) + (size[b - base] if b >= base else 1))
+    return np.array(size, np.uint32)
 
 
 def expand(seq: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:

@@ -217,3 +217,22 @@ def test_odd_characters_are_found_in_bytes():
     for text in ("", "a", "\xa0", "x\u3000", "\u2028", "é", "\x7f\t\n", every, mixed):
         raw = text.encode()
         assert tokens.odd_places(np.frombuffer(raw, np.uint8)).tolist() == [m.start() for m in odd.finditer(raw)]
+
+
+def test_a_grammar_scans_all_levels_seldom(monkeypatch):
+    """Once for each level that is used up, not in each round."""
+    n, scans = 60_000, []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def flatnonzero(self, x):
+            scans.append(np.size(x) == n)
+            return np.flatnonzero(x)
+
+    ids = np.minimum(np.random.default_rng(1).zipf(1.4, n), 3000).astype(np.uint32)
+    monkeypatch.setattr(repair, "np", Counting())
+    seq, left, right, _ = repair.grammar(ids, np.array([0, n // 3, n]), 3001)
+    assert (repair.expand(seq, left, right, 3001) == ids).all() and left.size > 500
+    assert sum(scans) <= 20
