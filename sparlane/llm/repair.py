@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ragged, slices
-from .shared import mapped, new_path
+from .shared import mapped, new_path, setting
 from .tokens import default_path, encoder
 
 _HEAD = struct.Struct("<6sBBBIIIQ")
@@ -295,7 +295,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     """
     tokenizer_path = tokenizer_path or default_path()
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     cores = docs.sparkSession.sparkContext.defaultParallelism
     parts = max(1, min(4 * cores, -(-size // shard_bytes)), -(-size // part_bytes))
 
@@ -331,10 +331,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
             yield flush()
 
     placed = docs.withColumn("begin", F.substring("text", 1, 64)).repartitionByRange(parts, "doc_id", "begin").sortWithinPartitions("doc_id", "text")
-    mapped(placed.select("doc_id", "text"), run, _FILE).write.parquet(path)
+    # a batch to Python holds about one shard's text; payloads are compressed already, and their pages and row groups end as they fill
+    batch = max(1, min(10_000, shard_bytes * rows // max(1, size)))
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(batch)):
+        mapped(placed.select("doc_id", "text"), run, _FILE).write.options(**_PARQUET).parquet(path)
 
 
 _FILE = "part int, shard int, before long, first_doc long, n_docs long, n_tokens long, payload binary"
+#: Parquet looks at the size of a page and of a row group after 100 rows by default, which is 200 MB of payloads.
+_PARQUET = {"compression": "uncompressed", "parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

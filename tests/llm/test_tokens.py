@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -236,3 +237,32 @@ def test_a_grammar_scans_all_levels_seldom(monkeypatch):
     seq, left, right, _ = repair.grammar(ids, np.array([0, n // 3, n]), 3001)
     assert (repair.expand(seq, left, right, 3001) == ids).all() and left.size > 500
     assert sum(scans) <= 20
+
+
+def test_token_file_in_small_pieces(spark, tmp_path, monkeypatch):
+    """A task gets batches of about one shard's text, and writes payloads in row groups of a few shards."""
+    rows = [(i, f"{i} " + "some words of a text " * 45) for i in range(3000)]
+    plainly, most = repair.mapped, 2 * 50_000 // 950
+
+    def mapped(df, f, schema):
+        def run(batches):
+            def small(b):
+                assert b.num_rows <= most, b.num_rows
+                return b
+
+            return f(map(small, batches))
+
+        return plainly(df, run, schema)
+
+    monkeypatch.setattr(repair, "mapped", mapped)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    repair.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/ids", shard_bytes=50_000)
+    assert spark.conf.get(key) == before
+    assert spark.read.parquet(f"file://{tmp_path}/ids").selectExpr("sum(n_docs)").first()[0] == 3000
+
+    payloads = spark.range(12, numPartitions=1).selectExpr("id", "cast(repeat(sha2(cast(id AS string), 512), 16384) AS binary) AS payload")
+    payloads.write.options(**repair._PARQUET).parquet(f"file://{tmp_path}/groups")
+    (path,) = (tmp_path / "groups").glob("*.parquet")
+    meta = pq.ParquetFile(path).metadata
+    assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) <= 11 << 20
