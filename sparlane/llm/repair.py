@@ -262,13 +262,10 @@ class Shard:
         at = np.cumsum(size) - size
         flat = expand(np.arange(self.base, self.base + size.size, dtype=np.uint32), self.left, self.right, self.base)
         own = (seq[rule] - np.uint32(self.base)).astype(np.int64)
-        width = np.ones(seq.size, np.int64)
-        width[rule] = size[own]
-        to = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.uint32)
-        out[to[~rule]] = seq[~rule]
-        out[ragged(to[rule], size[own])] = flat[ragged(at[own], size[own])]
-        return out
+        width, start = np.ones(seq.size, np.int64), np.empty(seq.size, np.int64)
+        width[rule], start[rule] = size[own], at[own]
+        start[~rule] = flat.size + np.arange(seq.size - own.size)
+        return np.concatenate([flat, seq[~rule]])[ragged(start, width)]
 
     def document(self, i: int) -> np.ndarray:
         return expand(self.seq[self.places[i] : self.places[i + 1]], self.left, self.right, self.base)

@@ -38,6 +38,29 @@ def test_whole_tables_give_the_library_ids(enc, documents):
         assert ids[off[i] : off[i + 1]].tolist() == plain(enc, t)
 
 
+@given(st.lists(st.text(alphabet="aZéß×÷ɏʰ.'-\n ", max_size=30), min_size=1, max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_words_give_the_library_ids(texts):
+    """Letters of two bytes, the signs among them, and line feeds, alone and in runs, before words; pieces that come again and new ones."""
+    enc = tokens.encoder(tokens.default_path())
+    ids, off = enc.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[off[i] : off[i + 1]].tolist() == plain(enc, t)
+
+
+def test_a_full_store_keeps_what_came_again(enc, monkeypatch):
+    monkeypatch.setattr(tokens, "STORE", 1500)
+    fresh, asked = tokens.Encoder(tokens.default_path()), []
+    keep = fresh._keep
+    monkeypatch.setattr(fresh, "_keep", lambda *a: (asked.append(a[-1].size), keep(*a))[1])
+    common = " ".join(f"wörd{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500))
+    for k in range(8):
+        rare = " ".join(f"r{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400))
+        text = f"{common} {rare}"
+        assert fresh.encode(pa.array([text]))[0].tolist() == plain(enc, text)
+    assert fresh.n <= 1500 + 900 and sum(asked[1:]) <= 7 * 402
+
+
 def test_token_file(spark, edge, nothing, enc):
     assert repair.token_file(nothing).count() == 0
     got = repair.token_file(edge, shard_bytes=100_000).collect()
