@@ -292,7 +292,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     """
     tokenizer_path = tokenizer_path or default_path()
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     cores = docs.sparkSession.sparkContext.defaultParallelism
     parts = max(1, min(4 * cores, -(-size // shard_bytes)), -(-size // part_bytes))
 
@@ -329,8 +329,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
 
     placed = docs.withColumn("begin", F.substring("text", 1, 64)).repartitionByRange(parts, "doc_id", "begin").sortWithinPartitions("doc_id", "text")
     # a batch to Python holds about one shard's text; payloads are compressed already, and their pages and row groups end as they fill
-    batch = max(1, min(10_000, shard_bytes * rows // max(1, size)))
-    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(batch)):
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(shard_bytes)):
         mapped(placed.select("doc_id", "text"), run, _FILE).write.options(**_PARQUET).parquet(path)
 
 

@@ -278,7 +278,7 @@ def test_token_file_in_small_pieces(spark, tmp_path, monkeypatch):
         return plainly(df, run, schema)
 
     monkeypatch.setattr(repair, "mapped", mapped)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
     repair.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/ids", shard_bytes=50_000)
     assert spark.conf.get(key) == before
